@@ -1,4 +1,16 @@
 """Queries of this subpackage by name and the SQL they are compared with."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from . import bpe, mixing, neardup, splitting
+
+QUERIES = {
+    "p3_found": neardup.p3_found,
+    "p3_groups": neardup.p3_groups,
+    "p5_found": splitting.p5_found,
+    "p5_pieces": splitting.p5_pieces,
+    "p6_ids": bpe.p6_ids,
+    "p7_mixture": mixing.p7_mixture,
+    "p7_shares": mixing.p7_shares,
+}
 ORACLE: dict[str, str] = {}
