@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, splitting
+from . import bpe, mixing, neardup, pii, splitting
 
 QUERIES = {
     "p3_found": neardup.p3_found,
@@ -12,5 +12,8 @@ QUERIES = {
     "p6_ids": bpe.p6_ids,
     "p7_mixture": mixing.p7_mixture,
     "p7_shares": mixing.p7_shares,
+    "p8_found": pii.p8_found,
+    "p8_redacted": pii.p8_redacted,
+    "p8_surrogates": pii.p8_surrogates,
 }
 ORACLE: dict[str, str] = {}
