@@ -5,8 +5,8 @@ A record is the set of its distinct three-word sequences.  Records with one set
 1. A counting sketch of bounded size tells about how often each sequence occurs in the whole collection; it only sets the
    order of sequences, rare ones first, so its error costs time and never a pair.
 2. Two sets that agree to the threshold share at least k sequences among the first ``n - ceil(t n) + k`` of each.  Those
-   prefixes are the tokens of the matrix.  Classes are partitioned into groups by their smallest sequence hash, which similar
-   sets share with a chance equal to their similarity.
+   prefixes are the tokens of the matrix.  Classes are partitioned into groups by the smallest hash in their prefix, which
+   similar sets mostly share; sequences that are common everywhere never name a group.
 3. The token-group matrix holds for each token the groups whose members' prefixes have it, with the members' size range, so
    a family of near-copies takes one row per token however large it is.  Per class and group the matrix bounds the
    overlap; groups below the bound are not opened.
@@ -21,7 +21,6 @@ pair like any other rows of different ids; a null id differs from every id but n
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, table
+from .sketch import sketch
 
 THRESHOLD, LEAST_WORDS, SHARED = 0.7, 30, 3
 #: log2 of the sketch's cells: one byte each when broadcast, so never over 16 MB.
 MOST_BITS = 24
-SLICE_BITS = 16
 #: log2 of the bits of the filter that tells whose whole sets are needed.
 FILTER_BITS = 23
 #: Members of one block of a salted join.
@@ -81,58 +80,12 @@ def sequences(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return rec[first], h[first]
 
 
-# ---- the sketch ---------------------------------------------------------------------------------------------------
+def _cells(bits: int):
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        _, h = sequences(batch.column(0))
+        return (h >> _U(64 - bits)).astype(np.int64), np.ones(len(h), np.int64)
 
-_SLICE = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-_SLICE_DDL = "slice int, counts binary"
-
-
-def _partial_sketch(bits: int):
-    def run(batches):
-        counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            _, h = sequences(batch.column(0))
-            if len(h):
-                cell, n = np.unique((h >> _U(64 - bits)).astype(np.int64), return_counts=True)
-                counts[cell] += n.astype(np.uint32)
-        wide = 1 << min(bits, SLICE_BITS)
-        for k in range(len(counts) // wide):
-            part = counts[k * wide : (k + 1) * wide]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=_SLICE)
-
-    return run
-
-
-def _coded(counts: np.ndarray) -> np.ndarray:
-    """One byte per count, in order of size: exact to 127, then in steps of about a fifth of a bit."""
-    c = counts.astype(np.float64)
-    return np.where(c <= 127, c, np.minimum(255, 127 + np.ceil(5 * np.log2(np.maximum(c, 127) / 127)))).astype(np.uint8)
-
-
-def _summed(batches):
-    """Sum of the partial slices of one slice, coded."""
-    total, k = None, None
-    for batch in batches:
-        k = batch.column(0)[0].as_py()
-        for part in batch.column(1).to_pylist():
-            got = np.frombuffer(zlib.decompress(part), np.uint32).astype(np.int64)
-            total = got if total is None else total + got
-    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(_coded(total).tobytes(), 1)], pa.binary())], schema=_SLICE)
-
-
-def _sum_slices(data: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(_summed(data.to_batches())), schema=_SLICE)
-
-
-def sketch(words: DataFrame, bits: int) -> np.ndarray:
-    """About how often each cell's sequences occur; every record counts."""
-    wide = 1 << min(bits, SLICE_BITS)
-    cells = np.zeros(1 << bits, np.uint8)
-    parts = words.mapInArrow(_partial_sketch(bits), _SLICE_DDL).groupBy("slice").applyInArrow(_sum_slices, _SLICE_DDL)
-    for r in parts.collect():  # 2 ** bits bytes at most
-        cells[r.slice * wide : (r.slice + 1) * wide] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
-    return cells
+    return of
 
 
 # ---- records ------------------------------------------------------------------------------------------------------
@@ -163,11 +116,13 @@ def _records(cells, bits: int, threshold: float):
             most = n - need(n, threshold) + np.minimum(SHARED, need(n, threshold))
             keep = (rank < np.repeat(most, n)) & (often[order] != 1)  # a count of 1 is sure to be the only one
             kept = np.add.reduceat(keep.astype(np.int64), start)
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)), pa.int32()), pa.array(h[order][keep].view(np.int64)))
+            tokens = h[order]
+            lowest = np.minimum.reduceat(np.where(keep, tokens, _U(2**64 - 1)), start)
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)), pa.int32()), pa.array(tokens[keep].view(np.int64)))
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(take), batch.column(1).take(take), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                pa.array(n.astype(np.int32)), pa.array(h[start].view(np.int64)), prefix,
+                pa.array(n.astype(np.int32)), pa.array(lowest.view(np.int64)), prefix,
             ], schema=_RECORD)
 
     return run
@@ -229,7 +184,7 @@ class Join:
         words = worded(nodes, least_words)
         chars = nodes.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n")).first().n
         self.bits = _bits_for(chars // 12)
-        cells = spark.sparkContext.broadcast(sketch(words.select("words"), self.bits).tobytes())
+        cells = spark.sparkContext.broadcast(sketch(words.select("words"), _cells(self.bits), self.bits).tobytes())
         self.records = cut_lineage(words.mapInArrow(_records(cells, self.bits, threshold), _RECORD_DDL))
         self.reps = cut_lineage(
             self.records.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
@@ -237,7 +192,7 @@ class Join:
 
     def candidates(self) -> DataFrame:
         """``rep_a < rep_b`` of classes that the matrix and then the members' prefixes leave."""
-        t, reps = self.threshold, self.reps
+        t, reps = self.threshold, self.reps.where(F.size("prefix") > 0)
         entries = reps.select("rep", "n", "grp", F.explode("prefix").alias("token")).repartition("token")
         matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("held"))
         query = entries.select("token", "rep", "n", F.col("grp").alias("own"))
