@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -516,6 +517,7 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+@lru_cache(200_000)
 def porter(word: str) -> str:
     """The stem of an English word by Porter's published algorithm; words of other alphabets stay as they are."""
     w = word

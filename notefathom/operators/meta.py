@@ -60,7 +60,7 @@ def property_values(notes: DataFrame, key: str, folder: str | None = None) -> Da
     v = F.try_variant_get(X.valid_json("frontmatter"), f"$['{key}']", "variant")
     items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
     rows = notes.where(X.in_folder("id", folder)).select(F.explode(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.to_json(x))).alias("value"))
-    return rows.where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count"))
+    return rows.where(F.col("value").isNotNull() & (F.col("value") != "null")).groupBy("value").agg(F.count("*").alias("count"))
 
 
 def overview(notes: DataFrame) -> DataFrame:

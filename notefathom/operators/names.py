@@ -64,14 +64,15 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _span(text: Column, query: str) -> Column:
-    """Length of the stretch in which the query's characters come one after the other, 0 if they do not."""
-    pos: Column = F.lit(0)
-    first: Column = F.lit(0)
-    for i, c in enumerate(query):
-        found = F.call_function("locate", F.lit(c), text, pos + 1)
-        pos = F.when(pos < 0, -1).when(found == 0, -1).otherwise(found) if i else F.when(found == 0, -1).otherwise(found)
-        first = first if i else pos
-    return F.when(pos > 0, pos - first + 1).otherwise(0)
+    """Length of the stretch in which the query's characters come one after the other, 0 if they do not; one fold over the text."""
+    wanted = F.lit(list(query))
+    state = F.struct(F.lit(0).alias("k"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    chars = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
+    step = lambda s, x: F.when(
+        x["c"] == F.try_element_at(wanted, s["k"] + 1),
+        F.struct((s["k"] + 1).alias("k"), F.when(s["k"] == 0, x["i"]).otherwise(s["first"]).alias("first"), x["i"].alias("last")),
+    ).otherwise(s)
+    return F.aggregate(chars, state, step, lambda s: F.when(s["k"] == len(query), s["last"] - s["first"] + 1).otherwise(0))
 
 
 def score_name(candidate: Column, query: str) -> Column:
@@ -82,7 +83,7 @@ def score_name(candidate: Column, query: str) -> Column:
     before = F.substring(c, at - 1, F.lit(1))
     words = [w for w in q.split() if w]
     all_words = X.all_of([c.contains(w) for w in words]) if len(words) > 1 else F.lit(False)
-    span = _span(c, q.replace(" ", "")[:24])
+    span = _span(c, q.replace(" ", ""))
     like = similarity(candidate, F.lit(query))
     return F.round(
         F.when(c == q, 1.0)

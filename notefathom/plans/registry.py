@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import nested, packed, references
+from . import queries
 
 QUERIES = {
     "p1_found": packed.p1_found,
@@ -13,9 +14,11 @@ QUERIES = {
     "p4_found": nested.p4_found,
     "p4_objects": nested.p4_objects,
     "p4_bridge": nested.p4_bridge,
+    **queries.QUERIES,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(queries.ORACLE)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return references.p2_report(spark, folder)
+    """Hybrid search: text and vector ranks fused."""
+    return queries.hybrid(spark, folder)
