@@ -29,9 +29,10 @@ def utf16_prefix(x: Column | str, n: int) -> Column:
     """The first ``n`` UTF-16 units, a split surrogate pair dropped; code points decide where none is astral."""
     x = col(x)
     astral = x.rlike(r"[\x{10000}-\x{10FFFF}]")
-    units = F.encode(F.substring(x, 1, n), "UTF-16BE")
-    cut = F.decode(F.substring(units, 1, 2 * n), "UTF-16BE")
-    return F.when(~astral, F.substring(x, 1, n)).otherwise(F.regexp_replace(cut, "�$", ""))
+    units = F.encode(x, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * n - 1, 1))
+    size = F.when((last >= "D8") & (last <= "DB"), 2 * n - 2).otherwise(2 * n)
+    return F.when(astral, F.decode(F.substring(units, F.lit(1), size), "UTF-16BE")).otherwise(F.substring(x, 1, n))
 
 
 def basename(path: Column | str) -> Column:

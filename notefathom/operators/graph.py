@@ -171,7 +171,7 @@ def betweenness(notes: DataFrame, pairs: DataFrame, block: int = 256) -> DataFra
         scores = None
         for k in range(blocks):
             part = _brandes_joined(every, links, every.where(F.col("block") == k))
-            scores = cut_lineage(part if scores is None else scores.unionByName(part).groupBy("v").agg(F.sum("delta").alias("delta")))
+            scores = cut_lineage((part if scores is None else scores.unionByName(part)).groupBy("v").agg(F.sum("delta").alias("delta")))
         scores = scores.select(F.col("v").alias("id"), F.col("delta").alias("sum"))
     return notes.select("id").join(scores, "id", "left").select("id", (F.coalesce("sum", F.lit(0.0)) * scale).alias("score"))
 

@@ -117,7 +117,11 @@ def fuzzy_find(notes: DataFrame, needle: str, threshold: float = 0.7) -> DataFra
     lines = notes.select("id", F.posexplode(F.split("content", r"\r?\n")).alias("at", "text")).where(F.trim("text") != "")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     sizes = list(range(max(1, width - 2), width + 3))
-    stretches = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")) for n in sizes)))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    stretches = F.flatten(F.array(*map(runs, sizes)))
     best = F.array_max(F.transform(stretches, lambda s: similarity(s, F.lit(needle))))
     score = F.when(F.lower("text").contains(low), 1.0).otherwise(best)
     return lines.select("id", (F.col("at") + 1).alias("line"), "text", F.round(score, 6).alias("score")).where(F.col("score") >= threshold)

@@ -79,18 +79,60 @@ def null() -> Value:
     return Value(F.lit("null"), F.lit(0.0), F.lit("null"), F.lit(False), _no_items(), F.lit("null"))
 
 
+#: Longer expressions are bound to a name before they are used more than once.
+_LONG = 300
+
+
+def _bound(make: Callable[[Column], Value], c: Column) -> Value:
+    """``make(c)`` with a long ``c`` evaluated once per part, by way of an array of one; a column itself stays plain and can be pushed down."""
+    if len(c._jc.toString()) < _LONG:
+        return make(c)
+
+    def part(name: str) -> Column:
+        return F.element_at(F.transform(F.array(c), lambda x: getattr(make(x), name)), 1)
+
+    shape = make(F.lit(None).cast("variant") if make in (_dynamic,) else F.lit(None).cast("array<variant>") if make is _array else F.lit(None).cast("string"))
+    return Value(*(part(x) for x in ("t", "n", "s", "b", "items", "j")), (lambda p: _bound(dynamic, F.try_variant_get(c, p, "variant"))) if shape.path else None)
+
+
+def flag(c: Column) -> Value:
+    """A truth value that is never null."""
+    txt = F.when(c, "true").otherwise("false")
+    return Value(F.lit("boolean"), F.when(c, 1.0).otherwise(0.0), txt, c, _no_items(), txt)
+
+
 def text(c: Column) -> Value:
+    return _bound(_text, c)
+
+
+def number(c: Column) -> Value:
+    return _bound(_number, c)
+
+
+def boolean(c: Column) -> Value:
+    return _bound(_boolean, c)
+
+
+def array(items: Column) -> Value:
+    return _bound(_array, items)
+
+
+def dynamic(v: Column) -> Value:
+    return _bound(_dynamic, v)
+
+
+def _text(c: Column) -> Value:
     there = c.isNotNull()
     return Value(F.when(there, "string").otherwise("null"), F.when(there, _number_of(c)).otherwise(0.0), F.coalesce(c, F.lit("null")), F.coalesce(c != "", F.lit(False)), _no_items(), F.when(there, _quoted(c)).otherwise("null"))
 
 
-def number(c: Column) -> Value:
+def _number(c: Column) -> Value:
     c = c.cast("double")
     there = c.isNotNull()
     return Value(F.when(there, "number").otherwise("null"), F.coalesce(c, F.lit(0.0)), F.when(there, _text_of(c)).otherwise("null"), F.coalesce((c != 0) & ~F.isnan(c), F.lit(False)), _no_items(), F.when(there, _text_of(c)).otherwise("null"))
 
 
-def boolean(c: Column) -> Value:
+def _boolean(c: Column) -> Value:
     there = c.isNotNull()
     return Value(F.when(there, "boolean").otherwise("null"), F.coalesce(c.cast("double"), F.lit(0.0)), F.coalesce(c.cast("string"), F.lit("null")), F.coalesce(c, F.lit(False)), _no_items(), F.coalesce(c.cast("string"), F.lit("null")))
 
@@ -99,14 +141,14 @@ def _joined(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))), ",")
 
 
-def array(items: Column) -> Value:
+def _array(items: Column) -> Value:
     there = items.isNotNull()
     s = _joined(items)
     js = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.coalesce(F.to_json(x), F.lit("null"))), ","), F.lit("]"))
     return Value(F.when(there, "array").otherwise("null"), F.when(there, _number_of(s)).otherwise(0.0), F.when(there, s).otherwise("null"), F.coalesce(F.size(items) > 0, F.lit(False)), items, F.coalesce(js, F.lit("null")))
 
 
-def dynamic(v: Column) -> Value:
+def _dynamic(v: Column) -> Value:
     """A variant; its type is known per row only."""
     kind = F.schema_of_variant(v)
     t = (
@@ -217,22 +259,22 @@ class Compiler:
         one = lambda i: vals[i] if i < len(vals) else null()
         match op:
             case "==":
-                return boolean(_loose(one(0), one(1)))
+                return flag(_loose(one(0), one(1)))
             case "!=":
-                return boolean(~_loose(one(0), one(1)))
+                return flag(~_loose(one(0), one(1)))
             case "===":
-                return boolean(_strict(one(0), one(1)))
+                return flag(_strict(one(0), one(1)))
             case "!==":
-                return boolean(~_strict(one(0), one(1)))
+                return flag(~_strict(one(0), one(1)))
             case ">" | ">=":
-                return boolean(_less(one(1), one(0), op == ">="))
+                return flag(_less(one(1), one(0), op == ">="))
             case "<" | "<=":
                 both = _less(one(0), one(1), op == "<=")
-                return boolean(both & _less(one(1), one(2), op == "<=") if len(vals) > 2 else both)
+                return flag(both & _less(one(1), one(2), op == "<=") if len(vals) > 2 else both)
             case "!!":
-                return boolean(one(0).b)
+                return flag(one(0).b)
             case "!":
-                return boolean(~one(0).b)
+                return flag(~one(0).b)
             case "%":
                 return number(F.when(one(1).n == 0, NAN).otherwise(F.try_mod(one(0).n, one(1).n)))
             case "-":
@@ -258,7 +300,7 @@ class Compiler:
             case "in":
                 a, b = one(0), one(1)
                 member = F.coalesce(F.exists(b.items, lambda x: _strict(dynamic(x), a)), F.lit(False))
-                return boolean(F.when(b.t == "string", (b.s != "") & F.contains(b.s, a.s)).when(b.t == "array", member).otherwise(False))
+                return flag(F.when(b.t == "string", (b.s != "") & F.contains(b.s, a.s)).when(b.t == "array", member).otherwise(False))
             case "cat":
                 return text(F.concat(*(F.when(v.t == "null", "").otherwise(v.s) for v in vals)) if vals else F.lit(""))
             case "substr":
@@ -272,7 +314,7 @@ class Compiler:
             case "missing" | "missing_some":
                 return self._missing(op, args, scope)
             case "has_tag":
-                return boolean(self._has_tag(args, vals, scope))
+                return flag(self._has_tag(args, vals, scope))
             case _:
                 return one(0)
 
@@ -305,11 +347,11 @@ class Compiler:
             case "map":
                 return array(F.transform(items, lambda x: F.parse_json(inner(x).j)))
             case "all":
-                return boolean((F.size(items) > 0) & F.forall(items, lambda x: inner(x).b))
+                return flag((F.size(items) > 0) & F.coalesce(F.forall(items, lambda x: inner(x).b), F.lit(False)))
             case "none":
-                return boolean(~F.exists(items, lambda x: inner(x).b))
+                return flag(~F.exists(items, lambda x: inner(x).b))
             case "some":
-                return boolean(F.exists(items, lambda x: inner(x).b))
+                return flag(F.exists(items, lambda x: inner(x).b))
         first = self.compile(args[2], scope) if len(args) > 2 else null()
 
         def step(acc: Column, x: Column) -> Column:

@@ -59,14 +59,14 @@ def links_of(notes: DataFrame) -> DataFrame:
 
 
 def attachments(spark: SparkSession, root: str, folder: str | None = None, extensions: list[str] | None = None) -> DataFrame:
-    """Files that are no notes; contents are not read."""
+    """Files that are no notes; contents are not read.  The file source leaves out empty files."""
     rows = _files(spark, root).where(_visible(F.col("rel")) & ~F.lower("rel").endswith(".md") & X.in_folder("rel", folder))
     ext = F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1))
     rows = rows.select(F.col("rel").alias("path"), ext.alias("extension"), F.col("length").alias("size"))
     return rows.where(F.col("extension").isin([e.lower().lstrip(".") for e in extensions])) if extensions else rows
 
 
-def file_info(spark: SparkSession, root: str, path: str) -> dict:
+def file_info(root: str, path: str) -> dict:
     """S14."""
     p = safe_path(root, path)
     s = p.stat()

@@ -38,7 +38,7 @@ class Debounce(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "kind string, ts_ms long, due_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kind, at, due = self.last.get() if self.last.exists() else (None, -1, None)
         out = []
         for pdf in rows:
@@ -56,7 +56,7 @@ class Debounce(StatefulProcessor):
             self.handle.registerTimer(due)
         yield pd.DataFrame(out, columns=["path", "kind", "fired_ms"])
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         kind, _, due = self.last.get()
         self.last.clear()
         yield pd.DataFrame([(key[0], classified(kind), due)], columns=["path", "kind", "fired_ms"])
