@@ -21,7 +21,7 @@ from ..functions import markdown as M
 from ..functions import text as X
 
 # Folders that hold no notes.
-EXCLUDED = (".obsidian", "_FileOrganizer2000", "attachments")
+EXCLUDED = ("_FileOrganizer2000", "attachments")
 MOST_ATTACHMENT = 10 * 1024 * 1024
 
 
@@ -170,8 +170,9 @@ def render_template(template: str, title: str, at: datetime.datetime, variables:
     return re.sub(r"\{\{([^{}]+)\}\}", put, template)
 
 
-def template_folder(root: str) -> str:
-    p = Path(root, ".obsidian", "templates.json")
+def template_folder(root: str, settings: str) -> str:
+    """The folder that ``templates.json`` in the vault's settings folder names."""
+    p = Path(root, settings, "templates.json")
     return json.loads(p.read_text()).get("folder", "Templates") if p.exists() else "Templates"
 
 

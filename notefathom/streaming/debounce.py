@@ -11,14 +11,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 SETTLE_MS, DEBOUNCE_MS, REMOVE_MS = 2000, 3000, 3000
 
-# Folders whose events are left out.
-IGNORED = (".obsidian", ".trash", ".git", "node_modules", "attachments")
+# Folders whose events are left out, beside hidden ones.
+IGNORED = ("node_modules", "attachments")
 OUT = "path string, kind string, fired_ms long"
 
 
 def wanted(events: DataFrame) -> DataFrame:
     """Events of notes outside the ignored folders."""
-    return events.where(F.col("path").endswith(".md") & ~F.exists(F.split("path", "/"), lambda p: p.isin(*IGNORED)))
+    return events.where(F.col("path").endswith(".md") & ~F.exists(F.split("path", "/"), lambda p: p.startswith(".") | p.isin(*IGNORED)))
 
 
 def delay(kind: str) -> int:

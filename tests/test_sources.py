@@ -13,7 +13,7 @@ from notefathom.streaming import debounce
 
 @pytest.fixture
 def root(tmp_path):
-    files = {"A.md": "---\ntitle: Alpha\n---\nsee [[B|b]] and [[C#h]]", "sub/B é.md": "x", "sub/.hidden/N.md": "x", ".obsidian/t.md": "x", "attachments/q.md": "x", "img/p.PNG": "1234", "z.txt": "1"}
+    files = {"A.md": "---\ntitle: Alpha\n---\nsee [[B|b]] and [[C#h]]", "sub/B é.md": "x", "sub/.hidden/N.md": "x", ".settings/t.md": "x", "attachments/q.md": "x", "img/p.PNG": "1234", "z.txt": "1"}
     for k, v in files.items():
         (tmp_path / k).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / k).write_text(v)
@@ -35,7 +35,7 @@ def test_writing(root):
     assert vault.file_info(root, "sub/New- note.md")["kind"] == "note"
     with pytest.raises(FileExistsError):
         vault.create_note(root, "New: note", "again", "sub")
-    for bad in ("../x.md", ".obsidian/x.md", "/etc/x"):
+    for bad in ("../x.md", ".settings/x.md", "/etc/x"):
         with pytest.raises(PermissionError):
             vault.write_note(root, bad, "x")
     assert vault.create_attachment(root, "a/b.bin", base64.b64encode(b"123").decode()) == 3
