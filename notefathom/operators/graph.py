@@ -16,7 +16,7 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, discard, shared_folder
 from .notes import live_edges
 
 #: Undirected edges up to which a worker holds the whole graph for betweenness (32 bytes each); above, it runs on joins.
@@ -50,12 +50,15 @@ def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance:
     if not n:
         return notes.select("id", F.lit(0.0).alias("score"))
     links = cut_lineage(both.join(out, "x").select("x", "y", (1.0 / F.col("degree")).alias("w")).repartition("x"))
-    ranks = out.select("x", F.lit(1.0 / n).alias("r"))
+    ranks, last = out.select("x", F.lit(1.0 / n).alias("r")), None
     for turn in range(most):
         sent = links.join(ranks, "x").groupBy("y").agg(F.sum(F.col("w") * F.col("r")).alias("got"))
         step = ranks.join(sent.withColumnRenamed("y", "x"), "x", "left").select("x", F.col("r").alias("old"), ((1 - alpha) / n + alpha * F.coalesce("got", F.lit(0.0))).alias("r"))
         if turn % cut_every == cut_every - 1:
             step = cut_lineage(step)
+            if last is not None:
+                discard(last)
+            last = step
             if step.agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("d")).first().d < n * tolerance:
                 ranks = step.select("x", "r")
                 break

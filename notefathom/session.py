@@ -47,7 +47,30 @@ def cut_lineage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    _CUTS.append(path)
+    return out
+
+
+#: Folders written by this process.
+_CUTS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(cut: DataFrame) -> None:
+    """Delete a table of ``cut_lineage`` that nothing will read again."""
+    _delete(cut.sparkSession, cut._cut)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all tables this process cut; call it when the results that rest on them have been written."""
+    while _CUTS:
+        _delete(spark, _CUTS.pop())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

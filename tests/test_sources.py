@@ -1,12 +1,13 @@
 import base64
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from notefathom.operators import incremental
-from notefathom.session import cut_lineage, shared_folder
+from notefathom.session import cut_lineage, discard, shared_folder
 from notefathom.sources import vault
 from notefathom.streaming import debounce
 
@@ -97,3 +98,7 @@ def test_debounce_stream(spark, tmp_path):
 def test_cut_lineage(spark):
     df = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert df.count() == 5 and shared_folder(spark) in df.inputFiles()[0]
+    kept = cut_lineage(spark.range(3))
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    discard(df)
+    assert not folder.exists() and kept.count() == 3
