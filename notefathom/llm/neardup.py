@@ -21,15 +21,15 @@ pair like any other rows of different ids; a null id differs from every id but n
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut_lineage, table
+from ..session import cut_lineage, discard, table
 from .sketch import sketch
 
 THRESHOLD, LEAST_WORDS, SHARED = 0.7, 30, 3
@@ -60,6 +60,24 @@ def _word_hash(word: str) -> int:
     return found
 
 
+_WORDS = re.compile(r"[^\W_]+").findall
+
+
+def words(titles: pa.Array, contents: pa.Array, least: int) -> pa.ListArray:
+    """Words of title and content in one sequence; none for a null content or fewer than ``least`` words."""
+    out = []
+    for t, c in zip(titles.to_pylist(), contents.to_pylist()):
+        found = _WORDS(f"{t} {c}".lower() if t else c.lower()) if c is not None else []
+        out.append(found if len(found) >= least else [])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _grouped(rec: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``order``, sorted by record and otherwise left as it is; few records sort by radix."""
+    key = rec[order]
+    return order[np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")]
+
+
 def sequences(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """``(record, hash)`` of the distinct three-word sequences of a batch, sorted by both."""
     sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -73,16 +91,16 @@ def sequences(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     h = _mix(_mix(_mix(w[:-2] + _U(0x9E3779B97F4A7C15)) + w[1:-1]) + w[2:])
     whole = rec[:-2] == rec[2:]
     rec, h = rec[:-2][whole], h[whole]
-    order = np.lexsort((h, rec))
+    order = _grouped(rec, np.argsort(h))
     rec, h = rec[order], h[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])
     return rec[first], h[first]
 
 
-def _cells(bits: int):
+def _cells(bits: int, least_words: int):
     def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        _, h = sequences(batch.column(0))
+        _, h = sequences(words(batch.column(0), batch.column(1), least_words))
         return (h >> _U(64 - bits)).astype(np.int64), np.ones(len(h), np.int64)
 
     return of
@@ -99,11 +117,11 @@ def need(n, threshold: float):
     return np.ceil(n * threshold - 1e-9)
 
 
-def _records(cells, bits: int, threshold: float):
+def _records(cells, bits: int, threshold: float, least_words: int):
     def run(batches):
         counts = np.frombuffer(cells.value, np.uint8)
         for batch in batches:
-            rec, h = sequences(batch.column(2))
+            rec, h = sequences(words(batch.column(2), batch.column(3), least_words))
             rows, start = np.unique(rec, return_index=True)
             if not len(rows):
                 continue
@@ -111,7 +129,7 @@ def _records(cells, bits: int, threshold: float):
             k1 = np.add.reduceat(_mix(h + _U(0x632BE59BD9B4E019)), start)
             k2 = np.add.reduceat(_mix(h ^ _U(0xD6E8FEB86659FD93)), start)
             often = counts[(h >> _U(64 - bits)).astype(np.int64)]
-            order = np.lexsort((h, often, rec))
+            order = _grouped(rec, np.argsort(often, kind="stable"))
             rank = np.arange(len(rec)) - np.repeat(start, n)
             most = n - need(n, threshold) + np.minimum(SHARED, need(n, threshold))
             keep = (rank < np.repeat(most, n)) & (often[order] != 1)  # a count of 1 is sure to be the only one
@@ -128,21 +146,10 @@ def _records(cells, bits: int, threshold: float):
     return run
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _whole_sets(words: pa.Array) -> pa.Array:
-    rec, h = sequences(words)
-    counts = np.bincount(rec, minlength=len(words))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(h.view(np.int64)))
-
-
-def worded(nodes: DataFrame, least_words: int) -> DataFrame:
-    """``row_id, id, words`` of the records long enough to be compared."""
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "content")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return (
-        nodes.where(F.col("content").isNotNull() & (F.length("title") + F.length("content") >= 2 * least_words - 1) | F.col("content").isNotNull() & F.col("title").isNull())
-        .select(F.col("row_id").cast("long"), F.col("id").cast("string"), words.alias("words"))
-        .where(F.size("words") >= least_words)
-    )
+def compared(nodes: DataFrame, least_words: int) -> DataFrame:
+    """``row_id, id, title, content`` of the records that may have enough words."""
+    long = F.coalesce(F.length("title"), F.lit(0)) + F.length("content") + 1 >= 2 * least_words - 1
+    return nodes.where(F.col("content").isNotNull() & long).select(F.col("row_id").cast("long"), F.col("id").cast("string"), F.col("title").cast("string"), F.col("content").cast("string"))
 
 
 def _bits_for(total: int) -> int:
@@ -158,21 +165,30 @@ def blocked(many: DataFrame, members: DataFrame, on: list[str], member: str) ->
     return spread.join(salted, [*on, "salt"]).drop("salt")
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``row_id`` may be among ``ids``: a bitmap of a fixed size, whose false hits only cost time."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
+_SET = pa.schema([("row_id", pa.int64()), ("seqs", pa.list_(pa.int64()))])
+
+
+def whole_sets(rows: DataFrame, ids: DataFrame, least_words: int) -> DataFrame:
+    """``row_id, seqs`` of rows whose ``row_id`` may be among ``ids``: a bitmap of a fixed size tells, whose false hits only cost time."""
+    size = 1 << FILTER_BITS
+    bit = F.pmod(F.xxhash64("rep"), F.lit(size)) + 1  # the bitmap functions count from 1
     parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
-    flags = np.zeros(1 << FILTER_BITS, bool)
+    flags = np.zeros(size, bool)
     for r in parts:  # 2 ** FILTER_BITS bits at most
         got = np.unpackbits(np.frombuffer(r.map, np.uint8), bitorder="little")
-        flags[(r.bucket - 1) * len(got) : r.bucket * len(got)] = got[: len(flags) - (r.bucket - 1) * len(got)]
+        flags[(r.bucket - 1) * len(got) : r.bucket * len(got)] = got[: size - (r.bucket - 1) * len(got)]
     held = rows.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
 
-    @F.arrow_udf(T.BooleanType())
-    def wanted(bits: pa.Array) -> pa.Array:
-        return pa.array(np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)[bits.to_numpy()])
+    def run(batches):
+        wanted = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted[batch.column(0).to_numpy()]))
+            rec, h = sequences(words(batch.column(2), batch.column(3), least_words))
+            counts = np.bincount(rec, minlength=batch.num_rows)
+            seqs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), seqs], schema=_SET)
 
-    return rows.where(wanted(F.pmod(F.xxhash64("row_id"), F.lit(1 << FILTER_BITS))))
+    return rows.where("row_id is not null").select(F.pmod(F.xxhash64("row_id"), F.lit(size)).alias("bit"), "row_id", "title", "content").mapInArrow(run, "row_id long, seqs array<long>")
 
 
 class Join:
@@ -181,11 +197,11 @@ class Join:
     def __init__(self, nodes: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS):
         self.nodes, self.threshold, self.least_words = nodes, threshold, least_words
         spark = nodes.sparkSession
-        words = worded(nodes, least_words)
+        rows = compared(nodes, least_words)
         chars = nodes.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n")).first().n
         self.bits = _bits_for(chars // 12)
-        cells = spark.sparkContext.broadcast(sketch(words.select("words"), _cells(self.bits), self.bits).tobytes())
-        self.records = cut_lineage(words.mapInArrow(_records(cells, self.bits, threshold), _RECORD_DDL))
+        cells = spark.sparkContext.broadcast(sketch(rows.select("title", "content"), _cells(self.bits, least_words), self.bits).tobytes())
+        self.records = cut_lineage(rows.mapInArrow(_records(cells, self.bits, threshold, least_words), _RECORD_DDL))
         self.reps = cut_lineage(
             self.records.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
         )
@@ -218,8 +234,7 @@ class Join:
         """``rep_a, rep_b, similarity`` of the pairs of classes that reach the threshold."""
         pairs = cut_lineage(self.candidates())
         ids = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b"))
-        sets = worded(_among(self.nodes, ids), self.least_words).select("row_id", _whole_sets("words").alias("seqs"))
-        sets = cut_lineage(sets.dropDuplicates(["row_id"]))
+        sets = cut_lineage(whole_sets(compared(self.nodes, self.least_words), ids, self.least_words).dropDuplicates(["row_id"]))
         both = F.size(F.array_intersect("a", "b"))
         joined = pairs.join(sets.select(F.col("row_id").alias("rep_a"), F.col("seqs").alias("a")), "rep_a").join(sets.select(F.col("row_id").alias("rep_b"), F.col("seqs").alias("b")), "rep_b")
         return (
@@ -254,13 +269,15 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     links = cut_lineage(pairs.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).union(pairs.select("rep_b", "rep_a")))
     labels = cut_lineage(links.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")))
+    last = labels
     while True:
         near = links.join(labels.select(F.col("x").alias("y"), F.col("label").alias("theirs")), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
         low = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
         jump = labels.select(F.col("x").alias("label"), F.col("label").alias("further"))
         step = cut_lineage(low.join(jump, "label", "left").select("x", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = step.where("old != label").limit(1).count()
-        labels = step.select("x", "label")
+        discard(last)
+        last, labels = step, step.select("x", "label")
         if not changed:
             return labels.select(F.col("x").alias("rep"), F.col("label").alias("grp"))
 
