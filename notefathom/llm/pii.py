@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -350,25 +351,39 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos
 _FOUND_DDL = "doc_id long, start_pos int, end_pos int, kind string, entity string"
 
 
+_LINKS = re.compile(r"\[\[[^\]]*\]\]|^#.*$", re.MULTILINE)
+_SPEAKERS = re.compile(r"\d\d:\d\d \w+:")
+
+
+def countable(text: str) -> list[str]:
+    """Words of a text whose case tells something: none of mail addresses, handles, tags, headings, links' targets and speakers' labels."""
+    if "#" in text or "[[" in text:
+        text = _LINKS.sub(" ", text)
+    if ":" in text:
+        text = _SPEAKERS.sub(" ", text)
+    if "@" in text or "＠" in text or "at]" in text or "at)" in text or "#" in text:
+        text = " ".join(c for c in text.split() if c[0] != "#" and "@" not in c and "＠" not in c and "[at]" not in c and "(at)" not in c)
+    return _WORDS.findall(text)
+
+
 def _word_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the words of a batch: two rows for words in lower case, two for capitalised ones."""
-    flat = batch.column(0).flatten()
-    counted = flat.value_counts()
+    counted: Counter = Counter()
+    for text in batch.column(0).to_pylist():
+        counted.update(countable(text))
     cells, hits = [], []
     width = 1 << WORD_BITS
-    for word, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
+    for word, n in counted.items():
         a, b = _cells(word.lower())
-        row = 2 if word[:1] != word[:1].lower() else 0
+        row = 2 if word[0] != word[0].lower() else 0
         cells += (row * width + a, (row + 1) * width + b)
         hits += (n, n)
     return np.array(cells, np.int64), np.array(hits, np.int64)
 
 
 def word_counts(documents: DataFrame) -> np.ndarray:
-    """The word sketch of all texts.  Words in mail addresses, handles, tags, links' targets and speakers' labels say nothing about case."""
-    text = F.regexp_replace("text", r"[\w.+%\-]*[@＠][\w.\-]+|#[\w/\-]+|\[\[[^\]]*\]\]|(?m:^#.*$)|\d\d:\d\d \w+:|\S*\[at\]\S*|\S*\(at\)\S*", " ")
-    words = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
-    return sketch(documents.where(F.col("text") != "").select(words.alias("words")), _word_cells, WORD_BITS + 2)
+    """The word sketch of all texts."""
+    return sketch(documents.where(F.col("text") != "").select(F.col("text").cast("string")), _word_cells, WORD_BITS + 2)
 
 
 def find(documents: DataFrame, contacts: DataFrame) -> DataFrame:
