@@ -170,7 +170,9 @@ _PHONE = re.compile(r"(?<![\w.@+\-/,:])(?<![A-Za-z]-)(?:\+ ?|\(\+?)?\d{1,5}\)?(?
 _TEL_PHONE = re.compile(r"(?i)(?<=tel:)\+?\(?\d[\d().\-/ ]{5,18}\d")
 _EXTENSION = re.compile(r"(?i)(?:,? ?(?:ext(?:ension)?\.?|x|durchwahl|dw\.?|poste|доб\.?|内線|#) ?\d{1,6}|-x\d{1,6})(?!\w)")
 _CALL_WORD = re.compile(r"(?i)☎|☏|📞|phone|mobile|\btel\b|tel[.:]|\bfax\b|call|telefon|rückruf|anruf|handy|joindre|appel|llamar|móvil|teléfono|звонить|тел|電話|携帯|cell|whatsapp|reach|dial|ring|\bsms\b|portable")
-_NOT_CALL_WORD = re.compile(r"(?i)\b(?:ticket|order|batch|serial|form|revision|zettel|invoice|version|build|ratio|host|ip|isbn|doi|section|lane|page|room)\b[^.\n]{0,14}$|#$|\bno\. $")
+# a word that directly labels the number after it, over marks and a "no." at most
+_LABEL = re.compile(r"(?i)(?:\b(?:ticket|order|batch|serial|form|revision|zettel|invoice|version|build|ratio|host|ip|isbn|doi|section|lane|page|room)\b(?:[ \t]?(?:no|nr|num|number|id|code)\b\.?)?[ \t:=#*_`\"'(\[|]{0,5}|#|\bno\. )$")
+_CALL_LABEL = re.compile(r"(?i)(?:phone|mobile|\btel|\bfax|cell|handy|whatsapp|☎|☏|📞)[.:]? ?(?:#|no\. )$")
 _DATE = re.compile(r"(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])[-./](?:[0-2]?\d|3[01])(?:\D|$)|(?:[0-2]?\d|3[01])[-./](?:0?[1-9]|1[0-2])[-./](?:19|20)\d\d$")
 _US = re.compile(r"(?:\+?1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-/])\d{3}[ .\-]?\d{4}$")
 
@@ -196,16 +198,20 @@ def _phones(t: str, runs: list[tuple[int, int]]):
                 continue
         digits = re.sub(r"\D", "", text)
         groups = re.findall(r"\d+", text)
-        if not 7 <= len(digits) <= 15 or _DATE.match(text) or _NOT_CALL_WORD.search(t, max(0, start - 32), start):
+        if not 7 <= len(digits) <= 15 or _DATE.match(text):
             continue
         shape = [len(g) for g in groups]
         if "." in text and re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", text):
             continue
         called = _CALL_WORD.search(t, max(0, start - 28), start)
+        # a label holds against leading zeros too: tickets come as 0053 0062 400
+        labelled = _LABEL.search(t, max(0, start - 32), start) and not _CALL_LABEL.search(t, max(0, start - 32), start)
         if text[0] == "+" and len(digits) >= 8:
             pass
-        elif _US.match(text) and len(shape) > 1:
+        elif _US.match(text) and len(shape) > 1 and (digits[-10] not in "01" or not labelled):
             pass
+        elif labelled:
+            continue
         elif text.startswith("00") and digits[2] != "0" and len(digits) >= 11 and len(shape) > 2:
             pass
         elif digits[0] == "0" and digits[1] != "0" and len(digits) >= 9 and len(shape) > 1 and shape != [4, 4, 3] and not (len(shape) == 2 and "." in text):

@@ -131,6 +131,16 @@ def test_cases(names, text, cases):
     assert [(text[a:b], k) for a, b, k in pii.spans(text, names)] == cases
 
 
+@pytest.mark.parametrize(("text", "phones"), [
+    ("Reach the batch desk on 001 212 555-0107 until noon.", ["001 212 555-0107"]),
+    ("Reach the invoice desk on 415.555.0181; call room service at 030 1234567", ["415.555.0181", "030 1234567"]),
+    ("Host +49 30 1234567, form to 030 7654321 and phone no. 0171 1234567", ["+49 30 1234567", "030 7654321", "0171 1234567"]),
+    ("Ticket 0053 0062 400, ticket no. 0389 8543 17, **Order:** 0171 1234567, order no. 030 1234567, lane #030 1234567", []),
+])
+def test_labels_of_other_numbers(names, text, phones):
+    assert [text[a:b] for a, b, k in pii.spans(text, names) if k == "phone"] == phones
+
+
 def tables(spark):
     filler = "the quick note is kept here. " * 20
     docs = [(1, filler + "Ada Byron wrote a@b.example"), (2, None), (3, ""), (4, "Byron, Ada; A@B.EXAMPLE"), (5, "Zora Quint met Ada Byron. " + filler * 300), (6, "🌱 c@d.test".encode("utf-16", "surrogatepass").decode("utf-16"))]
