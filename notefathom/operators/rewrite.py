@@ -106,9 +106,7 @@ def totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))
 
 
-def rename_tag(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
-    """M2: inline tags outside code and tags of the frontmatter column, case ignored; children follow when ``nested``."""
-    old, new = old.lstrip("#"), new.lstrip("#")
+def _inline_tags(old: str, new: str, nested: bool):
     inline = re.compile(rf"(?<![A-Za-z0-9_])#{re.escape(old)}(?P<rest>/[A-Za-z0-9_\-/]*)?(?![A-Za-z0-9_\-/])", re.IGNORECASE)
 
     def fn(text: str) -> tuple[str, int, list[str]]:
@@ -122,39 +120,81 @@ def rename_tag(notes: DataFrame, old: str, new: str, nested: bool = True) -> Dat
                 samples.append(m[0])
         return "".join([*out, text[at:]]), n, samples
 
-    return _plan(notes, _planned(fn), F.lower("content").contains("#" + old.lower()))
+    return fn
 
 
-def rename_tag_frontmatter(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
-    """M2, frontmatter side: ``id, frontmatter, n``."""
-    old, new = old.lstrip("#").lower(), new.lstrip("#")
-
-    def swap(v):
-        if isinstance(v, str):
-            bare = v.lstrip("#")
-            if bare.lower() == old:
-                return v[: len(v) - len(bare)] + new, 1
-            if nested and bare.lower().startswith(old + "/"):
-                return v[: len(v) - len(bare)] + new + bare[len(old) :], 1
-        return v, 0
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_GAP = re.compile(r"[ \t\r\n]*")
+
+
+def _members(text: str):
+    """Key, start and end of the value of each member of the JSON object that is the whole of ``text``."""
+    read = json.JSONDecoder()
+    at = _GAP.match(text).end() + 1
+    while text[at := _GAP.match(text, at).end()] != "}":
+        key, at = read.raw_decode(text, at)
+        at = _GAP.match(text, _GAP.match(text, at).end() + 1).end()
+        _, end = read.raw_decode(text, at)
+        yield key, at, end
+        at = _GAP.match(text, end).end()
+        at += text[at] == ","
+
+
+def _frontmatter_tags(old: str, new: str, nested: bool):
+    end = "" if nested else "/"
+    value = re.compile(rf"(?:\A|(?<=[\s\ufeff,\[\]\"']))(#?){re.escape(old)}(?![\w\-{end}])", re.IGNORECASE)
 
     def fn(text: str) -> tuple[str, int, list[str]]:
         try:
-            fm = json.loads(text)
+            if not isinstance(json.loads(text), dict):
+                return text, 0, []
         except ValueError:
             return text, 0, []
-        n = 0
-        for key in ("tags", "tag"):
-            if isinstance(fm, dict) and key in fm:
-                vals = [swap(v) for v in (fm[key] if isinstance(fm[key], list) else [fm[key]])]
-                n += sum(k for _, k in vals)
-                fm[key] = [v for v, _ in vals] if isinstance(fm[key], list) else vals[0][0]
-        return json.dumps(fm, ensure_ascii=False), n, []
-
-    got = notes.where(F.lower("frontmatter").contains(old)).select("id", _planned(fn)("frontmatter").alias("p"))
+        out, last, n = [], 0, 0
+        for key, start, stop in _members(text):
+            for m in _STRING.finditer(text, start, stop) if key.lower() in ("tags", "tag") else ():
+                put, k = value.subn(lambda x: x[1] + new, json.loads(m[0]))
+                if k:
+                    written = json.dumps(put, ensure_ascii=any("\ud800" <= c <= "\udfff" for c in put))
+                    out += (text[last : m.start()], written)
+                    last, n = m.end(), n + k
+        return "".join([*out, text[last:]]), n, []
+
+    return fn
+
+
+def _has_inline_tag(old: str):
+    return F.lower("content").contains("#" + old.lower())
+
+
+def _has_frontmatter_tag(old: str):
+    """A backslash may hide any character."""
+    return F.lower("frontmatter").contains(old.lower()) | F.col("frontmatter").contains("\\")
+
+
+def rename_tag(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
+    """M2, inline side: tags in the content outside code, case ignored; children follow when ``nested``."""
+    old, new = old.lstrip("#"), new.lstrip("#")
+    return _plan(notes, _planned(_inline_tags(old, new, nested)), _has_inline_tag(old))
+
+
+def rename_tag_frontmatter(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
+    """M2, frontmatter side: ``id, frontmatter, n``.  Whole tags in the values of ``tags`` and ``tag``, also several in one string, where
+    white space, a comma, a bracket or a quote stands before each; all other JSON stays as written."""
+    old, new = old.lstrip("#"), new.lstrip("#")
+    got = notes.where(_has_frontmatter_tag(old)).select("id", _planned(_frontmatter_tags(old, new, nested))("frontmatter").alias("p"))
     return got.where("p.n > 0").select("id", F.col("p.text").alias("frontmatter"), F.col("p.n").alias("n"))
 
 
+def rename_tag_whole(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
+    """M2: ``id, content, frontmatter, n`` of each note in which either side changes; ``n`` counts both."""
+    old, new = old.lstrip("#"), new.lstrip("#")
+    inline, front = _planned(_inline_tags(old, new, nested)), _planned(_frontmatter_tags(old, new, nested))
+    got = notes.where(_has_inline_tag(old) | _has_frontmatter_tag(old)).select("id", "content", "frontmatter", inline("content").alias("c"), front("frontmatter").alias("f"))
+    n = F.coalesce("c.n", F.lit(0)) + F.coalesce("f.n", F.lit(0))
+    return got.select("id", F.col("c.text").alias("content"), F.col("f.text").alias("frontmatter"), n.alias("n")).where("n > 0")
+
+
 def rename_heading(notes: DataFrame, note: str, old: str, new: str) -> DataFrame:
     """M3: the heading in its note, and links to it in all notes.  A missing, repeated or already used heading is an error."""
     own = notes.where(F.col("id") == note).select("content").first()

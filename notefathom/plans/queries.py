@@ -449,7 +449,7 @@ def _(spark, d):
 
 @query("m2_rename_tag")
 def _(spark, d):
-    return rewrite.rename_tag(_current(spark, d), "shipment", "cargo").select("id", F.md5("content").alias("content"), "n")
+    return rewrite.rename_tag_whole(_current(spark, d), "shipment", "cargo").select("id", F.md5("content").alias("content"), F.md5("frontmatter").alias("frontmatter"), "n")
 
 
 @query("m4_move_note")

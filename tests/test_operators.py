@@ -271,6 +271,29 @@ def test_rewrites(spark):
         rewrite.rename_heading(n, "Old/B.md", "nope", "x")
 
 
+def test_rename_tag_has_both_sides(spark):
+    fm = {
+        "A.md": '{"n": 1.10, "Tags": ["Area", "x,area/q", 2.0, "areas", "my-area"], "tag": "#area b", "other": "area"}',
+        "B.md": '{"tag": "\\u0061rea\\ud800"}', "C.md": '{"tags": ["area"', "D.md": '["area"]', "E.md": "{}", "F.md": '{"tags":"area"}',
+    }
+    n = vault(spark, {"A.md": "#area `#area`", "B.md": None, "C.md": "none", "D.md": "", "E.md": "#area/x", "F.md": "kept"}, fm)
+    got = {r.id: (r.content, r.frontmatter, r.n) for r in rewrite.rename_tag_whole(n, "#area", "zone").collect()}
+    assert got == {
+        "A.md": ("#zone `#area`", '{"n": 1.10, "Tags": ["zone", "x,zone/q", 2.0, "areas", "my-area"], "tag": "#zone b", "other": "area"}', 4),
+        "B.md": (None, '{"tag": "zone\\ud800"}', 1),
+        "E.md": ("#zone/x", "{}", 1),
+        "F.md": ("kept", '{"tags":"zone"}', 1),
+    }
+    assert {r.id: r.n for r in rewrite.rename_tag_whole(n, "area", "zone", nested=False).collect()} == {"A.md": 3, "B.md": 1, "F.md": 1}
+
+
+def test_m2_query_changes_frontmatter(spark):
+    from notefathom.plans.registry import QUERIES
+
+    got = QUERIES["m2_rename_tag"](spark, "/root/testdata/sf0.01")
+    assert got.columns == ["id", "content", "frontmatter", "n"] and got.count() > 0
+
+
 def test_single_note_edits():
     t = "---\na: 1\ntags:\n  - x\n---\n# H\none\n## I\ntwo\n# J"
     e = lambda *a, **k: rewrite.edit(t, *a, **k)
