@@ -177,50 +177,82 @@ _DATE = re.compile(r"(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])[-./](?:[0-2]?\d|3[01])
 _US = re.compile(r"(?:\+?1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-/])\d{3}[ .\-]?\d{4}$")
 
 
+# where a run too long for one number is cut: wide marks, then a bracket that opens, then a single slash
+_CUTS = (re.compile(r" ?/ | / ?| {2,}"), re.compile(r" (?=\((?!0\)))"), re.compile(r"/(?=[0(])"))
+
+
+def _single(t: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The run, or its parts if it has more than 15 digits and parts that all can be numbers."""
+    run = t[a:b]
+    if sum(map(str.isdigit, run)) > 15:
+        for cut in _CUTS:
+            edges = [0, *(x for m in cut.finditer(run) for x in m.span()), len(run)]
+            parts = list(zip(edges[::2], edges[1::2]))
+            if len(parts) > 1 and all(7 <= sum(map(str.isdigit, run[x:y])) <= 15 for x, y in parts):
+                return [(a + x, a + y) for x, y in parts]
+    return [(a, b)]
+
+
+def _phone_matches(t: str, a: int, b: int):
+    parts = _single(t, a, b)
+    if len(parts) > 1:
+        for (_, x), (y, _) in zip(parts, parts[1:]):
+            t = t[:x] + " " * (y - x) + t[y:]
+    for k, (x, y) in enumerate(parts):
+        lo = parts[k - 1][1] if k else max(0, a - 3)
+        hi = min(len(t), b + 8) if k == len(parts) - 1 else y
+        while (m := _PHONE.search(t, lo, hi)) and (m.start() < y):
+            yield m
+            lo = m.end()
+
+
 def _phones(t: str, runs: list[tuple[int, int]]):
     for a, b in runs:
         if m := _TEL_PHONE.search(t, max(0, a - 3), min(len(t), b + 8)):
             yield _with_extension(t, m.start(), m.end())
             continue
-        m = _PHONE.search(t, max(0, a - 3), min(len(t), b + 8))
-        if not m:
-            continue
-        start, end = m.span()
-        text = m[0]
-        if text.count("(") != text.count(")"):
-            if text.startswith("(") and ")" not in text:
-                start += 1
-                text = text[1:]
-            elif text.endswith(")"):
-                end -= 1
-                text = text[:-1]
-            else:
-                continue
-        digits = re.sub(r"\D", "", text)
-        groups = re.findall(r"\d+", text)
-        if not 7 <= len(digits) <= 15 or _DATE.match(text):
-            continue
-        shape = [len(g) for g in groups]
-        if "." in text and re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", text):
-            continue
-        called = _CALL_WORD.search(t, max(0, start - 28), start)
-        # a label holds against leading zeros too: tickets come as 0053 0062 400
-        labelled = _LABEL.search(t, max(0, start - 32), start) and not _CALL_LABEL.search(t, max(0, start - 32), start)
-        if text[0] == "+" and len(digits) >= 8:
-            pass
-        elif _US.match(text) and len(shape) > 1 and (digits[-10] not in "01" or not labelled):
-            pass
-        elif labelled:
-            continue
-        elif text.startswith("00") and digits[2] != "0" and len(digits) >= 11 and len(shape) > 2:
-            pass
-        elif digits[0] == "0" and digits[1] != "0" and len(digits) >= 9 and len(shape) > 1 and shape != [4, 4, 3] and not (len(shape) == 2 and "." in text):
-            pass
-        elif called and len(digits) >= 7 and (len(shape) > 1 or len(digits) >= 9 and digits[0] in "01"):
-            pass
+        for m in _phone_matches(t, a, b):
+            if found := _phone(t, m):
+                yield found
+
+
+def _phone(t: str, m: re.Match) -> tuple[int, int] | None:
+    start, end = m.span()
+    text = m[0]
+    if text.count("(") != text.count(")"):
+        if text.startswith("(") and ")" not in text:
+            start += 1
+            text = text[1:]
+        elif text.endswith(")"):
+            end -= 1
+            text = text[:-1]
         else:
-            continue
-        yield _with_extension(t, start, end)
+            return None
+    digits = re.sub(r"\D", "", text)
+    groups = re.findall(r"\d+", text)
+    if not 7 <= len(digits) <= 15 or _DATE.match(text):
+        return None
+    shape = [len(g) for g in groups]
+    if "." in text and re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", text):
+        return None
+    called = _CALL_WORD.search(t, max(0, start - 28), start)
+    # a label holds against leading zeros too: tickets come as 0053 0062 400
+    labelled = _LABEL.search(t, max(0, start - 32), start) and not _CALL_LABEL.search(t, max(0, start - 32), start)
+    if text[0] == "+" and len(digits) >= 8:
+        pass
+    elif _US.match(text) and len(shape) > 1 and (digits[-10] not in "01" or not labelled):
+        pass
+    elif labelled:
+        return None
+    elif text.startswith("00") and digits[2] != "0" and len(digits) >= 11 and len(shape) > 2:
+        pass
+    elif digits[0] == "0" and digits[1] != "0" and len(digits) >= 9 and len(shape) > 1 and shape != [4, 4, 3] and not (len(shape) == 2 and "." in text):
+        pass
+    elif called and len(digits) >= 7 and (len(shape) > 1 or len(digits) >= 9 and digits[0] in "01"):
+        pass
+    else:
+        return None
+    return _with_extension(t, start, end)
 
 
 def _with_extension(t: str, start: int, end: int) -> tuple[int, int]:

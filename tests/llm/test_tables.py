@@ -141,6 +141,17 @@ def test_labels_of_other_numbers(names, text, phones):
     assert [text[a:b] for a, b, k in pii.spans(text, names) if k == "phone"] == phones
 
 
+@pytest.mark.parametrize(("text", "phones"), [
+    ("Tel. 030 1234567 / 0171 1234567", ["030 1234567", "0171 1234567"]),
+    ("Tel. 030 1234567/0171 1234567 or", ["030 1234567", "0171 1234567"]),
+    ("Tel. 06 39 98 32 10  06 39 98 32 11.", ["06 39 98 32 10", "06 39 98 32 11"]),
+    ("(212) 555-0100 (212) 555-0101 ext. 7", ["(212) 555-0100", "(212) 555-0101 ext. 7"]),
+    ("Call 4111 1111 1111 1111 1111 or Ticket 8661 6494 122", []),
+])
+def test_several_phones_in_a_run(names, text, phones):
+    assert [text[a:b] for a, b, k in pii.spans(text, names) if k == "phone"] == phones
+
+
 def tables(spark):
     filler = "the quick note is kept here. " * 20
     docs = [(1, filler + "Ada Byron wrote a@b.example"), (2, None), (3, ""), (4, "Byron, Ada; A@B.EXAMPLE"), (5, "Zora Quint met Ada Byron. " + filler * 300), (6, "🌱 c@d.test".encode("utf-16", "surrogatepass").decode("utf-16"))]
