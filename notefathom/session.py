@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,18 @@ def build_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a local session gets one of its own; on a cluster that is an error, since a machine's own folder
+    would hold only what its own executor wrote.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         found = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "notefathom-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,10 +49,11 @@ def cut_lineage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Lost executors cannot take the result with them, and the columnar, compressed files are far smaller than
-    a row checkpoint.
+    a row checkpoint.  The folder goes with ``discard`` or ``drop_cuts``, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
@@ -57,14 +65,19 @@ def cut_lineage(df: DataFrame, codec: str = "zstd") -> DataFrame:
 _CUTS: list[str] = []
 
 
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def discard(cut: DataFrame) -> None:
     """Delete a table of ``cut_lineage`` that nothing will read again."""
     _delete(cut.sparkSession, cut._cut)
+    if cut._cut in _CUTS:
+        _CUTS.remove(cut._cut)
 
 
 def drop_cuts(spark: SparkSession) -> None:
