@@ -1,11 +1,17 @@
 """Several values packed in one field: one row per value, with its position (problem 1).
 
-Every field is read with the dialect (which marks divide, how quotes are read) whose parse has the least description
-length.  A value's code length comes from how often that value occurs over the whole corpus, counted
-in a distributed aggregate; unseen values are spelled out by characters.  A dividing mark or an opening quote that a
-dialect leaves inside a value costs ``RESIDUE_BITS``, so a dialect that leaves none is never beaten by
-one that does, and a field with one residue-free parse needs no lookup.  Only fields whose residue-free parse is not
-unique, or that have none (unbalanced quotes, quotes run into words), go through the code-length join.
+Every distinct field text is parsed with every dialect: which kinds of marks divide, whether blanks do, how quotes are read.  The
+distinct parses are its candidates, and the cheapest by description length is taken.
+
+* A value costs ``log2(T / n)`` bits, where ``n`` is the number of distinct texts in which any dialect reads that value and ``T`` the sum of
+  all ``n``; both are counted over the whole corpus in a distributed aggregate.
+* A dividing mark, or the mark of a quote, that is written bare inside a value is an exception.  It costs ``log2(T) + 1`` bits, what it takes
+  to name one value that comes only once, and one more.
+* A stray apostrophe is no exception but a doubtful reading; it costs ``APOSTROPHE_BITS``, so how often the values come decides.
+
+The statement fixes that all marks divide and that quotes bind.  The cost of an exception is the least that says so at any size: two values
+read as one come in no more texts than either, so leaving a mark inside saves less than ``log2(T)``.  Where a
+parse without exceptions is there it therefore wins, and where several are, or none, the counts decide.
 
 Defined results: null, empty and blank fields give no rows; frontmatter that is not a JSON object gives no rows;
 objects inside the listed keys give no rows; booleans count as their JSON text.
@@ -40,12 +46,19 @@ QUOTES = {
 # Dashes that start a list item.
 DASHES = "-‐‑‒–—−*+"
 
-RESIDUE_BITS = 1000.0
-CHAR_BITS = 5.5
-ESCAPE_BITS = 12.0
-DIALECT_BITS = 2.0
+#: Cost of an apostrophe at a word's edge that is read as a letter, and of each dialect after the first.
+APOSTROPHE_BITS = 4.0
+DIALECT_BITS = 0.01
 
 _MARKS = {"comma": COMMAS, "semicolon": SEMICOLONS, "bar": BARS, "dot": DOTS, "line": LINES}
+ALL_MARKS = "".join(_MARKS.values())
+_KIND = {c: kind for kind, marks in _MARKS.items() for c in marks}
+QUOTE_MARKS = frozenset("".join(o + c for o, c in QUOTES.items()))
+
+
+@lru_cache(64)
+def _cut(marks: str, blanks: bool) -> re.Pattern:
+    return re.compile(rf"[{re.escape(marks)}" + (r"\s]" if blanks else "]"))
 
 
 @lru_cache(64)
@@ -76,10 +89,17 @@ def _unquote(text: str) -> str:
     return head + inner.strip()
 
 
-@lru_cache(64)
-def _residue(marks_all: str, blanks: bool) -> re.Pattern:
+_LINK = re.compile(r"\[\[(?:(?!\]\]).)*\]\]", re.DOTALL)
+
+
+@lru_cache(2)
+def _exceptions(blanks: bool) -> re.Pattern:
+    """Dividing marks and marks of quotes, apostrophes aside."""
     opens = "".join(re.escape(x) for x in QUOTES if x not in "'’‘")
-    return re.compile(rf"[{re.escape(marks_all)}{opens}]|(?<!\w)['‘]|['’](?!\w)" + (r"|\s" if blanks else ""))
+    return re.compile(rf"[{re.escape(ALL_MARKS)}{opens}]" + (r"|\s" if blanks else ""))
+
+
+_STRAY = re.compile(r"(?<!\w)['‘]|['’](?!\w)")
 
 
 def _strip_list(text: str) -> str:
@@ -90,12 +110,25 @@ def _strip_list(text: str) -> str:
     return text
 
 
-def parse(text: str, blanks: bool, marks: str, reading: str) -> tuple[list[str], int]:
-    """Values of one dialect, and how many structural marks it left inside unquoted values."""
+def parse(text: str, marks: str, blanks: bool, reading: str, field_blanks: bool) -> tuple[list[str], int, int]:
+    """Values of one dialect, and how many exceptions and stray apostrophes it left inside unquoted ones.
+
+    ``blanks`` tells whether blanks divide in this dialect, ``field_blanks`` whether they should in this field."""
     text = _strip_list(text)
-    out, left, at = [], 0, 0
-    every = "".join(_MARKS.values())
-    pattern, residue = _pattern(marks, blanks, reading), _residue(every, blanks)
+    out, left, stray, at = [], 0, 0, 0
+    if "[[" not in text and QUOTE_MARKS.isdisjoint(text):
+        for v in _cut(marks, blanks).split(text):
+            v = v.strip()
+            if len(v) > 1 and v[0] in DASHES and v[1].isspace():
+                v = v[2:].lstrip()
+            if marks != ALL_MARKS or blanks != field_blanks:
+                left += len(_exceptions(field_blanks).findall(v))
+            if field_blanks and v[:1] == "#":
+                v = v[1:].strip()
+            if v and not (len(v) == 1 and v in DASHES):
+                out.append(v)
+        return out, left, 0
+    pattern, exceptions = _pattern(marks, blanks, reading), _exceptions(field_blanks)
     while at < len(text):
         m = pattern.match(text, at)
         if not m or m.end() == at:
@@ -108,28 +141,48 @@ def parse(text: str, blanks: bool, marks: str, reading: str) -> tuple[list[str],
             v = m["link"]
         else:
             v = m["bare"].strip()
-            left += len(residue.findall(re.sub(r"\[\[(?:(?!\]\]).)*\]\]", "", v)))
-        if blanks and v[:1] == "#":
+            bare = _LINK.sub("", v) if "[[" in v else v
+            left += len(exceptions.findall(bare))
+            stray += len(_STRAY.findall(bare))
+        if field_blanks and v[:1] == "#":
             v = v[1:].strip()
         if v and not (len(v) == 1 and v in DASHES):
             out.append(v)
-    return out, left
+    return out, left, stray
+
+
+_PLAIN = re.compile(r"[\w\-.&+ ]*")
+_SPACE = re.compile(r"\s")
+
+
+def dialects(text: str, blanks: bool) -> list[tuple[str, bool, str]]:
+    """``(marks, blanks, reading)`` of the dialects that can differ on a text, the statement's own first."""
+    kinds = sorted({_KIND[c] for c in set(text) if c in _KIND})
+    quoted = not QUOTE_MARKS.isdisjoint(text)
+    spaced = blanks and _SPACE.search(text.strip()) is not None
+    out = [(ALL_MARKS, blanks, "paired")]
+    if quoted:
+        out += [(ALL_MARKS, blanks, "anywhere"), (ALL_MARKS, blanks, "literal")]
+    if len(kinds) > 1:
+        out += [("".join(m for k, m in _MARKS.items() if k != kind), blanks, "paired") for kind in kinds]
+    if kinds:
+        out.append(("\0", blanks, "paired"))
+    if spaced:
+        out.append((ALL_MARKS, False, "paired"))
+    return out
 
 
-def candidates(text: str, blanks: bool) -> list[tuple[list[str], float]]:
-    """Distinct parses of a field with the bits that do not depend on the corpus; one if it cannot be beaten."""
-    every = "".join(_MARKS.values())
-    first, left = parse(text, blanks, every, "paired")
-    if not left:
-        return [(first, 0.0)]
-    seen = [(first, left * RESIDUE_BITS)]
-    kinds = [k for k, marks in _MARKS.items() if any(c in text for c in marks)]
-    for n, (marks, reading) in enumerate([(every, "anywhere"), (every, "literal"), *(("".join(m for k, m in _MARKS.items() if k != kind), "paired") for kind in kinds)]):
-        vals, left = parse(text, blanks, marks, reading)
-        if all(vals != v for v, _ in seen):
-            seen.append((vals, left * RESIDUE_BITS + DIALECT_BITS * (n + 1)))
-    least = min(b for _, b in seen) + RESIDUE_BITS
-    return [(v, b) for v, b in seen if b < least]
+def candidates(text: str, blanks: bool) -> list[tuple[list[str], int, float]]:
+    """Distinct parses of a text: values, exceptions, and the bits that no corpus changes."""
+    if not blanks and _PLAIN.fullmatch(text) and text.strip()[:1] not in DASHES:
+        v = text.strip()  # nothing divides, quotes or starts an item: all dialects agree
+        return [([v] if v else [], 0, 0.0)]
+    seen: list[tuple[list[str], int, float]] = []
+    for n, (marks, divide, reading) in enumerate(dialects(text, blanks)):
+        vals, left, stray = parse(text, marks, divide, reading, blanks)
+        if all(vals != v for v, _, _ in seen):
+            seen.append((vals, left, stray * APOSTROPHE_BITS + n * DIALECT_BITS))
+    return seen
 
 
 def elements(value, key: str) -> list[str]:
@@ -147,19 +200,12 @@ def elements(value, key: str) -> list[str]:
     return out
 
 
-_UNIT = pa.schema([
-    ("rec_table", pa.string()), ("rec_id", pa.int64()), ("field", pa.string()), ("sure", pa.list_(pa.string())),
-    ("open", pa.list_(pa.list_(pa.struct([("vals", pa.list_(pa.string())), ("bits", pa.float64())])))),
-])
-_UNIT_DDL = "rec_table string, rec_id long, field string, sure array<string>, open array<array<struct<vals: array<string>, bits: double>>>"
+_UNIT = pa.schema([("rec_table", pa.string()), ("rec_id", pa.int64()), ("field", pa.string()), ("texts", pa.list_(pa.string()))])
+_UNIT_DDL = "rec_table string, rec_id long, field string, texts array<string>"
 
 
-def _unit(rec_table: str, rec_id: int, field: str, texts: list[str]) -> tuple | None:
-    parses = [candidates(t, field in BLANK_KEYS) for t in texts]
-    if all(len(p) == 1 for p in parses):
-        sure = [jsontext.clean(v) for p in parses for v in p[0][0]]
-        return (rec_table, rec_id, field, sure, None) if sure else None
-    return rec_table, rec_id, field, None, [[{"vals": [jsontext.clean(v) for v in vals], "bits": bits} for vals, bits in p] for p in parses]
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
 def _frontmatter_units(batches):
@@ -169,15 +215,54 @@ def _frontmatter_units(batches):
             obj = jsontext.read(text)
             if isinstance(obj, dict):
                 for key in KEYS:
-                    if key in obj and (u := _unit("nodes", rec_id, key, elements(obj[key], key))):
-                        rows.append(u)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _UNIT)], schema=_UNIT)
+                    if key in obj and (texts := [jsontext.clean(t) for t in elements(obj[key], key) if t]):
+                        rows.append(("nodes", rec_id, key, texts))
+        yield _batch(rows, _UNIT)
 
 
-def _record_units(batches):
+_PARSED = pa.schema([
+    ("text", pa.string()), ("blanks", pa.bool_()),
+    ("cands", pa.list_(pa.struct([("vals", pa.list_(pa.string())), ("left", pa.int32()), ("bits", pa.float64())]))), ("every", pa.list_(pa.string())),
+])
+_PARSED_DDL = "text string, blanks boolean, cands array<struct<vals: array<string>, left: int, bits: double>>, every array<string>"
+
+
+def _parses(batches):
     for batch in batches:
-        rows = [u for rec_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text and (u := _unit("note_records", rec_id, "tags", [text]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _UNIT)], schema=_UNIT)
+        rows = []
+        for text, blanks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got = candidates(text, blanks)
+            rows.append((text, blanks, [{"vals": v, "left": left, "bits": bits} for v, left, bits in got], list({v for vals, _, _ in got for v in vals})))
+        yield _batch(rows, _PARSED)
+
+
+def texts_of(units: DataFrame) -> DataFrame:
+    """``text, blanks`` of every distinct field text."""
+    return units.select(F.explode("texts").alias("text"), F.col("field").isin(*BLANK_KEYS).alias("blanks")).distinct()
+
+
+def parsed(units: DataFrame) -> DataFrame:
+    """``text, blanks, cands, every``: the candidates of every distinct text, parsed once."""
+    return cut_lineage(texts_of(units).mapInArrow(_parses, _PARSED_DDL))
+
+
+def cheapest(parses: DataFrame) -> DataFrame:
+    """``text, blanks, vals, cand, n_cands``: the candidate of least description length of each text."""
+    known = parses.select(F.explode("every").alias("val")).groupBy("val").agg(F.count("*").alias("n"))
+    total = float(parses.agg(F.coalesce(F.sum(F.size("every")), F.lit(0)).alias("n")).first().n or 1)
+    one = parses.where(F.size("cands") == 1).select("text", "blanks", F.col("cands")[0]["vals"].alias("vals"), F.lit(0).alias("cand"), F.lit(1).alias("n_cands"))
+    several = parses.where(F.size("cands") > 1)
+    # each text's values meet their counts once, however many dialects read them
+    lengths = (
+        several.select("text", "blanks", F.explode("every").alias("val")).join(known, "val")
+        .groupBy("text", "blanks").agg(F.map_from_entries(F.collect_list(F.struct("val", F.log2(F.lit(total) / F.col("n"))))).alias("lengths"))
+    )
+    exception = F.log2(F.lit(total)) + 1
+    cost = lambda c, m: c["bits"] + c["left"] * exception + F.aggregate(c["vals"], F.lit(0.0), lambda s, v: s + m[v])
+    chosen = several.join(lengths, ["text", "blanks"], "left").select(
+        "text", "blanks", F.array_min(F.transform("cands", lambda c, i: F.struct(F.coalesce(cost(c, F.col("lengths")), c["bits"]).alias("cost"), i.alias("cand"), c["vals"].alias("vals")))).alias("x"), F.size("cands").alias("n_cands")
+    )
+    return one.unionByName(chosen.select("text", "blanks", "x.vals", "x.cand", "n_cands"))
 
 
 def unpack(nodes: DataFrame, records: DataFrame) -> DataFrame:
@@ -185,32 +270,20 @@ def unpack(nodes: DataFrame, records: DataFrame) -> DataFrame:
     fm = nodes.where(F.col("frontmatter").isNotNull() & (F.col("frontmatter") != "") & F.col("frontmatter").rlike('"(tags?|aliases|keywords|related|contributors)"|\\\\u'))
     units = cut_lineage(
         fm.select(F.col("row_id").cast("long"), F.col("frontmatter").cast("string")).mapInArrow(_frontmatter_units, _UNIT_DDL)
-        .unionByName(records.where(F.col("tags").isNotNull()).select(F.col("record_id").cast("long"), F.col("tags").cast("string")).mapInArrow(_record_units, _UNIT_DDL))
-    )
-    sure = units.where(F.col("sure").isNotNull())
-    cols = ["rec_table", "rec_id", "field"]
-    plain = sure.select(*cols, F.posexplode("sure").alias("pos", "val"))
-
-    opened = units.where(F.col("open").isNotNull()).withColumn("unit", F.monotonically_increasing_id())
-    parses = (
-        opened.select("unit", *cols, F.posexplode("open").alias("elem", "cands"))
-        .select("unit", *cols, "elem", F.posexplode("cands").alias("cand", "c"))
-        .select("unit", *cols, "elem", "cand", "c.bits", F.posexplode_outer("c.vals").alias("at", "val"))
-    )
-    known = sure.select(F.explode("sure").alias("val")).groupBy("val").agg(F.count("*").alias("n"))
-    total = sure.agg(F.coalesce(F.sum(F.size("sure")), F.lit(0)).alias("n")).first().n
-    bits = F.when(F.col("val").isNull(), 0.0).when(F.col("n").isNotNull(), -F.log2(F.col("n") / (total + 1.0))).otherwise(ESCAPE_BITS + CHAR_BITS * (F.length("val") + 1))
-    scored = (
-        parses.join(known, "val", "left")
-        .groupBy("unit", *cols, "elem", "cand")
-        .agg((F.first("bits") + F.sum(bits)).alias("cost"), F.sort_array(F.collect_list(F.when(F.col("val").isNotNull(), F.struct("at", "val")))).alias("vals"))
+        .unionByName(records.where(F.col("tags") != "").select(F.lit("note_records").alias("rec_table"), F.col("record_id").cast("long").alias("rec_id"), F.lit("tags").alias("field"), F.array(F.col("tags").cast("string")).alias("texts")))
+        .withColumn("unit", F.monotonically_increasing_id())
     )
-    chosen = (
-        scored.groupBy("unit", *cols, "elem").agg(F.min_by("vals", F.struct("cost", "cand")).alias("vals"))
-        .groupBy("unit", *cols).agg(F.sort_array(F.collect_list(F.struct("elem", "vals"))).alias("elems"))
-        .select(*cols, F.posexplode(F.expr("transform(flatten(transform(elems, e -> e.vals)), v -> v.val)")).alias("pos", "val"))
+    cols = ["unit", "rec_table", "rec_id", "field"]
+    best = cut_lineage(cheapest(parsed(units)).select("text", "blanks", "vals"))
+    asked = units.select(*cols, (F.size("texts") > 1).alias("listed"), F.posexplode("texts").alias("elem", "text")).withColumn("blanks", F.col("field").isin(*BLANK_KEYS))
+    read = asked.join(best, ["text", "blanks"]).where(F.size("vals") > 0)
+    # only the elements of a list have to come together again, to be counted through
+    lists = (
+        read.where("listed").groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct("elem", "vals"))).alias("elems"))
+        .select(*cols, F.flatten(F.transform("elems", lambda e: e["vals"])).alias("vals"))
     )
-    return plain.unionByName(chosen).select(*cols, F.col("pos").cast("int").alias("pos"), "val")
+    every = read.where("not listed").select(*cols, "vals").unionByName(lists)
+    return every.select("rec_table", "rec_id", "field", F.posexplode("vals").alias("pos", "val"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,8 +31,34 @@ CASES = [
 @pytest.mark.parametrize(("text", "blanks", "values"), CASES)
 def test_dialects(text, blanks, values):
     got = packed.candidates(text, blanks)
-    assert got[0] == (values, 0.0)
-    assert len(got) == 1
+    assert got[0][:2] == (values, 0)
+
+
+def _chosen(spark, texts: list[tuple[str, bool]]) -> dict:
+    units = spark.createDataFrame([(i, [t], "tags" if b else "aliases") for i, (t, b) in enumerate(texts)], "unit long, texts array<string>, field string")
+    return {(r.text, r.blanks): r for r in packed.cheapest(packed.parsed(units)).collect()}
+
+
+def test_cheapest_of_several_dialects(spark):
+    got = _chosen(spark, [(t, b) for t, b, _ in CASES])
+    assert all(got[t, b].vals == v for t, b, v in CASES)
+    assert sum(r.n_cands > 1 for r in got.values()) > len(CASES) / 2
+
+
+def test_counts_decide_between_parses_without_exceptions(spark):
+    text = "'tis, 'twas"
+    assert [left for _, left, _ in packed.candidates(text, False)][:2] == [0, 0]
+    alone = _chosen(spark, [(text, False)])
+    assert alone[text, False].vals == ["tis,", "twas"]
+    often = _chosen(spark, [(text, False), *((f"'tis, x{i}", False) for i in range(60)), *((f"'twas, y{i}", False) for i in range(60))])
+    assert often[text, False].vals == ["'tis", "'twas"]
+
+
+def test_a_mark_left_inside_never_pays(spark):
+    # the whole text comes as one element in many texts, its parts in no other
+    texts = [(f"Quay, Anton; n{i}", False) for i in range(80)]
+    got = _chosen(spark, [*texts, ("Quay, Anton", False)])
+    assert got["Quay, Anton", False].vals == ["Quay", "Anton"] and all(got[t].vals == ["Quay", "Anton", f"n{i}"] for i, t in enumerate(texts))
 
 
 def test_open_quote_has_several_readings():
