@@ -12,7 +12,8 @@ A record is the set of its distinct three-word sequences.  Records with one set
    overlap; groups below the bound are not opened.
 4. Members of opened groups are compared with the class: prefix overlap and size first, then the whole sets.
 
-Groups and classes may hold a third of all rows: joins on them are salted into blocks of members.
+Groups and classes may hold a third of all rows: joins on them run in a grid of blocks of askers and blocks of members.  Texts are
+cut into words once; the later steps read the hashes of the words from the shared folder.
 
 Defined results: null contents, and texts under the least number of words, take part in no pair; repeated rows and copies
 pair like any other rows of different ids; a null id differs from every id but not from another null.
@@ -35,10 +36,12 @@ from .sketch import sketch
 THRESHOLD, LEAST_WORDS, SHARED = 0.7, 30, 3
 #: log2 of the sketch's cells: one byte each when broadcast, so never over 16 MB.
 MOST_BITS = 24
-#: log2 of the bits of the filter that tells whose whole sets are needed.
-FILTER_BITS = 23
-#: Members of one block of a salted join.
-BLOCK = 500
+#: Bits per class of the filter that tells whose whole sets are needed, and log2 of the most bits it may have (16 MB).
+FILTER_DENSITY, MOST_FILTER_BITS = 16, 27
+#: Members, and askers, of one block of a salted join.
+BLOCK, ASKERS = 500, 20_000
+#: Entries of a token above which its groups are met in blocks.
+HOT = 2_000
 
 _U = np.uint64
 _WORD_HASHES: dict[str, int] = {}
@@ -63,13 +66,19 @@ def _word_hash(word: str) -> int:
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-def words(titles: pa.Array, contents: pa.Array, least: int) -> pa.ListArray:
-    """Words of title and content in one sequence; none for a null content or fewer than ``least`` words."""
-    out = []
-    for t, c in zip(titles.to_pylist(), contents.to_pylist()):
-        found = _WORDS(f"{t} {c}".lower() if t else c.lower()) if c is not None else []
-        out.append(found if len(found) >= least else [])
-    return pa.array(out, pa.list_(pa.string()))
+def words(titles: pa.Array, contents: pa.Array, least: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Rows with at least ``least`` words in title and content, and the hashes of those words in one sequence each."""
+    rows, flat, ends = [], [], [0]
+    for k, (t, c) in enumerate(zip(titles.to_pylist(), contents.to_pylist())):
+        found = _WORDS(f"{t} {c}".lower() if t else c.lower()) if c is not None else ()
+        if len(found) >= least:
+            rows.append(k)
+            flat += found
+            ends.append(len(flat))
+    coded = pa.array(flat, pa.string()).dictionary_encode()
+    names = np.fromiter(map(_word_hash, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = names[coded.indices.to_numpy()] if len(flat) else names
+    return np.array(rows, np.int64), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
 
 
 def _grouped(rec: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -79,14 +88,11 @@ def _grouped(rec: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def sequences(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """``(record, hash)`` of the distinct three-word sequences of a batch, sorted by both."""
+    """``(record, hash)`` of the distinct three-word sequences of a batch of hashed words, sorted by both."""
     sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = words.flatten()
-    if len(flat) < 3:
+    w = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    if len(w) < 3:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    coded = flat.dictionary_encode()
-    names = np.fromiter(map(_word_hash, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    w = names[coded.indices.to_numpy()]
     rec = np.repeat(np.arange(len(sizes)), sizes)
     h = _mix(_mix(_mix(w[:-2] + _U(0x9E3779B97F4A7C15)) + w[1:-1]) + w[2:])
     whole = rec[:-2] == rec[2:]
@@ -98,9 +104,9 @@ def sequences(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return rec[first], h[first]
 
 
-def _cells(bits: int, least_words: int):
+def _cells(bits: int):
     def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        _, h = sequences(words(batch.column(0), batch.column(1), least_words))
+        _, h = sequences(batch.column(0))
         return (h >> _U(64 - bits)).astype(np.int64), np.ones(len(h), np.int64)
 
     return of
@@ -108,6 +114,27 @@ def _cells(bits: int, least_words: int):
 
 # ---- records ------------------------------------------------------------------------------------------------------
 
+_WORDED = pa.schema([("row_id", pa.int64()), ("id", pa.string()), ("words", pa.list_(pa.int64()))])
+_WORDED_DDL = "row_id long, id string, words array<long>"
+
+
+def _worded(least_words: int):
+    def run(batches):
+        for batch in batches:
+            rows, hashes = words(batch.column(2), batch.column(3), least_words)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), hashes], schema=_WORDED)
+
+    return run
+
+
+def worded(nodes: DataFrame, least_words: int) -> DataFrame:
+    """``row_id, id, words`` of the records with enough words, cut and hashed once for all later steps."""
+    long = F.coalesce(F.length("title"), F.lit(0)) + F.length("content") + 1 >= 2 * least_words - 1
+    some = nodes.where(F.col("content").isNotNull() & long)
+    return cut_lineage(some.select(F.col("row_id").cast("long"), F.col("id").cast("string"), F.col("title").cast("string"), F.col("content").cast("string")).mapInArrow(_worded(least_words), _WORDED_DDL))
+
+
 _RECORD = pa.schema([("row_id", pa.int64()), ("id", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("grp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 _RECORD_DDL = "row_id long, id string, k1 long, k2 long, n int, grp long, prefix array<long>"
 
@@ -117,11 +144,11 @@ def need(n, threshold: float):
     return np.ceil(n * threshold - 1e-9)
 
 
-def _records(cells, bits: int, threshold: float, least_words: int):
+def _records(cells, bits: int, threshold: float):
     def run(batches):
         counts = np.frombuffer(cells.value, np.uint8)
         for batch in batches:
-            rec, h = sequences(words(batch.column(2), batch.column(3), least_words))
+            rec, h = sequences(batch.column(2))
             rows, start = np.unique(rec, return_index=True)
             if not len(rows):
                 continue
@@ -146,62 +173,69 @@ def _records(cells, bits: int, threshold: float, least_words: int):
     return run
 
 
-def compared(nodes: DataFrame, least_words: int) -> DataFrame:
-    """``row_id, id, title, content`` of the records that may have enough words."""
-    long = F.coalesce(F.length("title"), F.lit(0)) + F.length("content") + 1 >= 2 * least_words - 1
-    return nodes.where(F.col("content").isNotNull() & long).select(F.col("row_id").cast("long"), F.col("id").cast("string"), F.col("title").cast("string"), F.col("content").cast("string"))
-
-
 def _bits_for(total: int) -> int:
     return max(12, min(MOST_BITS, math.ceil(math.log2(2 * max(1, total)))))
 
 
-def blocked(many: DataFrame, members: DataFrame, on: list[str], member: str) -> DataFrame:
-    """``many`` join ``members`` on keys that may be hot: members fall into blocks, and each row of ``many`` meets each block
-    of its key."""
-    sizes = members.groupBy(*on).agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    salted = members.join(sizes, on).withColumn("salt", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")).drop("blocks")
-    spread = many.join(sizes, on).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    return spread.join(salted, [*on, "salt"]).drop("salt")
+def blocked(many: DataFrame, members: DataFrame, on: list[str], asker: str, member: str) -> DataFrame:
+    """``many`` join ``members`` on keys that may be hot on either side: askers and members fall into blocks, and each block of askers
+    meets each block of members of its key in a group of its own."""
+    held = members.groupBy(*on).agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    asked = many.groupBy(*on).agg((1 + F.floor(F.count("*") / ASKERS)).cast("int").alias("parts"))
+    grid = held.join(asked, on)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    salted = members.join(grid, on).withColumn("salt", own(member, "blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
+    spread = many.join(grid, on).withColumn("part", own(asker, "parts")).withColumn("salt", each("blocks")).drop("blocks", "parts")
+    return spread.join(salted, [*on, "salt", "part"]).drop("salt", "part")
 
 
 _SET = pa.schema([("row_id", pa.int64()), ("seqs", pa.list_(pa.int64()))])
 
 
-def whole_sets(rows: DataFrame, ids: DataFrame, least_words: int) -> DataFrame:
-    """``row_id, seqs`` of rows whose ``row_id`` may be among ``ids``: a bitmap of a fixed size tells, whose false hits only cost time."""
-    size = 1 << FILTER_BITS
-    bit = F.pmod(F.xxhash64("rep"), F.lit(size)) + 1  # the bitmap functions count from 1
-    parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
-    flags = np.zeros(size, bool)
-    for r in parts:  # 2 ** FILTER_BITS bits at most
-        got = np.unpackbits(np.frombuffer(r.map, np.uint8), bitorder="little")
-        flags[(r.bucket - 1) * len(got) : r.bucket * len(got)] = got[: size - (r.bucket - 1) * len(got)]
-    held = rows.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
+def whole_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``row_id, seqs`` of the rows of ``worded`` whose ``row_id`` is among the ``rep`` of ``ids``, and maybe of some others.
+
+    A bitmap of ``FILTER_DENSITY`` bits an id tells, whose false hits only cost time; where it would be over its bound, a
+    semi-join on the ids does.
+    """
+    wanted = ids.distinct().count()
+    bits = max(16, math.ceil(math.log2(FILTER_DENSITY * max(1, wanted))))
+    if bits > MOST_FILTER_BITS:
+        some, held = rows.where("row_id is not null").join(ids.select(F.col("rep").alias("row_id")).distinct(), "row_id", "left_semi").select(F.lit(0).cast("long").alias("bit"), "row_id", "words"), None
+    else:
+        size = 1 << bits
+        bit = F.pmod(F.xxhash64("rep"), F.lit(size)) + 1  # the bitmap functions count from 1
+        parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
+        flags = np.zeros(size, bool)
+        for r in parts:  # 2 ** MOST_FILTER_BITS bits at most
+            got = np.unpackbits(np.frombuffer(r.map, np.uint8), bitorder="little")
+            flags[(r.bucket - 1) * len(got) : r.bucket * len(got)] = got[: size - (r.bucket - 1) * len(got)]
+        held = rows.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
+        some = rows.where("row_id is not null").select(F.pmod(F.xxhash64("row_id"), F.lit(size)).alias("bit"), "row_id", "words")
 
     def run(batches):
-        wanted = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        wanted = None if held is None else np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(0).to_numpy()]))
-            rec, h = sequences(words(batch.column(2), batch.column(3), least_words))
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted[batch.column(0).to_numpy()]))
+            rec, h = sequences(batch.column(2))
             counts = np.bincount(rec, minlength=batch.num_rows)
             seqs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(1), seqs], schema=_SET)
 
-    return rows.where("row_id is not null").select(F.pmod(F.xxhash64("row_id"), F.lit(size)).alias("bit"), "row_id", "title", "content").mapInArrow(run, "row_id long, seqs array<long>")
+    return some.mapInArrow(run, "row_id long, seqs array<long>")
 
 
 class Join:
     """The steps of one similarity join, for the queries that want pairs, classes or groups."""
 
     def __init__(self, nodes: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS):
-        self.nodes, self.threshold, self.least_words = nodes, threshold, least_words
-        spark = nodes.sparkSession
-        rows = compared(nodes, least_words)
-        chars = nodes.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n")).first().n
-        self.bits = _bits_for(chars // 12)
-        cells = spark.sparkContext.broadcast(sketch(rows.select("title", "content"), _cells(self.bits, least_words), self.bits).tobytes())
-        self.records = cut_lineage(rows.mapInArrow(_records(cells, self.bits, threshold, least_words), _RECORD_DDL))
+        self.threshold = threshold
+        self.words = worded(nodes, least_words)
+        self.bits = _bits_for(self.words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n)
+        cells = nodes.sparkSession.sparkContext.broadcast(sketch(self.words.select("words"), _cells(self.bits), self.bits).tobytes())
+        self.records = cut_lineage(self.words.mapInArrow(_records(cells, self.bits, threshold), _RECORD_DDL))
         self.reps = cut_lineage(
             self.records.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
         )
@@ -209,24 +243,31 @@ class Join:
     def candidates(self) -> DataFrame:
         """``rep_a < rep_b`` of classes that the matrix and then the members' prefixes leave."""
         t, reps = self.threshold, self.reps.where(F.size("prefix") > 0)
-        entries = reps.select("rep", "n", "grp", F.explode("prefix").alias("token")).repartition("token")
-        matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("held"))
-        query = entries.select("token", "rep", "n", F.col("grp").alias("own"))
+        entries = reps.select("rep", "n", "grp", F.explode("prefix").alias("token"))
+        hot = cut_lineage(entries.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("token"))
         least = lambda n: F.least(F.lit(SHARED), F.ceil(n * t - 1e-9))
-        opened = (
-            query.join(matrix, "token").where((F.col("own") != F.col("grp")) | (F.col("held") > 1))
-            .where((F.col("least") * t <= F.col("n") + 1e-9) & (F.col("most") + 1e-9 >= F.col("n") * t))
-            .groupBy("rep", "n", "grp").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-            .where(F.col("shared") >= F.least(least(F.col("n")), least(F.col("least"))))
-            .select("rep", "n", "grp")
-        )
-        opened = cut_lineage(opened)
+
+        def met_groups(entries: DataFrame, hot: bool) -> DataFrame:
+            matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("held"))
+            query = entries.select("token", "rep", "n", F.col("grp").alias("own"))
+            both = blocked(query, matrix, ["token"], "rep", "grp") if hot else query.join(matrix, "token")
+            return (
+                both.where((F.col("own") != F.col("grp")) | (F.col("held") > 1))
+                .where((F.col("least") * t <= F.col("n") + 1e-9) & (F.col("most") + 1e-9 >= F.col("n") * t))
+                .groupBy("rep", "n", "grp").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+            )
+
+        if hot.limit(1).count():
+            both = met_groups(entries.join(hot, "token", "left_anti").repartition("token"), False).unionByName(met_groups(entries.join(hot, "token", "left_semi"), True))
+            shared = both.groupBy("rep", "n", "grp").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+        else:
+            shared = met_groups(entries.repartition("token"), False)
+        opened = cut_lineage(shared.where(F.col("shared") >= F.least(least(F.col("n")), least(F.col("least")))).select("rep", "n", "grp"))
         members = reps.join(opened.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("prefix").alias("theirs"))
-        mine = opened.join(reps.select("rep", "prefix"), "rep")
-        met = blocked(mine, members, ["grp"], "other").where(F.col("rep") != F.col("other"))
+        met = blocked(opened, members, ["grp"], "rep", "other").where(F.col("rep") != F.col("other"))
+        met = met.where((F.col("m") * t <= F.col("n") + 1e-9) & (F.col("n") * t <= F.col("m") + 1e-9)).join(reps.select("rep", "prefix"), "rep")
         return (
-            met.where((F.col("m") * t <= F.col("n") + 1e-9) & (F.col("n") * t <= F.col("m") + 1e-9))
-            .where(F.size(F.array_intersect("prefix", "theirs")) >= F.least(least(F.col("n")), least(F.col("m"))))
+            met.where(F.size(F.array_intersect("prefix", "theirs")) >= F.least(least(F.col("n")), least(F.col("m"))))
             .select(F.least("rep", "other").alias("rep_a"), F.greatest("rep", "other").alias("rep_b")).distinct()
         )
 
@@ -234,7 +275,7 @@ class Join:
         """``rep_a, rep_b, similarity`` of the pairs of classes that reach the threshold."""
         pairs = cut_lineage(self.candidates())
         ids = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b"))
-        sets = cut_lineage(whole_sets(compared(self.nodes, self.least_words), ids, self.least_words).dropDuplicates(["row_id"]))
+        sets = cut_lineage(whole_sets(self.words, ids).dropDuplicates(["row_id"]))
         both = F.size(F.array_intersect("a", "b"))
         joined = pairs.join(sets.select(F.col("row_id").alias("rep_a"), F.col("seqs").alias("a")), "rep_a").join(sets.select(F.col("row_id").alias("rep_b"), F.col("seqs").alias("b")), "rep_b")
         return (
@@ -253,8 +294,8 @@ class Join:
         member = cut_lineage(self.membership())
         twins = member.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
         linked = pairs.select("rep_a", "rep_b").union(twins)
-        left = blocked(linked, member.select(F.col("rep").alias("rep_a"), F.col("row_id").alias("x"), F.col("id").alias("id_x")), ["rep_a"], "x")
-        both = blocked(left, member.select(F.col("rep").alias("rep_b"), F.col("row_id").alias("y"), F.col("id").alias("id_y")), ["rep_b"], "y")
+        left = blocked(linked, member.select(F.col("rep").alias("rep_a"), F.col("row_id").alias("x"), F.col("id").alias("id_x")), ["rep_a"], "rep_b", "x")
+        both = blocked(left, member.select(F.col("rep").alias("rep_b"), F.col("row_id").alias("y"), F.col("id").alias("id_y")), ["rep_b"], "x", "y")
         return (
             both.where(~F.col("id_x").eqNullSafe(F.col("id_y")) & ((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y"))))
             .select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
