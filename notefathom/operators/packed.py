@@ -242,8 +242,8 @@ def texts_of(units: DataFrame) -> DataFrame:
 
 
 def parsed(units: DataFrame) -> DataFrame:
-    """``text, blanks, cands, every``: the candidates of every distinct text, parsed once."""
-    return cut_lineage(texts_of(units).mapInArrow(_parses, _PARSED_DDL))
+    """``tid, text, blanks, cands, every``: the candidates of every distinct text, parsed once and numbered."""
+    return cut_lineage(texts_of(units).mapInArrow(_parses, _PARSED_DDL).withColumn("tid", F.monotonically_increasing_id()))
 
 
 def cheapest(parses: DataFrame) -> DataFrame:
@@ -254,12 +254,12 @@ def cheapest(parses: DataFrame) -> DataFrame:
     several = parses.where(F.size("cands") > 1)
     # each text's values meet their counts once, however many dialects read them
     lengths = (
-        several.select("text", "blanks", F.explode("every").alias("val")).join(known, "val")
-        .groupBy("text", "blanks").agg(F.map_from_entries(F.collect_list(F.struct("val", F.log2(F.lit(total) / F.col("n"))))).alias("lengths"))
+        several.select("tid", F.explode("every").alias("val")).join(known, "val")
+        .groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("val", F.log2(F.lit(total) / F.col("n"))))).alias("lengths"))
     )
     exception = F.log2(F.lit(total)) + 1
     cost = lambda c, m: c["bits"] + c["left"] * exception + F.aggregate(c["vals"], F.lit(0.0), lambda s, v: s + m[v])
-    chosen = several.join(lengths, ["text", "blanks"], "left").select(
+    chosen = several.join(lengths, "tid", "left").select(
         "text", "blanks", F.array_min(F.transform("cands", lambda c, i: F.struct(F.coalesce(cost(c, F.col("lengths")), c["bits"]).alias("cost"), i.alias("cand"), c["vals"].alias("vals")))).alias("x"), F.size("cands").alias("n_cands")
     )
     return one.unionByName(chosen.select("text", "blanks", "x.vals", "x.cand", "n_cands"))
