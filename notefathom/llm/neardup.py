@@ -66,8 +66,8 @@ def _word_hash(word: str) -> int:
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-def words(titles: pa.Array, contents: pa.Array, least: int) -> tuple[np.ndarray, pa.ListArray]:
-    """Rows with at least ``least`` words in title and content, and the hashes of those words in one sequence each."""
+def words(titles: pa.Array, contents: pa.Array, least: int) -> tuple[np.ndarray, pa.Array]:
+    """Rows with at least ``least`` words in title and content, and the hashes of those words in one sequence each, as bytes."""
     rows, flat, ends = [], [], [0]
     for k, (t, c) in enumerate(zip(titles.to_pylist(), contents.to_pylist())):
         found = _WORDS(f"{t} {c}".lower() if t else c.lower()) if c is not None else ()
@@ -78,7 +78,14 @@ def words(titles: pa.Array, contents: pa.Array, least: int) -> tuple[np.ndarray,
     coded = pa.array(flat, pa.string()).dictionary_encode()
     names = np.fromiter(map(_word_hash, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     hashes = names[coded.indices.to_numpy()] if len(flat) else names
-    return np.array(rows, np.int64), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
+    return np.array(rows, np.int64), pa.array([hashes[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+
+
+def _unpacked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each record, and all hashes one after the other."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // 8 if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2] if len(words) else None
+    return np.diff(ends).astype(np.int64), np.frombuffer(data, np.uint64, ends[-1])[ends[0] :] if data is not None and ends[-1] else np.empty(0, np.uint64)
 
 
 def _grouped(rec: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -87,10 +94,9 @@ def _grouped(rec: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")]
 
 
-def sequences(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def sequences(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(record, hash)`` of the distinct three-word sequences of a batch of hashed words, sorted by both."""
-    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    w = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes, w = _unpacked(words)
     if len(w) < 3:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     rec = np.repeat(np.arange(len(sizes)), sizes)
@@ -114,8 +120,8 @@ def _cells(bits: int):
 
 # ---- records ------------------------------------------------------------------------------------------------------
 
-_WORDED = pa.schema([("row_id", pa.int64()), ("id", pa.string()), ("words", pa.list_(pa.int64()))])
-_WORDED_DDL = "row_id long, id string, words array<long>"
+_WORDED = pa.schema([("row_id", pa.int64()), ("id", pa.string()), ("words", pa.binary())])
+_WORDED_DDL = "row_id long, id string, words binary"
 
 
 def _worded(least_words: int):
@@ -180,13 +186,14 @@ def _bits_for(total: int) -> int:
 def blocked(many: DataFrame, members: DataFrame, on: list[str], asker: str, member: str) -> DataFrame:
     """``many`` join ``members`` on keys that may be hot on either side: askers and members fall into blocks, and each block of askers
     meets each block of members of its key in a group of its own."""
-    held = members.groupBy(*on).agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    asked = many.groupBy(*on).agg((1 + F.floor(F.count("*") / ASKERS)).cast("int").alias("parts"))
-    grid = held.join(asked, on)
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    salted = members.join(grid, on).withColumn("salt", own(member, "blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
-    spread = many.join(grid, on).withColumn("part", own(asker, "parts")).withColumn("salt", each("blocks")).drop("blocks", "parts")
+    held = members.groupBy(*on).agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    asked = many.groupBy(*on).agg((1 + F.floor(F.count("*") / ASKERS)).cast("int").alias("parts")).where("parts > 1")
+    # only hot keys are in the grid; as a written table its size is known, and Spark broadcasts it where that is small
+    grid = cut_lineage(held.join(asked, on, "full"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    salted = members.join(grid, on, "left").withColumn("salt", own(member, F.col("blocks"))).withColumn("part", each(F.col("parts"))).drop("blocks", "parts")
+    spread = many.join(grid, on, "left").withColumn("part", own(asker, F.col("parts"))).withColumn("salt", each(F.col("blocks"))).drop("blocks", "parts")
     return spread.join(salted, [*on, "salt", "part"]).drop("salt", "part")
 
 
@@ -233,7 +240,7 @@ class Join:
     def __init__(self, nodes: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS):
         self.threshold = threshold
         self.words = worded(nodes, least_words)
-        self.bits = _bits_for(self.words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n)
+        self.bits = _bits_for(self.words.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)).cast("long").alias("n")).first().n)
         cells = nodes.sparkSession.sparkContext.broadcast(sketch(self.words.select("words"), _cells(self.bits), self.bits).tobytes())
         self.records = cut_lineage(self.words.mapInArrow(_records(cells, self.bits, threshold), _RECORD_DDL))
         self.reps = cut_lineage(
