@@ -1,12 +1,24 @@
 """Personal information inside free text (problem 8).
 
 Addresses of mail, phone numbers, identity numbers and street addresses are found by their written form and the words before
-them.  Names are found by form and by how their words are written over the whole corpus: a pair of capitalised words is a
-name when both are known from the contacts or hardly ever come in lower case.  Those counts come from a count-min sketch of a
-fixed size over all texts.
+them.  Names are found by form and by how their words are written over the whole corpus: a pair of capitalised words, in any script that
+has capitals, is a name when both are known from the contacts or hardly ever come in lower case.  Those counts come from a count-min
+sketch of a fixed size over all texts.  In Chinese, Japanese and Korean script a name is two words, or one split by a middle dot, before an
+honorific, or two words known from the contacts.
 
-``redacted`` puts a typed placeholder in place of each occurrence; ``surrogates`` puts a keyed replacement of the same kind, script and
-format there, the same one for the same entity everywhere, different ones for different entities.
+``redacted`` puts a typed placeholder in place of each occurrence, in the pass that finds them.
+
+Surrogates are keyed replacements of the same kind, script and format, the same for the same entity everywhere.  They are made token by token:
+
+* a word becomes a made-up word of its script and case, whose first letter only hangs on the first letter, so initials fit given names;
+  a final vowel stays one (the tables tell no gender, and in many languages that letter does);
+* digits, and letters of identity numbers, go through a keyed permutation of all strings of their form, so different ones stay different;
+  country code, trunk zero and extension mark of a phone stay;
+* words that mean a kind of street, particles of names, and the top domain stay.
+
+A distributed check gives a word or number a further turn while its replacement is also another's, or is a real word or number of the corpus,
+until none is left; words grow with their turns, so this ends.  Numbers of a form so crowded that no free one is found in ``CROWDED``
+turns keep the plain permutation: still distinct, though maybe somebody's.
 
 All matching runs on a copy of the text in which full-width forms, blanks and dashes are mapped one to one, so positions
 are those of the text.  Defined results: null and empty texts give no rows; texts without cases come out unchanged.
@@ -15,17 +27,21 @@ are those of the text.  Defined results: null and empty texts give no rows; text
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, table
+from ..session import cut_lineage, discard, table
 from .sketch import decoded, sketch
 
 KINDS = ("email", "id_number", "address", "phone", "name")
@@ -52,7 +68,7 @@ _HOST_SPOKEN = re.compile(rf"(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-
 _DOT_SPOKEN = re.compile(_DOT)
 _AT = re.compile(r"@|[\[({<]\s?(?:at|AT|@|arroba)\s?[\])}>]\s?| (?:at|AT|arroba) ")
 # Words that are no host and no mailbox.
-_NOT_HOST = frozenset("the a an this that our your his her their my its which what any some each every no nine seven".split())
+_NOT_HOST = frozenset("the a an this that our your his her their my its which what any some each every no one two three four five six seven eight nine ten eleven twelve noon midnight".split())
 
 
 def _mails(t: str):
@@ -76,11 +92,11 @@ def _mails(t: str):
 
 _ID_WORD = re.compile(
     r"passport|passeport|reisepass|pasaporte|паспорт|パスポート|\bID\b|identity|identidad|identité|ausweis|удостоверен|"
-    r"身分|身份|\bDNI\b|\bNIE\b|\bSSN\b|social security|sécurité sociale|seguridad social|sozialversicherung|national insurance|insured under|\bNINO\b|"
-    r"personal number|national number|on file as|on the form",
+    r"身分|身份|\bDNI\b|\bNIE\b|\bSSN\b|social security|sécurité sociale|seguridad social|sozialversicherung|national insurance|\bNINO\b|"
+    r"personal number|national number",
     re.IGNORECASE,
 )
-_NOT_ID_WORD = re.compile(r"(?i)\b(?:ticket|order|batch|serial|revision|zettel|invoice|version|build|ratio)\b[^.\n]{0,12}$")
+_NOT_ID_WORD = re.compile(r"(?i)\b(?:ticket|order|batch|serial|revision|invoice|version|build|ratio)\b[^.\n]{0,12}$")
 _SSN = re.compile(r"(?<![\w+\-.,/])\d{3}([- .])\d{2}\1\d{4}(?![\w]|[-.]\d)")
 _NINO = re.compile(r"(?<![\w\-])[A-Za-z]{2}([ \-]?)\d{2}\1\d{2}\1\d{2}\1[A-Da-d](?![\w]|-\w)")
 _PASSPORT = re.compile(r"(?<![\w\-])[A-Za-z] ?\d{7}[A-Za-z](?![\w]|-\w)")
@@ -109,7 +125,19 @@ def _ids(t: str, runs: list[tuple[int, int]]):
 
 # ---- street addresses ---------------------------------------------------------------------------------------------
 
-_UP = "A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ"
+
+
+def _ranges(points: list[int]) -> str:
+    """The points as ranges of a character class."""
+    out, start = [], points[0]
+    for a, b in zip(points, [*points[1:], -1]):
+        if b != a + 1:
+            out.append(chr(start) if a == start else f"{chr(start)}-{chr(a)}")
+            start = b
+    return "".join(out)
+
+
+_UP = _ranges([c for c in range(0x41, 0x2000) if chr(c).isupper()])
 _LET = r"[^\W\d_]"
 _CAP = rf"[{_UP}]{_LET}*(?:['’\-]{_LET}+)*"
 # Words for kinds of streets and parts of houses.
@@ -127,24 +155,57 @@ _DE = re.compile(rf"(?<![\w\-])(?:{_UNIT})?(?:[{_UP}](?:{_LET}|-)*(?i:straße|st
 _FR = re.compile(rf"(?<![\w.\-/])(?:{_UNIT})?\d{{1,4}}(?: ?(?i:bis|ter|quater))?,? (?i:rue|avenue|av\.|boulevard|bd|bld|place|allée|chemin|impasse|quai|cours|route|square) (?:(?i:de la |de l['’]|des |de |du |d['’]|l['’]))?{_CAP}(?: {_CAP})?{_LOCAL_TAIL}")
 _ES = re.compile(rf"(?<![\w\-])(?:{_UNIT})?(?i:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Camino|Ronda|Via|Viale|Piazza|Corso|Rua) (?:(?i:de la |de los |de |del |della ))?{_CAP}(?: {_CAP})?,? (?:n[º°.] ?)?\d{{1,4}}[A-Za-z]?\b{_LOCAL_TAIL}")
 _RU = re.compile(rf"(?<!\w)(?:ул\.|улица|проспект|пр-т|пер\.|переулок) {_CAP}(?: {_CAP})?,? (?:д\. ?|дом )?\d{{1,4}}[а-яa-z]?(?:, ?кв\. ?\d+)?")
-#: Where each pattern is worth a try: a cheap search from which the pattern may begin up to so many characters before.
+# where each pattern is worth a try: a cheap search for what every match has
 _EN_HINT = re.compile(rf"\d[A-Za-z]?(?: bis)?,? (?:{_CAP}\.? ){{1,3}}(?i:{_EN_TYPE})\b")
 _DE_HINT = re.compile(r"(?:traße|TRASSE|TRAßE|trasse|tr\.|TR\.|asse|ASSE|eg|EG|latz|LATZ|llee|LLEE|ing|RING|fer|UFER|amm|DAMM) \d")
 _FR_HINT = re.compile(r"\d(?: ?(?:bis|ter|quater|BIS|TER))?,? (?:rue|avenue|av\.|boulevard|bd|bld|place|allée|chemin|impasse|quai|cours|route|square|RUE|AVENUE|BOULEVARD|PLACE|ALLÉE|CHEMIN|IMPASSE|QUAI|COURS|ROUTE|SQUARE|Rue|Avenue|Boulevard|Place|Allée|Chemin|Impasse|Quai|Cours|Route|Square) ")
 _ES_HINT = re.compile(r"(?:Calle|CALLE|calle|C/|Avenida|AVENIDA|avenida|Avda|AVDA|Av\.|Plaza|PLAZA|Pza|Paseo|PASEO|Camino|CAMINO|Ronda|RONDA|Via|VIA|Viale|VIALE|Piazza|PIAZZA|Corso|CORSO|Rua|RUA) ")
 _RU_HINT = re.compile(r"(?:ул\.|улица|проспект|пр-т|пер\.|переулок) ")
-_STREETS = ((_EN, _EN_HINT, 24), (_DE, _DE_HINT, 60), (_FR, _FR_HINT, 24), (_ES, _ES_HINT, 20), (_RU, _RU_HINT, 0))
+# towns before streets, without blanks: at least one unit of land, then numbers
+_CJK = re.compile(r"(?:\d{3}-\d{4} ?)?[\u4e00-\u9fff]{2,}[\u3040-\u30ff\u4e00-\u9fff]*(?:[区市町村郡路街道号]|丁目)[\u3040-\u30ff\u4e00-\u9fff]*\d{1,4}(?:(?:丁目|番地?|号|-)\d{0,4})+")
+_CJK_HINT = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]\d{1,4}(?:丁目|番|号|-)")
+#: Pattern, hint, and how many words before the hint the pattern may begin.
+_STREETS = ((_EN, _EN_HINT, 4), (_DE, _DE_HINT, 5), (_FR, _FR_HINT, 4), (_ES, _ES_HINT, 4), (_RU, _RU_HINT, 0), (_CJK, _CJK_HINT, 2))
+_TOKEN_START = re.compile(r"(?<![^\W_])[^\W_]")
 _ABBREVIATED = re.compile(r"(?i)\b(?:St|Rd|Ln|Ave|Ct|Dr|Sq|Pl|Blvd|Cres|Ter)$")
 _LINE_TOWN = re.compile(rf"\n[ \t]*{_TOWN}$")
 # Words that open a sentence or a line and are no towns.
 _NO_TOWN = frozenset("The A An I We You He She It They If After Before Our Each Most Nobody No Not There Then Why Ask Compare See Call Phone Contact Write Send Address Deliver Parcel Signed Regards Attendees Minutes Interview Mr Ms Mrs Dr Prof Der Die Das Wir Ob Am Für Le La Les El Los Según Mañana Nous Où Après Этот Мы Всего Почему".split())
 
 
+def _back(t: str, at: int, words: int) -> int:
+    """Where the last ``words`` words before a position begin."""
+    for _ in range(words):
+        while at > 0 and t[at - 1].isspace():
+            at -= 1
+        while at > 0 and not t[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _lines(t: str, at: int, lines: int) -> int:
+    """The end of that many lines from a position on."""
+    for _ in range(lines):
+        at = t.find("\n", at) + 1
+        if not at:
+            return len(t)
+    return at
+
+
+def _around(t: str, p: re.Pattern, h: re.Match, words: int, last_end: int) -> re.Match | None:
+    """The match that begins in the words before a hint, or at it, and goes over it; it may take this line and the three after."""
+    low, high = max(last_end, _back(t, h.start(), words)), _lines(t, h.end(), 4)
+    for start in _TOKEN_START.finditer(t, low, h.end()):
+        if (m := p.match(t, start.start(), high)) and m.end() > h.start():
+            return m
+    return None
+
+
 def _addresses(t: str):
     for p, hint, back in _STREETS:
         last_end = 0
         for h in hint.finditer(t):
-            if h.start() < last_end or not (m := p.search(t, max(last_end, h.start() - back), min(len(t), h.end() + 160))) or m.end() <= h.start():
+            if h.start() < last_end or not (m := _around(t, p, h, back, last_end)):
                 continue
             start, end = m.span()
             last_end = end
@@ -171,7 +232,7 @@ _TEL_PHONE = re.compile(r"(?i)(?<=tel:)\+?\(?\d[\d().\-/ ]{5,18}\d")
 _EXTENSION = re.compile(r"(?i)(?:,? ?(?:ext(?:ension)?\.?|x|durchwahl|dw\.?|poste|доб\.?|内線|#) ?\d{1,6}|-x\d{1,6})(?!\w)")
 _CALL_WORD = re.compile(r"(?i)☎|☏|📞|phone|mobile|\btel\b|tel[.:]|\bfax\b|call|telefon|rückruf|anruf|handy|joindre|appel|llamar|móvil|teléfono|звонить|тел|電話|携帯|cell|whatsapp|reach|dial|ring|\bsms\b|portable")
 # a word that directly labels the number after it, over marks and a "no." at most
-_LABEL = re.compile(r"(?i)(?:\b(?:ticket|order|batch|serial|form|revision|zettel|invoice|version|build|ratio|host|ip|isbn|doi|section|lane|page|room)\b(?:[ \t]?(?:no|nr|num|number|id|code)\b\.?)?[ \t:=#*_`\"'(\[|]{0,5}|#|\bno\. )$")
+_LABEL = re.compile(r"(?i)(?:\b(?:ticket|order|batch|serial|form|revision|invoice|version|build|ratio|host|ip|isbn|doi|section|lane|page|room)\b(?:[ \t]?(?:no|nr|num|number|id|code)\b\.?)?[ \t:=#*_`\"'(\[|]{0,5}|#|\bno\. )$")
 _CALL_LABEL = re.compile(r"(?i)(?:phone|mobile|\btel|\bfax|cell|handy|whatsapp|☎|☏|📞)[.:]? ?(?:#|no\. )$")
 _DATE = re.compile(r"(?:19|20)\d\d[-./](?:0?[1-9]|1[0-2])[-./](?:[0-2]?\d|3[01])(?:\D|$)|(?:[0-2]?\d|3[01])[-./](?:0?[1-9]|1[0-2])[-./](?:19|20)\d\d$")
 _US = re.compile(r"(?:\+?1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-/])\d{3}[ .\-]?\d{4}$")
@@ -235,7 +296,7 @@ def _phone(t: str, m: re.Match) -> tuple[int, int] | None:
     shape = [len(g) for g in groups]
     if "." in text and re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", text):
         return None
-    called = _CALL_WORD.search(t, max(0, start - 28), start)
+    called = _CALL_WORD.search(t, _back(t, start, 5), start)
     # a label holds against leading zeros too: tickets come as 0053 0062 400
     labelled = _LABEL.search(t, max(0, start - 32), start) and not _CALL_LABEL.search(t, max(0, start - 32), start)
     if text[0] == "+" and len(digits) >= 8:
@@ -246,7 +307,7 @@ def _phone(t: str, m: re.Match) -> tuple[int, int] | None:
         return None
     elif text.startswith("00") and digits[2] != "0" and len(digits) >= 11 and len(shape) > 2:
         pass
-    elif digits[0] == "0" and digits[1] != "0" and len(digits) >= 9 and len(shape) > 1 and shape != [4, 4, 3] and not (len(shape) == 2 and "." in text):
+    elif digits[0] == "0" and digits[1] != "0" and len(digits) >= 9 and len(shape) > 1:
         pass
     elif called and len(digits) >= 7 and (len(shape) > 1 or len(digits) >= 9 and digits[0] in "01"):
         pass
@@ -274,26 +335,28 @@ _PARTICLE_BEFORE = re.compile(rf"(?<![^\W_]){_PARTICLE}$")
 _JOINED = re.compile(r"[@#\\+&\-'’]|[^\W_]")
 _WORDS = re.compile(rf"{_LET}+")
 _TITLE_BEFORE = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Sir|Frau|Herrn?|Mme|Mlle|M|Sra?|Sres|Dra|Don|Doña|Sig|г-н|г-жа)\.? ?[\[*_`\"“(]{0,3}(?:People/)?)$")
-# Capitalised words that are never part of a person's name here: function words, titles, labels, streets, calendar.
+# Capitalised words that are no part of a person's name unless the contacts know them: function words, titles, kinds of places, calendar.
 NOT_NAMES = frozenset(
     """the a an this that these those there then than and or but nor so if when while where why what who how i we you he she it they
-    my our your his her its their nobody nobody's each every most no not ask compare see after before of in on at to from by with for
+    my our your his her its their nobody each every most no not after before of in on at to from by with for
     as is are was were be been has have had do does did will would can could should may might must let please
-    mr ms mrs miss dr prof sir madam signed regards attendees minutes interview author lunch address phone call contact write send deliver
-    parcel reach meeting borrowed copied form ticket order ratio zettel pinned host form note notes re cc bcc fwd dear hello hi thanks
+    ask compare see call contact write send address phone attendees signed minutes meeting
+    mr ms mrs miss dr prof sir madam regards dear hello hi thanks re cc bcc fwd note notes author interview
     street st road rd lane ln terrace avenue ave court ct close drive way square crescent boulevard place gardens grove hill row walk
     flat apt unit suite room floor apartment bridge board tower river lake mount university college school hospital station airport park
     january february march april may june july august september october november december
     monday tuesday wednesday thursday friday saturday sunday daily weekly monthly
     der die das den dem des ein eine einer eines und oder wir ihr sie er es ob am im an auf für mit von zu ende frau herr herrn wer was wie wo
-    protokoll rückruf durchwahl bitte lieferung straße strasse gasse platz weg anruf handy nr
-    le la les un une des du de et ou où nous vous il elle ils elles ce cet cette après avant selon dans sur sous avec pour par est compte rendu
-    mme mlle rue joindre écrire livraison sur
-    el los las una uno unos unas y o según mañana esta este estos en con por para del al qué quién cómo dónde acta sr sra dra calle avenida
-    plaza paseo entrega llamar escribir quedan don doña
-    этот эта это эти мы вы он она они всего почему ли и в на по протокол вела пишите звонить анкете
-    select from where insert into values update delete group by order join todo fixme note warning""".split()
+    straße strasse gasse platz weg nr bitte
+    le la les un une des du de et ou où nous vous il elle ils elles ce cet cette après avant selon dans sur sous avec pour par est
+    mme mlle rue
+    el los las una uno unos unas y o según mañana esta este estos en con por para del al qué quién cómo dónde sr sra dra calle avenida
+    plaza paseo don doña
+    этот эта это эти мы вы он она они всего почему ли и в на по""".split()
 )
+_HAN = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af々〆ー]"
+_CJK_NAME = re.compile(rf"(?<!{_HAN})(?P<b>{_HAN}{{1,8}}?)[ ・·](?P<a>{_HAN}{{1,8}}?)(?P<t>さん|さま|様|氏|先生|女士|씨|님)?(?!{_HAN})")
+_CJK_GAP = re.compile(rf"{_HAN}[ ・·]{_HAN}")
 
 
 class Names:
@@ -308,10 +371,10 @@ class Names:
         got = self.cache.get(word)
         if got is None:
             key = word.lower()
-            if key in NOT_NAMES:
-                got = -9.0
-            elif key in self.given or key in self.family:
+            if key in self.given or key in self.family:
                 got = 2.0
+            elif key in NOT_NAMES:
+                got = -9.0
             else:
                 a, b = _cells(key)
                 lower = float(decoded(np.minimum(self.cells[0, a], self.cells[1, b])))
@@ -358,6 +421,11 @@ def _names(t: str, names: Names, taken: np.ndarray | None):
                 sure = least >= 0.9 or both >= 2.3
             if sure:
                 found.append((start, end, both + (0.5 if m["mid"] else 0)))
+    if _CJK_GAP.search(t):
+        for m in _CJK_NAME.finditer(t):
+            known = all(w in names.given or w in names.family for w in (m["a"], m["b"]))
+            if (m["t"] or known) and not (taken is not None and taken[m.start() : m.end("a")].any()):
+                found.append((m.start(), m.end("a"), 3.0))
     # leftmost longest of overlapping ones, better evidence first
     found.sort(key=lambda x: (-x[2], x[0] - x[1], x[0]))
     kept: list[tuple[int, int]] = []
@@ -385,20 +453,13 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
 
 # ---- over tables --------------------------------------------------------------------------------------------------
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("entity", pa.string())])
-_FOUND_DDL = "doc_id long, start_pos int, end_pos int, kind string, entity string"
-
-
 _LINKS = re.compile(r"\[\[[^\]]*\]\]|^#.*$", re.MULTILINE)
-_SPEAKERS = re.compile(r"\d\d:\d\d \w+:")
 
 
 def countable(text: str) -> list[str]:
-    """Words of a text whose case tells something: none of mail addresses, handles, tags, headings, links' targets and speakers' labels."""
+    """Words of a text whose case tells something: none of mail addresses, handles, tags, headings and links' targets."""
     if "#" in text or "[[" in text:
         text = _LINKS.sub(" ", text)
-    if ":" in text:
-        text = _SPEAKERS.sub(" ", text)
     if "@" in text or "＠" in text or "at]" in text or "at)" in text or "#" in text:
         text = " ".join(c for c in text.split() if c[0] != "#" and "@" not in c and "＠" not in c and "[at]" not in c and "(at)" not in c)
     return _WORDS.findall(text)
@@ -424,58 +485,103 @@ def word_counts(documents: DataFrame) -> np.ndarray:
     return sketch(documents.where(F.col("text") != "").select(F.col("text").cast("string")), _word_cells, WORD_BITS + 2)
 
 
-def find(documents: DataFrame, contacts: DataFrame) -> DataFrame:
-    """``doc_id, start_pos, end_pos, kind, entity`` of each case in ``documents``."""
-    held = documents.sparkSession.sparkContext.broadcast((word_counts(documents).tobytes(), *known_names(contacts)))
+
+def _held(documents: DataFrame, contacts: DataFrame):
+    return documents.sparkSession.sparkContext.broadcast((word_counts(documents).tobytes(), *known_names(contacts)))
+
+
+def _names_of(held) -> Names:
+    cells, given, family = held.value
+    return Names(given, family, np.frombuffer(cells, np.uint8))
+
+
+_CASE = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("entity", pa.string())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("cases", pa.list_(_CASE))])
+_FOUND_DDL = "doc_id long, text string, cases array<struct<start_pos: int, end_pos: int, kind: string, entity: string>>"
+
+
+def detected(documents: DataFrame, contacts: DataFrame, texts: bool = False) -> DataFrame:
+    """``doc_id, text, cases``: the cases of each document that has any, without its text; or of every document, with it."""
+    held = _held(documents, contacts)
 
     def run(batches):
-        cells, given, family = held.value
-        names = Names(given, family, np.frombuffer(cells, np.uint8))
+        names = _names_of(held)
         for batch in batches:
-            rows = [(d, a, b, k, t[a:b]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, k in spans(t, names)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _FOUND)], schema=_FOUND)
+            rows = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cases = [{"start_pos": a, "end_pos": b, "kind": k, "entity": t[a:b]} for a, b, k in spans(t, names)] if t else []
+                if texts or cases:
+                    rows.append((d, t if texts else None, cases))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _FOUND)], schema=_FOUND)
+
+    some = documents if texts else documents.where(F.col("text") != "")
+    return some.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND_DDL)
+
 
-    return documents.where(F.col("text") != "").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND_DDL)
+def find(documents: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``doc_id, start_pos, end_pos, kind, entity`` of each case in ``documents``."""
+    return detected(documents, contacts).select("doc_id", F.explode("cases").alias("c")).select("doc_id", "c.*")
 
 
-#: Distinct given or family names taken from the contacts; more is an error, so the broadcast is bounded.
+#: Known names sent to the workers as they are; more go as a bitmap.
 MOST_KNOWN = 500_000
+#: log2 of the bits of that bitmap (16 MB), and its probes a word.
+KNOWN_BITS, PROBES = 27, 6
 
 
-def known_names(contacts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+class Probed:
+    """A set of words as a bitmap of a fixed size; a word that is not in it passes now and then."""
+
+    def __init__(self, bits: bytes, size: int):
+        self.bits, self.mask = np.frombuffer(bits, np.uint8), (1 << size) - 1
+
+    def __contains__(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        at = [((h & self.mask) + i * (h >> 32 | 1)) & self.mask for i in range(PROBES)]
+        return all(self.bits[x >> 3] >> (x & 7) & 1 for x in at)
+
+
+def known_names(contacts: DataFrame, most: int = MOST_KNOWN, size: int = KNOWN_BITS) -> tuple:
     """Words of the contacts' given and family names in lower case, particles left out."""
     out = []
     for col in ("given_name", "family_name"):
-        word = F.explode(F.regexp_extract_all(F.col(col), F.lit(r"\p{Lu}[\p{L}'’]+"), F.lit(0)))
-        got = [r.w for r in contacts.where(F.col(col).isNotNull()).select(word.alias("w")).select(F.lower("w").alias("w")).distinct().limit(MOST_KNOWN + 1).collect()]
-        if len(got) > MOST_KNOWN:
-            raise ValueError("too many known names")
-        out.append(frozenset(got))
+        word = F.explode(F.regexp_extract_all(F.col(col), F.lit(r"(?:\p{Lu}|\p{Lo})[\p{L}'’]*"), F.lit(0)))
+        words = contacts.where(F.col(col).isNotNull()).select(word.alias("w")).select(F.lower("w").alias("w")).distinct()
+        got = words.limit(most + 1).collect()
+        if len(got) <= most:
+            out.append(frozenset(r.w for r in got))
+            continue
+        low, high = F.col("h").bitwiseAND(F.lit((1 << size) - 1)), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
+        at = words.select(F.xxhash64("w").alias("h")).select(F.explode(F.array(*((low + high * i).bitwiseAND(F.lit((1 << size) - 1)) + 1 for i in range(PROBES)))).alias("at"))
+        bits = np.zeros(1 << size >> 3, np.uint8)
+        for r in at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect():  # 2 ** KNOWN_BITS bits at most
+            got = np.frombuffer(r.map, np.uint8)
+            part = bits[(r.bucket - 1) * len(got) : r.bucket * len(got)]
+            part[:] = got[: len(part)]
+        out.append(Probed(bits.tobytes(), size))
     return out[0], out[1]
 
 
-_SPAN_TYPE = "array<struct<start_pos: int, end_pos: int, kind: string, put: string>>"
-
-
-@F.arrow_udf(T.StringType())
-def _replaced(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, cases in zip(texts.to_pylist(), spans.to_pylist()):
-        for c in sorted(cases or [], key=lambda c: -c["start_pos"]):
-            text = text[: c["start_pos"]] + c["put"] + text[c["end_pos"] :]
-        out.append(text)
-    return pa.array(out, type=pa.string())
+def redacted(documents: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``doc_id, text`` with typed placeholders, put in by the pass that finds the cases."""
+    held = _held(documents, contacts)
 
+    @F.arrow_udf(T.StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = _names_of(held)
+        for texts in batches:
+            yield pa.array([t and rewritten(t, [(a, b, f"[{k.upper()}]") for a, b, k in spans(t, names)]) for t in texts.to_pylist()], pa.string())
 
-def replaced(documents: DataFrame, cases: DataFrame) -> DataFrame:
-    """``doc_id, text`` with ``put`` in place of each case."""
-    per_doc = cases.groupBy("doc_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "put")).alias("cases"))
-    both = documents.select("doc_id", "text").join(per_doc, "doc_id", "left")
-    return both.select("doc_id", F.when(F.col("cases").isNull(), F.col("text")).otherwise(_replaced("text", "cases")).alias("text"))
+    return documents.select("doc_id", run(F.col("text").cast("string")).alias("text"))
 
 
-def placeholder(kind: Column) -> Column:
-    return F.concat(F.lit("["), F.upper(kind), F.lit("]"))
+def rewritten(text: str, cases: list[tuple[int, int, str]]) -> str:
+    """A text with each ``(start, end, put)`` put in; cases in order."""
+    out, at = [], 0
+    for start, end, put in cases:
+        out += (text[at:start], put)
+        at = end
+    return "".join([*out, text[at:]])
 
 
 # ---- surrogates ---------------------------------------------------------------------------------------------------
@@ -483,7 +589,12 @@ def placeholder(kind: Column) -> Column:
 _ONSETS = "b br c ch d dr f g gr h j k l m n p pr r s st t tr v w z".split()
 _VOWELS = "a e i o u ai ea ou".split()
 _CODAS = "n r l s th m nd rk x lt".split()
-_CYR = (("б", "в", "г", "д", "к", "л", "м", "н", "п", "р", "с", "т"), ("а", "е", "и", "о", "у"), ("н", "р", "л", "с", "м", "в"))
+_CYR = ("б в г д к л м н п р с т".split(), "а е и о у".split(), "н р л с м в".split())
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
+# Letters of other scripts that a replacement may be made of, first and last code point, lower case where there is case.
+_SCRIPTS = (
+    (0x3B1, 0x3C9), (0x561, 0x586), (0x5D0, 0x5EA), (0x627, 0x64A), (0x915, 0x939), (0x10D0, 0x10F0), (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
 
 
 def _digest(key: str, *parts: str):
@@ -497,105 +608,287 @@ def _digest(key: str, *parts: str):
     return take
 
 
-def _word_surrogate(word: str, key: str, turn: int) -> str:
-    """A word of the same script and case; words ending in a vowel keep one, which in many languages tells the gender."""
-    low = word.lower()
-    take = _digest(key, "word", low, str(turn))
-    on, vo, co = _CYR if "а" <= low[0] <= "я" or low[0] == "ё" else (_ONSETS, _VOWELS, _CODAS)
-    made = "".join(on[take(len(on))] + vo[take(len(vo))] for _ in range(3))
-    made += low[-1] if low[-1] in "aeioаеио" else co[take(len(co))]
-    return made.upper() if word.isupper() and len(word) > 1 else made.capitalize() if word[0].isupper() else made
+@lru_cache(64)
+def _letters(key: str, alphabet: str) -> dict[str, str]:
+    """A keyed permutation of an alphabet, without fixed letters."""
+    left = sorted(alphabet, key=lambda c: _digest(key, "letter", c)(1 << 64))
+    return dict(zip(left, left[1:] + left[:1]))
 
 
-_KEEP = frozenset("van von der den de la los del della di da dos du des le ten ter zu zur af bin ibn al el at dot com org net example test invalid rue bis ter street st road rd lane ln terrace avenue ave court ct close drive way square calle avenida plaza paseo flat apt unit ext durchwahl x".split())
+def _base(c: str) -> str:
+    """The letter without its marks; one of the Latin or Cyrillic alphabet where it is of those scripts."""
+    c = unicodedata.normalize("NFD", c.lower())[0]
+    return {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "t", "ß": "s", "æ": "a", "œ": "o", "ı": "i", "ы": "и", "ъ": "э", "ь": "э", "щ": "ш"}.get(c, c)
 
 
-def surrogate(entity: str, kind: str, key: str, turn: int = 0) -> str:
-    """A replacement of the same kind and format.  Words are replaced one by one, so the same person stays the same in any order."""
-    if kind in ("phone", "id_number"):
-        digits = re.sub(r"\W", "", plain(entity)).lower()
-        take = _digest(key, kind, digits, str(turn))
-        keep = re.match(r"\+\d{1,2}|00\d{1,2}|0", plain(entity)) if kind == "phone" else None
-        out = []
-        for i, c in enumerate(entity):
-            if keep and i < keep.end():
-                out.append(c)
-            elif c.isdigit():
-                out.append(chr(ord(c) - int(c) + take(10)) if c.isdecimal() else c)
-            elif kind == "id_number" and c.isascii() and c.isalpha():
-                made = "abcdefghjklmnprstuvwxyz"[take(23)]
-                out.append(made.upper() if c.isupper() else made)
-            else:
-                out.append(c)
-        return "".join(out)
-    take = _digest(key, "digits", plain(entity).lower(), str(turn))
+def is_initial(w: str) -> bool:
+    return len(w) == 1 and _base(w) in _LATIN + _CYRILLIC
+
+
+def initial(c: str, key: str) -> str:
+    """What a word's first letter, Latin or Cyrillic, becomes."""
+    c = _base(c)
+    return _letters(key, _LATIN if c in _LATIN else _CYRILLIC)[c]
+
+
+def word_surrogate(low: str, key: str, turn: int) -> str:
+    """The replacement of a word in lower case: same script and first letter's image, a final vowel kept; longer with every fourth turn."""
+    take, first = _digest(key, "word", low, str(turn)), _base(low[0])
+    if first in _LATIN or first in _CYRILLIC:
+        on, vo, co = (_ONSETS, _VOWELS, _CODAS) if first in _LATIN else _CYR
+        head = initial(first, key)
+        made = head if head in "aeiouаеиоуэюя" else head + vo[take(len(vo))]
+        made += "".join(on[take(len(on))] + vo[take(len(vo))] for _ in range(2 + turn // 4))
+        return made + (low[-1] if low[-1] in "aeioаеио" else co[take(len(co))])
+    a, b = next((x for x in _SCRIPTS if x[0] <= ord(first) <= x[1]), (0x61, 0x7A))
+    return "".join(chr(a + take(b - a + 1)) for _ in range(min(12, len(low)) + turn // 4))
 
-    def put(m: re.Match) -> str:
-        w = m[0]
-        if w[0].isdigit():
-            return "".join(str(1 + take(9)) if c.isdecimal() else c for c in w)
-        if w.lower() in _KEEP or len(w) == 1 and kind != "name":
-            return w
-        if len(w) == 1:
-            return _word_surrogate(w, key, turn)[0].upper()
-        for tail in ("straße", "strasse", "gasse", "platz", "weg", "allee") if kind == "address" else ():
-            if w.lower().endswith(tail):
-                return _word_surrogate(w[: -len(tail)], key, turn).capitalize() + w[-len(tail) :]
-        return _word_surrogate(w, key, turn)
 
-    return re.sub(rf"{_LET}+|\d+", put, entity)
+def _cased(made: str, like: str) -> str:
+    return made.upper() if like.isupper() and len(like) > 1 else made[0].upper() + made[1:] if like[0].isupper() else made
+
+
+def permuted(x: int, size: int, *keys: str) -> int:
+    """A keyed permutation of ``range(size)``: a Feistel network over two halves, walked until it is back in range."""
+    if size < 2:
+        return x
+    half = math.isqrt(size - 1) + 1
+    while True:
+        a, b = divmod(x, half)
+        for r in range(8):
+            a, b = b, (a + _digest(keys[0], "round", str(r), str(b), *keys[1:])(1 << 128)) % half
+        x = a * half + b
+        if x < size:
+            return x
+
+
+def _recoded(text: str, *keys: str) -> str:
+    """Digits and ASCII letters of a canonical form through one permutation of all strings of that form."""
+    x, size = 0, 1
+    for c in text:
+        r = 10 if c.isdigit() else 26
+        x, size = x * r + (int(c) if r == 10 else ord(c) - 97), size * r
+    x = permuted(x, size, *keys, "".join("0" if c.isdigit() else "a" for c in text))
+    out = []
+    for c in reversed(text):
+        x, r = divmod(x, 10 if c.isdigit() else 26)
+        out.append(str(r) if c.isdigit() else chr(97 + r))
+    return "".join(reversed(out))
+
+
+def _house_number(digits: str, key: str) -> str:
+    """A number of as many digits; one without a leading zero stays so."""
+    if digits[0] == "0":
+        return _recoded(digits, key, "digits")
+    low = 10 ** (len(digits) - 1)
+    return str(low + permuted(int(digits) - low, 9 * low, key, "digits"))
+
+
+def _phone_parts(number: str) -> tuple[str, str, str]:
+    """Country code with its plus, own digits, and extension of a phone number in plain form."""
+    m = _EXTENSION.search(number)
+    while m and m.end() < len(number):
+        m = _EXTENSION.search(number, m.start() + 1)
+    main, ext = (number[: m.start()], re.sub(r"\D", "", m[0])) if m else (number, "")
+    abroad = re.match(r"[(\s]*(?:\+|00)\s*", main)
+    digits = re.sub(r"\D", "", main[abroad.end() :].replace("(0)", "") if abroad else main)
+    code = len(digits[:1] if digits[:1] in "17" else digits[:2]) if abroad else 0
+    return "+" + digits[:code] if abroad else "", digits[code:], ext
 
 
 def canonical(entity: str, kind: str) -> str:
-    """What makes two writings one entity: case, blanks and marks do not."""
+    """What makes two writings of a number one entity: blanks, marks, and ``00`` for ``+`` do not."""
     low = plain(entity).lower()
-    if kind == "name":
-        return " ".join(sorted(re.findall(rf"{_LET}+", low)))
-    return re.sub(r"[\W_]+", "", low)
+    if kind == "phone":
+        code, own, ext = _phone_parts(low)
+        return f"{code} {own} {ext}"
+    return re.sub(r"[^0-9a-z]", "", unicodedata.normalize("NFKD", low))
+
+
+def number_surrogate(canon: str, kind: str, key: str, turn: int) -> str:
+    """The replacement of a canonical number, canonical as well."""
+    if kind == "phone":
+        code, own, ext = canon.split(" ")
+        trunk = own[:1] if own[:1] == "0" else ""
+        return f"{code} {trunk}{_recoded(own[len(trunk):], key, 'phone', code, trunk, str(turn))} {_recoded(ext, key, 'ext', str(turn))}"
+    return _recoded(canon, key, kind, str(turn))
+
+
+# Words of addresses and names that stay.
+_STREET_WORDS = frozenset("street st road rd lane ln terrace ter avenue ave court ct close drive dr way square sq crescent cres boulevard blvd place pl gardens grove hill row walk highway parkway mews quay straße strasse str gasse weg platz allee ring ufer damm rue av bd bld chemin impasse cours route calle avenida avda plaza pza paseo camino ronda via viale piazza corso rua ул улица проспект пр т пер переулок дом д кв flat apt apartment unit suite room floor wohnung whg appt app appartement piso stock bis quater og étage planta er ème e nd rd th no am an der sur de la las los del des du le upon".split())
+_PARTICLES = frozenset("van von der den de la los del della di da dos du des le ten ter zu zur af bin ibn al el d".split())
+_STREET_TAILS = ("straße", "strasse", "gasse", "platz", "weg", "allee", "ring", "ufer", "damm")
+_TOKEN = re.compile(rf"{_LET}+|\d+")
+
+
+def _pieces(entity: str, kind: str) -> list[tuple[int, int, str]]:
+    """``(start, end, word)`` of the words of a mail address, address or name that are replaced, in lower case; initials and numbers are
+    among them as one letter or digits."""
+    t, out = plain(entity), []
+    last, marks = len(t), []
+    if kind == "email" and (m := _AT.search(t)):
+        spoken = [x.span() for x in _DOT_SPOKEN.finditer(t, m.end())]
+        last, marks = spoken[-1][1] if spoken else last, [m.span(), *spoken]
+    for m in _TOKEN.finditer(t):
+        a, b, w = m.start(), m.end(), m[0].lower()
+        if a >= last or any(x <= a and b <= y for x, y in marks):
+            continue
+        if kind == "address":
+            tail = next((x for x in _STREET_TAILS if w.endswith(x) and len(w) > len(x)), "")
+            b, w = b - len(tail), w[: len(w) - len(tail)]
+            if w in _STREET_WORDS or len(w) == 1 and not w.isdigit():
+                continue
+        if kind == "name" and w in _PARTICLES and (m[0] == w or t.isupper()):
+            continue
+        out.append((a, b, w))
+    return out
+
+
+def surrogate(entity: str, kind: str, key: str, turns: dict[tuple[str, str], int] | None = None) -> str:
+    """A replacement of the same kind and format; ``turns`` of words (kind ``word``) and numbers that need a further one."""
+    turns = turns or {}
+    if kind in ("phone", "id_number"):
+        canon = canonical(entity, kind)
+        made = number_surrogate(canon, kind, key, turns.get((kind, canon), 0))
+        if kind == "phone":
+            code, own, ext = made.split(" ")
+            made = code[1:] + own + ext
+        flat = plain(entity)
+        stays: set[int] = set()
+        if kind == "phone" and (m := re.match(r"[(\s]*(?:\+|00)", flat)):
+            stays = {*range(m.end()), *(i for x in re.finditer(r"\(0\)", flat) for i in range(*x.span()))}
+        at = [i for i, c in enumerate(flat) if i not in stays and c.isascii() and (c.isdigit() or kind == "id_number" and c.isalpha())]
+        out = list(entity)
+        for i, c in zip(at, made):
+            out[i] = c.upper() if flat[i].isupper() else chr(ord(entity[i]) - int(entity[i]) + int(c)) if entity[i].isdecimal() else c
+        return "".join(out)
+    out, at = [], 0
+    for a, b, w in _pieces(entity, kind):
+        like = entity[a:b]
+        if w.isdigit():
+            put = _house_number(w, key) if w.isascii() else like
+        elif is_initial(w):
+            put = _cased(initial(w, key), like)
+        else:
+            put = _cased(word_surrogate(w, key, turns.get(("word", w), 0)), like)
+        out += (entity[at:a], put)
+        at = b
+    return "".join([*out, entity[at:]])
 
 
-def surrogates(cases: DataFrame, key: str, rounds: int = 4) -> DataFrame:
-    """``cases`` with ``put``.  Entities whose replacement another entity of the kind has too get a further turn, until none is
-    left or ``rounds`` are over."""
+def items(entity: str, kind: str) -> list[tuple[str, str]]:
+    """``(kind, key)`` of what must not be mixed up: the number, or the words."""
+    if kind in ("phone", "id_number"):
+        return [(kind, canonical(entity, kind))]
+    return [("word", w) for _, _, w in _pieces(entity, kind) if not is_initial(w) and not w.isdigit()]
 
-    @F.arrow_udf(T.StringType())
-    def canon(entities: pa.Array, kinds: pa.Array) -> pa.Array:
-        return pa.array([canonical(e, k) for e, k in zip(entities.to_pylist(), kinds.to_pylist())])
 
+#: Turns after which numbers of a crowded form keep the plain permutation.
+CROWDED = 24
+#: Turns other than 0 that are sent to the workers as they are; more are joined to the documents.
+MOST_TURNS = 200_000
+
+_ITEMS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType())]))
+_ITEMS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string())]))
+
+
+@F.arrow_udf(_ITEMS)
+def _items(cases: pa.Array) -> pa.Array:
+    out = []
+    for listed in cases.to_pylist():
+        got = {x for c in listed or [] for x in items(c["entity"], c["kind"])}
+        out.append([{"kind": k, "key": w} for k, w in got])
+    return pa.array(out, _ITEMS_ARROW)
+
+
+def _made_column(key: str):
     @F.arrow_udf(T.StringType())
-    def made(entities: pa.Array, kinds: pa.Array, turns: pa.Array) -> pa.Array:
-        return pa.array([surrogate(e, k, key, t) for e, k, t in zip(entities.to_pylist(), kinds.to_pylist(), turns.to_pylist())])
+    def made(kinds: pa.Array, keys: pa.Array, turns: pa.Array) -> pa.Array:
+        return pa.array([word_surrogate(w, key, t) if k == "word" else number_surrogate(w, k, key, t) for k, w, t in zip(kinds.to_pylist(), keys.to_pylist(), turns.to_pylist())])
+
+    return made
+
+
+def _judged(now: DataFrame, real: DataFrame, made) -> DataFrame:
+    """Whether each word's or number's replacement is a lesser one's too, or real."""
+    tried = now.withColumn("made", made("kind", "key", "turn"))
+    first = tried.groupBy("kind", "made").agg(F.min("key").alias("first"))
+    return cut_lineage(
+        tried.join(first, ["kind", "made"]).join(real, ["kind", "made"], "left")
+        .select("kind", "key", "turn", ((F.col("key") != F.col("first")) | F.col("real").isNotNull()).alias("clash"))
+    )
+
+
+def turns_of(found: DataFrame, key: str, crowded: int = CROWDED) -> DataFrame:
+    """``kind, key, turn`` of the words and numbers whose turn is not 0; one round after the other until nothing clashes."""
+    made = _made_column(key)
+    every = cut_lineage(found.select(F.explode(_items("cases")).alias("i")).select("i.kind", "i.key").distinct())
+    real = every.select("kind", F.col("key").alias("made"), F.lit(True).alias("real"))
+    form = F.regexp_replace(F.regexp_replace("key", "[0-9]", "0"), "[a-z]", "a").alias("form")
+    now, last = every.withColumn("turn", F.lit(0)), None
+    while True:
+        judged = _judged(now, real, made)
+        if last is not None:
+            discard(last)
+        left = judged.where("clash").agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") != "word", F.col("turn"))).alias("turn")).first()
+        if not left.n:
+            return judged.where("turn > 0").select("kind", "key", "turn")
+        now, last = judged, judged
+        if (left.turn or 0) >= crowded:
+            # numbers of these forms keep turn 0, which is distinct by itself
+            full = judged.where((F.col("turn") >= crowded) & F.col("clash") & (F.col("kind") != "word")).select("kind", form).distinct()
+            now = judged.select("*", form).join(full, ["kind", "form"], "left_anti")
+        now = now.select("kind", "key", (F.col("turn") + F.col("clash").cast("int")).alias("turn"))
+
+
+def surrogates(found: DataFrame, key: str, most: int = MOST_TURNS) -> DataFrame:
+    """``found`` with ``puts``: for each of its cases the replacement.  ``found`` is read twice, so it should be a written table."""
+    turns = cut_lineage(turns_of(found, key))
+    more = F.lit(None).cast("array<struct<kind: string, key: string, turn: int>>")
+    some = turns.limit(most + 1).collect()
+    held = {} if len(some) > most else {(r.kind, r.key): r.turn for r in some}
+    if len(some) > most:
+        found = found.withColumn("row", F.monotonically_increasing_id())
+        per_row = (
+            found.select("row", F.explode(_items("cases")).alias("i")).select("row", "i.*").join(turns, ["kind", "key"])
+            .groupBy("row").agg(F.collect_list(F.struct("kind", "key", "turn")).alias("more"))
+        )
+        found, more = found.join(per_row, "row", "left").drop("row"), F.col("more")
+    shared = found.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def puts(cases: pa.Array, more: pa.Array) -> pa.Array:
+        out = []
+        for listed, own in zip(cases.to_pylist(), more.to_pylist()):
+            turns = {(x["kind"], x["key"]): x["turn"] for x in own} if own else shared.value
+            out.append([surrogate(c["entity"], c["kind"], key, turns) for c in listed or []])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return found.withColumn("puts", puts("cases", more)).drop("more")
 
-    cases = cut_lineage(cases.withColumn("canon", canon("entity", "kind")))
-    known = cut_lineage(cases.groupBy("kind", "canon").agg(F.min("entity").alias("sample")).withColumn("turn", F.lit(0)))
-    for _ in range(rounds):
-        tried = known.withColumn("made", canon(made("sample", "kind", "turn"), "kind"))
-        ranked = cut_lineage(
-            tried.join(tried.groupBy("kind", "made").agg(F.min("canon").alias("first")), ["kind", "made"])
-            .select("kind", "canon", "sample", F.when(F.col("canon") == F.col("first"), F.col("turn")).otherwise(F.col("turn") + 1).alias("next"), "turn")
-        )
-        clashes = ranked.where("next != turn").limit(1).count()
-        known = ranked.select("kind", "canon", "sample", F.col("next").alias("turn"))
-        if not clashes:
-            break
-    return cases.join(known.select("kind", "canon", "turn"), ["kind", "canon"]).withColumn("put", made("entity", "kind", "turn"))
+
+@F.arrow_udf(T.StringType())
+def _with_puts(texts: pa.Array, cases: pa.Array, puts: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), cases.to_pylist(), puts.to_pylist())
+    return pa.array([t and rewritten(t, [(c["start_pos"], c["end_pos"], p) for c, p in zip(listed, put)]) for t, listed, put in rows], pa.string())
 
 
-def _cases(spark: SparkSession, folder: str) -> DataFrame:
-    return find(table(spark, folder, "documents"), table(spark, folder, "contacts"))
+KEY = "notefathom"
 
 
-def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every occurrence of personal information in the texts."""
-    return _cases(spark, folder).select("doc_id", "start_pos", "end_pos", "kind")
+def p8_found(spark: SparkSession, folder: str, key: str = KEY) -> DataFrame:
+    """Every occurrence of personal information in the texts: the rows for which a replacement is made."""
+    found = cut_lineage(detected(table(spark, folder, "documents"), table(spark, folder, "contacts")))
+    rows = surrogates(found, key).select("doc_id", F.explode(F.arrays_zip("cases", "puts")).alias("c")).where(F.col("c.puts").isNotNull())
+    return rows.select("doc_id", "c.cases.start_pos", "c.cases.end_pos", "c.cases.kind")
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The texts with typed placeholders."""
-    cases = _cases(spark, folder).withColumn("put", placeholder(F.col("kind")))
-    return replaced(table(spark, folder, "documents"), cases)
+    return redacted(table(spark, folder, "documents"), table(spark, folder, "contacts"))
 
 
-def p8_surrogates(spark: SparkSession, folder: str, key: str = "notefathom") -> DataFrame:
+def p8_surrogates(spark: SparkSession, folder: str, key: str = KEY) -> DataFrame:
     """The texts with keyed replacements that look like what they stand for."""
-    return replaced(table(spark, folder, "documents"), surrogates(_cases(spark, folder), key))
+    found = cut_lineage(detected(table(spark, folder, "documents"), table(spark, folder, "contacts"), texts=True))
+    return surrogates(found, key).select("doc_id", _with_puts("text", "cases", "puts").alias("text"))

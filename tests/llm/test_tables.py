@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -166,15 +167,85 @@ def test_found_and_redacted(spark):
     cases = pii.find(docs, contacts)
     got = sorted((r.doc_id, r.kind, r.entity) for r in cases.collect())
     assert got == [(1, "email", "a@b.example"), (1, "name", "Ada Byron"), (4, "email", "A@B.EXAMPLE"), (4, "name", "Byron, Ada"), (5, "name", "Ada Byron"), (5, "name", "Zora Quint"), (6, "email", "c@d.test")]
-    texts = {r.doc_id: r.text for r in pii.replaced(docs, cases.withColumn("put", pii.placeholder(cases.kind))).collect()}
-    assert texts[4] == "[NAME]; [EMAIL]" and texts[2] is None and texts[3] == "" and texts[6] == "🌱 [EMAIL]"
+    texts = {r.doc_id: r.text for r in pii.redacted(docs, contacts).collect()}
+    assert len(texts) == docs.count() and texts[4] == "[NAME]; [EMAIL]" and texts[2] is None and texts[3] == "" and texts[6] == "🌱 [EMAIL]"
+    assert "Exchange" not in pii.redacted(docs, contacts)._jdf.queryExecution().executedPlan().toString()
     assert pii.find(docs.limit(0), contacts.limit(0)).count() == 0
 
 
-def test_surrogates(spark):
+@pytest.mark.parametrize("most", [1000, 0])
+def test_surrogates(spark, most):
     docs, contacts = tables(spark)
-    put = {(r.doc_id, r.kind): r.put for r in pii.surrogates(pii.find(docs, contacts), "key").where("entity != 'Zora Quint'").collect()}
-    given, family = put[1, "name"].split()
-    assert put[4, "name"] == f"{family}, {given}" and put[1, "email"].upper() == put[4, "email"] and put[1, "name"] == put[5, "name"] != "Ada Byron"
-    assert pii.surrogate("+44 20 7946 0123", "phone", "k") == pii.surrogate("+44 20 7946 0123", "phone", "k") != pii.surrogate("+44 20 7946 0124", "phone", "k")
-    assert pii.surrogate("QH 54 73 35 D", "id_number", "k")[2] == " "
+    found = pii.cut_lineage(pii.detected(docs, contacts, texts=True))
+    rows = pii.surrogates(found, "key", most).collect()
+    put = {(r.doc_id, c.kind, c.entity): p for r in rows for c, p in zip(r.cases, r.puts)}
+    given, family = put[1, "name", "Ada Byron"].split()
+    assert put[4, "name", "Byron, Ada"] == f"{family}, {given}" and put[5, "name", "Ada Byron"] == f"{given} {family}" != "Ada Byron"
+    assert put[1, "email", "a@b.example"].upper() == put[4, "email", "A@B.EXAMPLE"] and put[1, "email", "a@b.example"].endswith(".example")
+    texts = {r.doc_id: r.text for r in found.withColumn("puts", pii.F.lit(None).cast("array<string>")).collect()}
+    assert texts[2] is None and texts[3] == ""
+
+
+def test_one_entity_one_surrogate():
+    s = lambda e, k, turns=None: pii.surrogate(e, k, "k", turns)
+    assert s("+44 20 7946 0123", "phone")[:4] == "+44 " and s("+44 20 7946 0123", "phone") != s("+44 20 7946 0124", "phone")
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(s("(030) 1234567", "phone")) == digits(s("030 1234567", "phone"))
+    assert digits(s("+44 (0)20 7946 0123", "phone")).replace("440", "44") == digits(s("0044 20 7946 0123", "phone"))[2:] == digits(s("+44 20-7946-0123", "phone"))
+    ext = s("(212) 555-0100 ext. 7", "phone")
+    assert digits(ext)[:10] == digits(s("212.555.0100", "phone")) and " ext. " in ext
+    assert re.fullmatch(r"[A-Z]{2} \d\d \d\d \d\d [A-Z]", s("QH 54 73 35 D", "id_number")) and s("qh547335d", "id_number").upper() == s("QH 54 73 35 D", "id_number").replace(" ", "")
+    name, short = s("Ada van Byron", "name").split(), s("A. van Byron", "name").split()
+    assert name[1:] == short[1:] and name[0][0] == short[0][0] and short[0][1:] == "." and name[1] == "van"
+    assert s("ADA BYRON", "name") == s("Ada Byron", "name").upper()
+    assert re.fullmatch(r"[а-яА-ЯёЁ]+ [а-яА-ЯёЁ]+", s("Иван Петров", "name")) and re.fullmatch(r"[\u4e00-\u9fff]{2} [\u4e00-\u9fff]{2}", s("田中 太郎", "name"))
+    home = s("Flat 3, 14 Old Mill Rd, Townham AB1 2CD", "address")
+    assert re.match(r"Flat [1-9], [1-9]\d [A-Z][a-z]+ [A-Z][a-z]+ Rd, [A-Z]", home) and s("Musterstraße 12a", "address").split()[0].endswith("straße")
+    mail = s("ada.byron7@mail.site.example", "email")
+    assert mail.split("@")[0].split(".")[0] == name[0].lower() and mail.endswith(".example") and "site" not in mail
+
+
+def test_permutations_are_permutations():
+    for size in (1, 2, 3, 10, 90, 1000):
+        assert sorted(pii.permuted(x, size, "k", "p") for x in range(size)) == list(range(size))
+    made = {pii.number_surrogate(f" 0{n:04d} ", "phone", "k", 0) for n in range(10_000)}
+    assert len(made) == 10_000
+
+
+def test_surrogates_never_clash(spark):
+    # every phone of a form, so none is free, and more words than pairs of syllables can tell apart at once
+    phones = [{"start_pos": 0, "end_pos": 1, "kind": "phone", "entity": f"01 {n:03d}"} for n in range(1000)]
+    people = [{"start_pos": 0, "end_pos": 1, "kind": "name", "entity": f"A{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}x{chr(97 + n // 676)}o Q"} for n in range(6000)]
+    rows = [(k, None, (phones + people)[k :: 50]) for k in range(50)]
+    found = pii.cut_lineage(spark.createDataFrame(rows, pii._FOUND_DDL))
+    got = pii.surrogates(found, "k").collect()
+    pairs = {(c.kind, c.entity): p for r in got for c, p in zip(r.cases, r.puts)}
+    assert len(pairs) == 7000 and len(set(pairs.values())) == 7000
+    real = {e for k, e in pairs if k == "name"}
+    assert not real & set(pairs.values())
+
+
+def test_known_names_beyond_the_bound(spark):
+    contacts = spark.createDataFrame([(f"Given{chr(97 + i)}", f"Family{chr(97 + i)}") for i in range(26)], "given_name string, family_name string")
+    exact, probed = pii.known_names(contacts), pii.known_names(contacts, most=5, size=18)
+    assert all(w in got for got, want in zip(probed, exact) for w in want) and len(exact[0]) == 26
+    assert sum(f"other{i}" in probed[0] for i in range(2000)) < 20
+
+
+@pytest.mark.parametrize(("text", "cases"), [
+    ("Grace Hill met June Park", []),
+    ("Συνάντηση με Νίκος Παπάς σήμερα", [("Νίκος Παπάς", "name")]),
+    ("連絡先は田中 太郎様です。「山田・花子さん」", [("山田・花子", "name")]),
+    ("住所 東京都千代田区丸の内1-1-1 です", [("東京都千代田区丸の内1-1-1", "address")]),
+    ("38件の橋が 12月3-4日", []),
+    ("at 12 Old Mill Road, " + "Verylongtown" * 20 + " AB1 2CD", [("12 Old Mill Road, " + "Verylongtown" * 20 + " AB1 2CD", "address")]),
+    ("serial 0800 1234 567, call 0800 1234 567", [("0800 1234 567", "phone")]),
+])
+def test_other_scripts_and_long_cases(names, text, cases):
+    assert [(text[a:b], k) for a, b, k in pii.spans(text, names)] == cases
+
+
+def test_listed_people_may_have_any_word(names):
+    listed = pii.Names(frozenset(["grace", "june"]), frozenset(["hill", "park"]), names.cells)
+    text = "Grace Hill met June Park"
+    assert [text[a:b] for a, b, _ in pii.spans(text, listed)] == ["Grace Hill", "June Park"]
