@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, discard, table
-from .sketch import sketch
+from .sketch import coded, sketch
 
 THRESHOLD, LEAST_WORDS, SHARED = 0.7, 30, 3
 #: log2 of the sketch's cells: one byte each when broadcast, so never over 16 MB.
@@ -141,8 +141,8 @@ def worded(nodes: DataFrame, least_words: int) -> DataFrame:
     return cut_lineage(some.select(F.col("row_id").cast("long"), F.col("id").cast("string"), F.col("title").cast("string"), F.col("content").cast("string")).mapInArrow(_worded(least_words), _WORDED_DDL))
 
 
-_RECORD = pa.schema([("row_id", pa.int64()), ("id", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("grp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-_RECORD_DDL = "row_id long, id string, k1 long, k2 long, n int, grp long, prefix array<long>"
+_RECORD = pa.schema([("row_id", pa.int64()), ("id", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("grp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
+_RECORD_DDL = "row_id long, id string, k1 long, k2 long, n int, grp long, prefix array<long>, often array<long>"
 
 
 def need(n, threshold: float):
@@ -151,6 +151,8 @@ def need(n, threshold: float):
 
 
 def _records(cells, bits: int, threshold: float):
+    hot = int(coded(np.array([HOT]))[0]) - 1
+
     def run(batches):
         counts = np.frombuffer(cells.value, np.uint8)
         for batch in batches:
@@ -170,10 +172,13 @@ def _records(cells, bits: int, threshold: float):
             tokens = h[order]
             lowest = np.minimum.reduceat(np.where(keep, tokens, _U(2**64 - 1)), start)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)), pa.int32()), pa.array(tokens[keep].view(np.int64)))
+            many = keep & (often[order] > hot)  # the sketch never counts too low, so hot tokens are among these
+            held = np.add.reduceat(many.astype(np.int64), start)
+            maybe = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(tokens[many].view(np.int64)))
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(take), batch.column(1).take(take), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                pa.array(n.astype(np.int32)), pa.array(lowest.view(np.int64)), prefix,
+                pa.array(n.astype(np.int32)), pa.array(lowest.view(np.int64)), prefix, maybe,
             ], schema=_RECORD)
 
     return run
@@ -244,14 +249,14 @@ class Join:
         cells = nodes.sparkSession.sparkContext.broadcast(sketch(self.words.select("words"), _cells(self.bits), self.bits).tobytes())
         self.records = cut_lineage(self.words.mapInArrow(_records(cells, self.bits, threshold), _RECORD_DDL))
         self.reps = cut_lineage(
-            self.records.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
+            self.records.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("often").alias("often"))
         )
 
     def candidates(self) -> DataFrame:
         """``rep_a < rep_b`` of classes that the matrix and then the members' prefixes leave."""
         t, reps = self.threshold, self.reps.where(F.size("prefix") > 0)
         entries = reps.select("rep", "n", "grp", F.explode("prefix").alias("token"))
-        hot = cut_lineage(entries.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("token"))
+        hot = cut_lineage(reps.select(F.explode("often").alias("token")).groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("token"))
         least = lambda n: F.least(F.lit(SHARED), F.ceil(n * t - 1e-9))
 
         def met_groups(entries: DataFrame, hot: bool) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from notefathom.llm import mixing, neardup, pii
+from notefathom.llm import mixing, neardup, pii, sketch
 
 
 # ---- near duplicates ----
@@ -56,6 +56,27 @@ def test_pairs_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7, 30)
 
 
+def test_hot_tokens_and_groups_in_blocks(spark, monkeypatch):
+    for name, most in (("HOT", 3), ("BLOCK", 4), ("ASKERS", 5)):
+        monkeypatch.setattr(neardup, name, most)
+    rows = corpus(7)
+    assert {tuple(r) for r in neardup.Join(nodes(spark, rows)).row_pairs().collect()} == brute(rows, 0.7, 30)
+
+
+def test_filter_beyond_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_FILTER_BITS", 8)
+    rows = corpus(5)
+    assert {tuple(r) for r in neardup.Join(nodes(spark, rows)).row_pairs().collect()} == brute(rows, 0.7, 30)
+
+
+def test_sketch_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "FAN", 3)
+    rows = spark.range(0, 5000, 1, 20).selectExpr("id % 37 as cell")
+    got = sketch.sketch(rows, lambda b: (b.column(0).to_numpy(), np.ones(b.num_rows, np.int64)), 8)
+    want = np.bincount(np.arange(5000) % 37, minlength=256)
+    assert (got == sketch.coded(want)).all()
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (5, 6), *((20 + i, 21 + i) for i in range(12))], "rep_a long, rep_b long")
     got = {r.rep: r.grp for r in neardup.components(pairs).collect()}
