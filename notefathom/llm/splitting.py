@@ -7,6 +7,9 @@ are UTF-16 units; no surrogate pair is split.
 Boundary strengths, strongest first: sections, fenced blocks, paragraphs, line ends, sentences, white space; inside a
 fenced block only line ends and white space count, below sentences.  A cut is forced only inside a stretch without any boundary.
 
+No piece can hold a run over the limit without white space, so a text has such a run exactly if one of its cuts lies within one.  That is how
+``p5_found`` tells forced from natural: each cut is looked at with the unbroken stretch around it.
+
 Defined results: null, empty and short texts give no rows; a text over the limit always gives two pieces or more.
 """
 
@@ -30,7 +33,7 @@ _FENCE_OPEN = re.compile(r" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"#{1,6}\s")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[。！？][」』）]*")
 _SPACES = re.compile(r"\s+")
-_RUN = re.compile(r"[^ \t\r\n]+")
+BLANKS = " \t\r\n"
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +131,16 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     return [(*(int(x) for x in np.searchsorted(units, p[:3])), p[3]) for p in out]
 
 
-def longest_run(text: str) -> int:
-    """UTF-16 length of the longest run without space, tab, carriage return or line feed."""
-    most = max((m.end() - m.start() for m in _RUN.finditer(text)), default=0)
-    if text.isascii() or max(text) <= "￿":
-        return most
-    return max((len(m[0]) + sum(c > "￿" for c in m[0]) for m in _RUN.finditer(text) if 2 * len(m[0]) >= most), default=0)
+def stretch(text: str, cut: int, limit: int) -> int:
+    """UTF-16 length of the stretch without blanks around a cut, looked at up to ``limit`` code points and one more on either side."""
+    before, after = text[max(0, cut - limit - 1) : cut], text[cut : cut + limit + 1]
+    left = len(before) - 1 - max(before.rfind(c) for c in BLANKS)
+    right = min((x for c in BLANKS if (x := after.find(c)) >= 0), default=len(after))
+    return _units(text[cut - left : cut + right])
 
 
-_PIECE = pa.schema([("row_id", pa.int64()), ("piece", pa.int32()), ("n_units", pa.int32()), ("overlap_units", pa.int32()), ("text", pa.string()), ("ends", pa.string()), ("longest_run", pa.int32())])
-_PIECE_DDL = "row_id long, piece int, n_units int, overlap_units int, text string, ends string, longest_run int"
+_PIECE = pa.schema([("row_id", pa.int64()), ("piece", pa.int32()), ("n_units", pa.int32()), ("overlap_units", pa.int32()), ("text", pa.string()), ("ends", pa.string()), ("stretch", pa.int32())])
+_PIECE_DDL = "row_id long, piece int, n_units int, overlap_units int, text string, ends string, stretch int"
 
 
 def _units(text: str) -> int:
@@ -152,10 +155,11 @@ def pieces(nodes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
             rows = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if _units(text) > limit:
-                    run_units = longest_run(text)
-                    for k, (start, fresh, end, hard) in enumerate(split(text, limit, overlap)):
+                    parts = split(text, limit, overlap)
+                    longest = max(stretch(text, fresh, limit) for _, fresh, _, _ in parts[1:])
+                    for k, (start, fresh, end, hard) in enumerate(parts):
                         piece = text[start:end]
-                        rows.append((rid, k, _units(piece), _units(text[start:fresh]), piece, "forced" if hard else "natural", run_units))
+                        rows.append((rid, k, _units(piece), _units(text[start:fresh]), piece, "forced" if hard else "natural", longest))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_PIECE), _PIECE)], schema=_PIECE)
 
     # UTF-8 never takes fewer bytes than UTF-16 takes units, so short texts stay in the JVM.
@@ -164,11 +168,11 @@ def pieces(nodes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that were split, and whether a run over the limit forced cuts in them; each row's first piece stands for it."""
+    """Rows that were split, and whether one of their cuts lies in a run over the limit; each row's first piece stands for it."""
     got = pieces(table(spark, folder, "nodes")).where("piece = 0")
-    return got.select("row_id", F.when(F.col("longest_run") > LIMIT, "forced").otherwise("natural").alias("cut"))
+    return got.select("row_id", F.when(F.col("stretch") > LIMIT, "forced").otherwise("natural").alias("cut"))
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """All pieces of all oversized contents."""
-    return pieces(table(spark, folder, "nodes")).drop("longest_run")
+    return pieces(table(spark, folder, "nodes")).drop("stretch")

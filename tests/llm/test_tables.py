@@ -99,6 +99,50 @@ def test_route_overlapping_sources():
     assert mixing.route({"a": 0.0}, {"a": 3}, {("a",): 10}) == {}
 
 
+def test_route_is_convex_to_the_end():
+    # two sources share "ab"; the repeats run far over any fixed number of passes and stay level with each other
+    tokens = {("a",): 1, ("a", "b"): 1, ("b",): 1}
+    got = mixing.route({"a": 0.5, "b": 0.5}, {"a": 300, "b": 300}, tokens)
+    assert sum(f for (p, _), f in got.items() if p == ("a", "b")) == 300 and sum(got.values()) == 900
+    # of two patterns for one source each is taken as often as the other, at any number of passes
+    got = mixing.route({"a": 0.5, "c": 0.5}, {"a": 200, "c": 1}, {("a",): 10, ("a", "x"): 10, ("c",): 2000, ("x",): 5})
+    assert got[("a",), "a"] == got[("a", "x"), "a"] == 1000
+
+
+def test_flow_has_no_cheaper_exchange():
+    rng = random.Random(6)
+    for _ in range(30):
+        tokens = {p: rng.randrange(1, 9) for p in [("a",), ("b",), ("a", "b"), ("a", "c"), ("c",), ("a", "b", "c")]}
+        repeats = {s: rng.randrange(1, 6) for s in "abc"}
+        got = mixing.route({"a": 1.0, "b": 1.0, "c": 2.0}, repeats, tokens)
+        for p, n in tokens.items():
+            assert sum(f for (q, _), f in got.items() if q == p) <= n * max(repeats[s] for s in p)
+        assert all(f <= tokens[p] * repeats[s] for (p, s), f in got.items())
+        # no single token moved to an earlier pass of another pattern makes it cheaper
+        use = {p: sum(f for (q, _), f in got.items() if q == p) for p in tokens}
+        for (p, s), f in got.items():
+            for q, n in tokens.items():
+                if f and s in q and q != p and got.get((q, s), 0) < n * repeats[s] and use[q] < n * max(repeats[x] for x in q):
+                    assert use[q] // n >= (use[p] - 1) // tokens[p]
+
+
+def test_mixture_of_overlapping_sources(spark):
+    rng = random.Random(9)
+    docs = [(i, rng.choice([["a"], ["b"], ["a", "b"], ["c", "a"], ["c"], ["x", "b"]]), rng.randrange(1, 40)) for i in range(4000)]
+    sizes = spark.createDataFrame(docs, "doc_id long, sources array<string>, n_tokens long")
+    plan = spark.createDataFrame([("p", "a", 2.0, 2), ("p", "b", 1.0, 3), ("p", "c", 1.0, 1)], "plan_name string, source string, target_share double, max_repeats int")
+    for most in (mixing.MOST_PATTERNS, 2):
+        before, mixing.MOST_PATTERNS = mixing.MOST_PATTERNS, most
+        try:
+            mixed, shares = mixing.mixture(sizes, plan)
+            got, rows = {r.source: r for r in shares.collect()}, mixed.collect()
+        finally:
+            mixing.MOST_PATTERNS = before
+        assert all(r.source in dict((d, s) for d, s, _ in docs)[r.doc_id] for r in rows)
+        assert all(r.most_repeats <= r.max_repeats for r in got.values())
+        assert all(abs(got[s].reached_share - w) < 0.01 for s, w in (("a", 0.5), ("b", 0.25), ("c", 0.25)))
+
+
 def test_mixture(spark):
     rng = random.Random(2)
     docs = [(i, ["big"], rng.randrange(1, 50)) for i in range(3000)] + [(5000 + i, ["small"], 20) for i in range(20)] + [(9000, ["other"], 5), (9001, ["big"], 0), (9002, [None], 7)]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -107,6 +108,28 @@ def test_long_text_is_quick():
 def test_found(spark):
     rows = [(1, "x" * 2001), (2, "w " * 1500), (3, "short"), (4, None), (5, ""), (6, "🌱" * 1001), (7, "🌱" * 1000), (8, "a" * 1999 + " " + "b" * 1999), (1, "y " * 1001)]
     nodes = spark.createDataFrame(rows, "row_id long, content string").selectExpr("*", "1 as piece", "2 as text")
-    got = sorted((r.row_id, r.longest_run > 2000) for r in splitting.pieces(nodes).where("piece = 0").collect())
+    got = sorted((r.row_id, r.stretch > 2000) for r in splitting.pieces(nodes).where("piece = 0").collect())
     assert got == [(1, False), (1, True), (2, False), (6, True), (8, False)]
     assert splitting.pieces(nodes.limit(0)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a" * 30, "。", " ", "\n", "🌱" * 7, "b" * 61, "\u00a0", "c. "]), min_size=1, max_size=40).map("".join))
+def test_a_cut_lies_in_every_long_run(text):
+    if units(text) > 60:
+        parts = splitting.split(text, 60, 9)
+        longest = max(units(x) for x in re.split("[ \t\r\n]", text))
+        assert (max(splitting.stretch(text, fresh, 60) for _, fresh, _, _ in parts[1:]) > 60) == (longest > 60)
+
+
+def test_pieces_join_to_the_text(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(["word ", "x" * 900, "\n\n", "# h\n", "🌱", "end. ", "```\n"]) for _ in range(200))) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "row_id long, content string")
+    back = {}
+    for r in splitting.pieces(nodes).orderBy("row_id", "piece").collect():
+        u = r.text.encode("utf-16-le")
+        assert r.n_units * 2 == len(u) <= 4000 and (r.piece == 0) == (r.overlap_units == 0)
+        assert back.get(r.row_id, b"").endswith(u[: 2 * r.overlap_units])
+        back[r.row_id] = back.get(r.row_id, b"") + u[2 * r.overlap_units :]
+    assert {k: v.decode("utf-16-le") for k, v in back.items()} == dict(rows)
