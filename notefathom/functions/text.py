@@ -59,7 +59,7 @@ def in_folder(path: Column | str, folder: str | None) -> Column:
 
 def excerpt(x: Column | str, n: int = 200) -> Column:
     """The first ``n`` units, with ``...`` where text was left out."""
-    return F.when(F.length(col(x)) > n, F.concat(utf16_prefix(x, n), F.lit("..."))).otherwise(col(x))
+    return F.when(utf16_length(x) > n, F.concat(utf16_prefix(x, n), F.lit("..."))).otherwise(col(x))
 
 
 def note_excerpt(content: Column | str, n: int = 200) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import text as X
+from .names import link_paths
 
 
 def orphaned(notes: DataFrame, edges: DataFrame, folder: str | None = None, exclude: list[str] = ()) -> DataFrame:
@@ -44,31 +45,33 @@ def rename(table: DataFrame, old: str, new: str, columns: list[str]) -> DataFram
 
 
 def broken_links(notes: DataFrame, folder: str | None = None, exclude: list[str] = (), attachments: DataFrame | None = None) -> DataFrame:
-    """``source_id, line, link, reason`` of links in note texts that lead nowhere.
+    """``source_id, line, link, reason`` of links in note texts that lead nowhere, one row per link.
 
-    Links are taken from texts with code masked, embeds left out.  Targets are resolved by path, then by stem; anchors are
-    checked by an anti-join against the headings and blocks of all notes.
+    Links are taken from texts with code masked, embeds left out, and resolved as J9 does; one that names a file of ``attachments``, by path or
+    name, is none to a note.  Of an anchor's parts the last tells its kind: a block alone, or headings that must all be there.  Distinct anchors
+    are checked by an anti-join against the headings and blocks of all notes.
     """
     scanned = notes.where(X.all_of([X.in_folder("id", folder), *(~X.in_folder("id", e) for e in exclude)]))
     links = scanned.where(F.col("content").contains("[[")).select(F.col("id").alias("source_id"), F.explode(M.maintenance_links("content")).alias("l")).where("not l.embed")
-    links = links.select("source_id", "l.line", "l.raw", "l.target", "l.subpath").withColumn("want", F.when(F.col("target") == "", F.col("source_id")).otherwise(F.concat(F.regexp_replace("target", r"\.md$", ""), F.lit(".md"))))
-    # path first, then the least path with the stem in reach
-    stems = notes.select(F.col("id").alias("path"), X.stem("id").alias("stem"))
-    asked = links.select("source_id", "want").distinct().withColumn("stem", X.stem("want"))
-    reach = F.when(F.col("path") == F.col("want"), 0).when(X.dirname("path") == X.dirname("source_id"), 1).otherwise(2)
-    suffix = (F.col("path") == F.col("want")) | ~F.col("want").contains("/") | F.col("path").endswith(F.concat(F.lit("/"), "want"))
-    found = asked.join(stems, "stem").where(suffix).groupBy("source_id", "want").agg(F.min(F.struct(reach.alias("reach"), "path")).alias("x")).select("source_id", "want", F.col("x.path").alias("path"))
-    links = links.join(found, ["source_id", "want"], "left")
+    links = links.select("source_id", "l.line", "l.start", F.col("l.raw").alias("link"), F.col("l.target").alias("raw"), "l.subpath")
+    found = link_paths(links.where("raw != ''"), notes)
+    links = links.join(found, ["source_id", "raw"], "left").withColumn("path", F.when(F.col("raw") == "", F.col("source_id")).otherwise(F.col("path")))
     missing = links.where("path is null")
     if attachments is not None:
-        known = attachments.select(F.col("path").alias("target")).union(attachments.select(X.basename("path"))).distinct()
-        missing = missing.join(known, "target", "left_anti")
-    anchors = notes.where(F.col("content").contains("#") | F.col("content").contains("^")).select(F.col("id").alias("path"), F.explode(M.anchors("content")).alias("anchor")).distinct()
-    parts = (
-        links.where("path is not null and subpath is not null and subpath != ''")
-        .withColumn("block", F.col("subpath").startswith("^"))
-        .select("source_id", "line", "raw", "path", "block", F.explode(F.when(F.col("block"), F.array("subpath")).otherwise(F.filter(F.split("subpath", "#"), lambda p: F.trim(p) != ""))).alias("part"))
-        .withColumn("anchor", F.when(F.col("block"), F.col("part")).otherwise(X.heading_key("part")))
-    )
-    lost = parts.join(anchors, ["path", "anchor"], "left_anti").select("source_id", "line", F.col("raw").alias("link"), F.when(F.col("block"), "block_not_found").otherwise("heading_not_found").alias("reason")).distinct()
-    return missing.select("source_id", "line", F.col("raw").alias("link"), F.lit("note_not_found").alias("reason")).unionByName(lost)
+        known = attachments.select("path").union(attachments.select(X.basename("path"))).distinct()
+        file = F.col("raw").rlike(r"\.[A-Za-z0-9]+$") & ~F.col("raw").endswith(".md")
+        for asked in (F.col("raw"), X.basename("raw")):
+            missing = missing.withColumn("file", F.when(file, asked)).join(known.withColumnRenamed("path", "file"), "file", "left_anti")
+    anchors = notes.where(F.col("content").contains("#") | F.col("content").contains("^")).select(F.col("id").alias("path"), F.explode(M.anchors("content")).alias("anchor"))
+    names = F.filter(F.transform(F.split("subpath", "#"), lambda p: X.js_trim(p)), lambda p: p != "")
+    block = F.element_at("names", -1).startswith("^")
+    wanted = F.when(block, F.array(F.element_at("names", -1))).otherwise(F.transform("names", lambda p: X.heading_key(p)))
+    asked = (
+        links.where("path is not null").withColumn("names", names).where(F.size("names") > 0)
+        .select("source_id", "line", "start", "link", "path", block.alias("block"), F.explode(F.array_distinct(wanted)).alias("part"))
+        .withColumn("anchor", F.when(F.col("block"), F.col("part")).otherwise(F.concat(F.lit("#"), "part")))
+    )
+    gone = asked.select("path", "anchor").distinct().join(anchors, ["path", "anchor"], "left_anti")
+    lost = asked.join(gone, ["path", "anchor"], "left_semi").dropDuplicates(["source_id", "start"])
+    lost = lost.select("source_id", "line", "link", F.when(F.col("block"), "block_not_found").otherwise("heading_not_found").alias("reason"))
+    return missing.select("source_id", "line", "link", F.lit("note_not_found").alias("reason")).unionByName(lost)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def resolve(notes: DataFrame, name: str) -> DataFrame:
     tier = (
         F.when(F.col("id").isin(name, name + ".md"), 0)
         .when(F.col("title") == name, 1)
-        .when(X.stem("id") == name, 2)
+        .when(X.basename("id").isin(name, name.removesuffix(".md") + ".md"), 2)
         .when(F.lower("title") == low, 3)
         .when(ci_alias, 4)
         .when(F.lower("title").contains(low), 5)
@@ -76,24 +78,27 @@ def _span(text: Column, query: str) -> Column:
 
 
 def score_name(candidate: Column, query: str) -> Column:
-    """1 equal, .9 prefix, .85 at a word's start, .8 inside, .7 all words, .4-.6 as a subsequence, else likeness x .6 from .6 on."""
-    q = query.lower().strip()
+    """1 equal, .9 prefix, .85 at a word's start (behind white space or one of ``-_/.``), .8 inside, .7 all words; else the better of
+    .4-.6 as a subsequence and likeness x .6 from .6 on.  An empty query or name scores 0."""
+    q = query.lower().strip(X.JS_SPACE)
+    if not q:
+        return F.lit(0.0)
     c = F.lower(candidate)
     at = F.locate(q, c)
     before = F.substring(c, at - 1, F.lit(1))
-    words = [w for w in q.split() if w]
+    words = q.split()
     all_words = X.all_of([c.contains(w) for w in words]) if len(words) > 1 else F.lit(False)
     span = _span(c, q.replace(" ", ""))
-    like = similarity(candidate, F.lit(query))
+    like = similarity(c, F.lit(q))
+    loose = F.greatest(F.when(span > 0, 0.4 + 0.2 * len(q) / span).otherwise(0.0), F.when(like >= 0.6, like * 0.6).otherwise(0.0))
     return F.round(
-        F.when(c == q, 1.0)
+        F.when(F.coalesce(c, F.lit("")) == "", 0.0)
+        .when(c == q, 1.0)
         .when(c.startswith(q), 0.9)
-        .when((at > 1) & before.rlike(r"[^\p{L}\p{N}]"), 0.85)
+        .when((at > 1) & before.rlike(r"(?U)[\s\uFEFF\-_/.]"), 0.85)
         .when(at > 0, 0.8)
         .when(all_words, 0.7)
-        .when(span > 0, 0.4 + 0.2 * len(q.replace(" ", "")) / span)
-        .when(like >= 0.6, like * 0.6)
-        .otherwise(0.0),
+        .otherwise(loose),
         3,
     )
 
@@ -112,31 +117,50 @@ def find_by_name(notes: DataFrame, query: str, folder: str | None = None, limit:
 
 
 def fuzzy_find(notes: DataFrame, needle: str, threshold: float = 0.7) -> DataFrame:
-    """Lines that hold the needle, else the best stretch of words like it; one row per line that qualifies."""
-    low, width = needle.lower(), len(needle.split())
-    lines = notes.select("id", F.posexplode(F.split("content", r"\r?\n")).alias("at", "text")).where(F.trim("text") != "")
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    sizes = list(range(max(1, width - 2), width + 3))
-
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-    stretches = F.flatten(F.array(*map(runs, sizes)))
-    best = F.array_max(F.transform(stretches, lambda s: similarity(s, F.lit(needle))))
-    score = F.when(F.lower("text").contains(low), 1.0).otherwise(best)
-    return lines.select("id", (F.col("at") + 1).alias("line"), "text", F.round(score, 6).alias("score")).where(F.col("score") >= threshold)
+    """``id, line, text, score``.  A note that holds the needle, case ignored, gives each place it does, with score 1; any other gives per
+    line the stretch of words most like it, if that reaches the threshold, the first of equals, its words joined by one blank."""
+    low, most = needle.lower(), max(1, len(needle.split())) + 2
+    if not low:
+        return notes.select("id", F.lit(0).alias("line"), F.lit("").alias("text"), F.lit(0.0).alias("score")).limit(0)
+    holds = F.lower("content").contains(low)
+    parts = F.split(F.lower("content"), F.lit(re.sub(r"([^\w\s])", r"\\\1", low)), -1)
+    place = "struct<at: int, line: int>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{place}>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        at, line = s["at"] + F.length(p), s["line"] + (F.length(p) - F.length(F.replace(p, F.lit("\n"))))
+        return F.struct((at + len(low)).alias("at"), (line + low.count("\n")).alias("line"), F.concat(s["out"], F.array(F.struct(at.alias("at"), line.alias("line")))).alias("out"))
+
+    places = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda s: s["out"])
+    exact = notes.where(holds).select("id", "content", F.explode(places).alias("p"))
+    exact = exact.select("id", "p.line", F.substring("content", F.col("p.at") + 1, F.lit(len(low))).alias("text"), F.lit(1.0).alias("score"))
+
+    lines = notes.where(~holds).select("id", F.posexplode(F.split("content", "\n")).alias("at", "text")).where(F.trim("text") != "")
+    words = F.filter(F.split("text", r"(?U)[\s\uFEFF]+"), lambda w: w != "")
+
+    def run(i: Column, n: Column) -> Column:
+        return F.struct(F.array_join(F.slice(words, i, n), " ").alias("text"), (-i).alias("first"), (-n).alias("size"))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i + 1)), lambda n: run(i, n))))
+    # a stretch too long or too short cannot reach the threshold, so its edits are not counted
+    near = F.filter(runs, lambda r: F.least(F.length(r["text"]), F.lit(len(needle))) >= F.greatest(F.length(r["text"]), F.lit(len(needle))) * threshold - 1e-9)
+    best = F.array_max(F.transform(near, lambda r: F.struct(similarity(r["text"], F.lit(needle)).alias("score"), r["first"].alias("first"), r["size"].alias("size"), r["text"].alias("text"))))
+    like = lines.where(F.size(words) > 0).select("id", (F.col("at") + 1).alias("line"), best.alias("b")).where(F.col("b.score") >= threshold)
+    return exact.unionByName(like.select("id", "line", "b.text", F.round("b.score", 6).alias("score")))
 
 
 def link_paths(raw: DataFrame, notes: DataFrame) -> DataFrame:
-    """``source_id, raw, path``: direct path, else same stem: by path prefix, in the referrer's folder, or the first in order.
+    """``source_id, raw, path``: direct path, else a note whose stem is the link's last part as written: by path prefix, in the
+    referrer's folder, or the first in order.
 
     Two equi-joins and a first-of-group aggregate; nothing is compared pairwise.
     """
-    wanted = raw.select("source_id", "raw").distinct().withColumn("want", F.concat(F.regexp_replace("raw", r"\.md$", ""), F.lit(".md")))
+    bare = F.regexp_replace("raw", r"\.md$", "")
+    wanted = raw.select("source_id", "raw").distinct().withColumn("want", F.concat(bare, F.lit(".md")))
     direct = wanted.join(notes.select(F.col("id").alias("want")), "want", "left_semi").select("source_id", "raw", F.col("want").alias("path"))
-    rest = wanted.join(direct.select("source_id", "raw"), ["source_id", "raw"], "left_anti").withColumn("stem", X.stem("want"))
+    rest = wanted.join(direct.select("source_id", "raw"), ["source_id", "raw"], "left_anti").withColumn("stem", X.basename("raw"))
     candidates = rest.join(notes.select("id", X.stem("id").alias("stem")), "stem")
-    turn = F.when(F.col("raw").contains("/") & F.col("id").startswith(F.col("raw")), 0).when(X.dirname("id") == X.dirname("source_id"), 1).otherwise(2)
+    turn = F.when(F.col("raw").contains("/") & F.col("id").startswith(bare), 0).when(X.dirname("id") == X.dirname("source_id"), 1).otherwise(2)
     ranked = candidates.groupBy("source_id", "raw").agg(F.min(F.struct(turn.alias("turn"), "id")).alias("x")).select("source_id", "raw", F.col("x.id").alias("path"))
     found = direct.unionByName(ranked)
     return wanted.select("source_id", "raw").join(found, ["source_id", "raw"], "left")

@@ -106,19 +106,25 @@ def totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))
 
 
+def tag_name(tag: str) -> str:
+    """A tag without blanks and ``#`` around it; an error if it is none: letters, digits, ``_-/``, not digits alone, no empty level."""
+    name = tag.strip(X.JS_SPACE).lstrip("#")
+    if not re.fullmatch(r"[\w\-/]+", name) or all(c.isnumeric() for c in name) or name[0] == "/" or name[-1] == "/" or "//" in name:
+        raise ValueError(f"{tag!r} is no tag")
+    return name
+
+
 def _inline_tags(old: str, new: str, nested: bool):
-    inline = re.compile(rf"(?<![A-Za-z0-9_])#{re.escape(old)}(?P<rest>/[A-Za-z0-9_\-/]*)?(?![A-Za-z0-9_\-/])", re.IGNORECASE)
+    """Tags after white space or at the start, ended by anything that cannot go on in one; ``/`` goes on in a nested one."""
+    inline = re.compile(rf"(?:\A|(?<=[\s\ufeff]))#{re.escape(old)}(?![\w\-{'' if nested else '/'}])", re.IGNORECASE)
 
     def fn(text: str) -> tuple[str, int, list[str]]:
-        out, at, n, samples = [], 0, 0, []
-        for m in inline.finditer(M.mask_code(text)):
-            if m["rest"] and not nested:
-                continue
-            out += (text[at : m.start()], "#" + new + (m["rest"] or ""))
-            at, n = m.end(), n + 1
-            if len(samples) < 3:
-                samples.append(m[0])
-        return "".join([*out, text[at:]]), n, samples
+        at, out = 0, []
+        places = [m.span() for m in inline.finditer(M.mask_code(text))]
+        for start, end in places:
+            out += (text[at:start], "#", new)
+            at = end
+        return "".join([*out, text[at:]]), len(places), [text[a:b] for a, b in places[:3]]
 
     return fn
 
@@ -174,21 +180,21 @@ def _has_frontmatter_tag(old: str):
 
 def rename_tag(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
     """M2, inline side: tags in the content outside code, case ignored; children follow when ``nested``."""
-    old, new = old.lstrip("#"), new.lstrip("#")
+    old, new = tag_name(old), tag_name(new)
     return _plan(notes, _planned(_inline_tags(old, new, nested)), _has_inline_tag(old))
 
 
 def rename_tag_frontmatter(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
     """M2, frontmatter side: ``id, frontmatter, n``.  Whole tags in the values of ``tags`` and ``tag``, also several in one string, where
     white space, a comma, a bracket or a quote stands before each; all other JSON stays as written."""
-    old, new = old.lstrip("#"), new.lstrip("#")
+    old, new = tag_name(old), tag_name(new)
     got = notes.where(_has_frontmatter_tag(old)).select("id", _planned(_frontmatter_tags(old, new, nested))("frontmatter").alias("p"))
     return got.where("p.n > 0").select("id", F.col("p.text").alias("frontmatter"), F.col("p.n").alias("n"))
 
 
 def rename_tag_whole(notes: DataFrame, old: str, new: str, nested: bool = True) -> DataFrame:
     """M2: ``id, content, frontmatter, n`` of each note in which either side changes; ``n`` counts both."""
-    old, new = old.lstrip("#"), new.lstrip("#")
+    old, new = tag_name(old), tag_name(new)
     inline, front = _planned(_inline_tags(old, new, nested)), _planned(_frontmatter_tags(old, new, nested))
     got = notes.where(_has_inline_tag(old) | _has_frontmatter_tag(old)).select("id", "content", "frontmatter", inline("content").alias("c"), front("frontmatter").alias("f"))
     n = F.coalesce("c.n", F.lit(0)) + F.coalesce("f.n", F.lit(0))
@@ -232,22 +238,30 @@ def rename_heading(notes: DataFrame, note: str, old: str, new: str) -> DataFrame
     return got.where("p.n > 0").select("id", F.col("p.text").alias("content"), F.col("p.n").alias("n"))
 
 
-def move_note(notes: DataFrame, old: str, new: str) -> DataFrame:
-    """M4: links to a moved note rewritten, in the form each was written in (stem, path, with or without ``.md``), with alias and anchor kept."""
-    old_path, new_path = re.sub(r"\.md$", "", old), re.sub(r"\.md$", "", new)
-    old_stem, new_stem = old_path.rsplit("/", 1)[-1], new_path.rsplit("/", 1)[-1]
-    link = re.compile(rf"(!?\[\[)({re.escape(old_path)}|{re.escape(old_stem)})(\.md)?(?=[\]|#^])")
+def move_note(notes: DataFrame, old: str, new: str, edges: DataFrame) -> DataFrame:
+    """M4: ``id, content, n`` of the notes that link to a moved one in ``edges(source_id, target_id)``, their links rewritten.
 
-    def fn(text: str) -> tuple[str, int, list[str]]:
-        out, at, n, samples = [], 0, 0, []
-        for m in link.finditer(M.mask_code(text)):
-            target = new_path if m[2] == old_path and "/" in old_path else new_stem
-            out += (text[at : m.start()], m[1] + target + (m[3] or ""))
-            at, n = m.end(), n + 1
-            samples = samples or [m[0]]
-        return "".join([*out, text[at:]]), n, samples
-
-    return _plan(notes, _planned(fn), F.contains(F.col("content"), F.lit("[[" + old_path)) | F.contains(F.col("content"), F.lit("[[" + old_stem)))
+    ``[[stem]]`` gets the new stem if that changed, ``[[path]]`` and ``[[path.md]]`` the new path without ``.md``; embeds, aliases and anchors
+    stay.  Both are fixed texts, so it is done in the JVM.
+    """
+    old_path, new_path = old.removesuffix(".md"), new.removesuffix(".md")
+    old_stem, new_stem = old_path.rsplit("/", 1)[-1], new_path.rsplit("/", 1)[-1]
+    quoted = lambda t: re.sub(r"([^\w\s])", r"\\\1", t)
+    put = lambda t: re.sub(r"([\\$])", r"\\\1", t)
+    blank, rest = r"[^\S\n]*", r"((?:[#^][^\]|\n]+)?(?:\|[^\]\n]*)?\]\])"
+    forms = []
+    if old_path != new_path and old_path != old_stem:
+        forms.append((rf"(?U)(!?\[\[){blank}{quoted(old_path)}(?:\.md)?{blank}{rest}", new_path))
+    elif old_path != new_path:
+        forms.append((rf"(?U)(!?\[\[){blank}{quoted(old_path)}\.md{blank}{rest}", new_path))
+    if old_stem != new_stem:
+        forms.append((rf"(?U)(!?\[\[){blank}{quoted(old_stem)}{blank}{rest}", new_stem))
+    sources = edges.where(F.col("target_id").isin(old, f"_stub/{old}") & ~F.col("source_id").isin(old, new)).select(F.col("source_id").alias("id")).distinct()
+    content, n = F.col("content"), F.lit(0)
+    for pattern, to in forms:
+        n = n + F.regexp_count(content, F.lit(pattern))
+        content = F.regexp_replace(content, F.lit(pattern), F.lit(f"$1{put(to)}$2"))
+    return notes.where(F.contains(F.col("content"), F.lit(old_stem))).join(sources, "id", "left_semi").select("id", content.alias("content"), n.alias("n")).where("n > 0")
 
 
 # ---- one note at a time -------------------------------------------------------------------------------------------

@@ -64,9 +64,10 @@ def _(spark, d):
     return _edges(spark, d).where("target_id = 'Library/Home.md'").select("id", "source_id", "context")
 
 
-@query("m14_list_vaults", "SELECT v.vault_id, v.title, v.root, coalesce(n.notes, 0) AS notes FROM vaults v LEFT JOIN (SELECT vault_id, count(*) AS notes FROM nodes GROUP BY 1) n USING (vault_id)")
+@query("m14_list_vaults", """WITH s AS (SELECT DISTINCT id, arg_max(vault_id, (loaded_at, row_id)) AS vault_id, arg_max({'r': removed_at}, (loaded_at, row_id)).r AS removed_at FROM nodes GROUP BY id)
+ SELECT v.vault_id, v.title, v.root, (SELECT count(*) FROM s WHERE s.vault_id = v.vault_id AND s.removed_at IS NULL) AS notes FROM vaults v""")
 def _(spark, d):
-    return vault.list_vaults(table(spark, d, "vaults"), table(spark, d, "nodes"))
+    return vault.list_vaults(table(spark, d, "vaults"), notes.current(table(spark, d, "nodes"), stubs=True))
 
 
 # ---- filters and projections --------------------------------------------------------------------------------------
@@ -150,12 +151,15 @@ def _(spark, d):
     return notes.live_edges(_edges(spark, d), _current(spark, d)).select("id", "source_id", "target_id")
 
 
-@query("j9_link_paths", CUR + """, w AS (SELECT DISTINCT source_id, target_id AS raw, regexp_replace(target_id, '\\.md$', '') || '.md' AS want FROM edges),
- stems AS (SELECT id, regexp_replace(string_split(id, '/')[-1], '\\.md$', '') AS stem, CASE WHEN contains(id, '/') THEN regexp_replace(id, '/[^/]*$', '') ELSE '' END AS dir FROM cur),
- c AS (SELECT w.source_id, w.raw, s.id, row_number() OVER (PARTITION BY w.source_id, w.raw ORDER BY CASE WHEN s.id = w.want THEN -1 WHEN contains(w.raw, '/') AND starts_with(s.id, w.raw) THEN 0
-   WHEN s.dir = (CASE WHEN contains(w.source_id, '/') THEN regexp_replace(w.source_id, '/[^/]*$', '') ELSE '' END) THEN 1 ELSE 2 END, s.id) AS r
-   FROM w JOIN stems s ON s.stem = regexp_replace(string_split(w.want, '/')[-1], '\\.md$', ''))
- SELECT w.source_id, w.raw, c.id AS path FROM w LEFT JOIN c ON c.source_id = w.source_id AND c.raw = w.raw AND c.r = 1""")
+_LINK_PATHS = """, lw AS (SELECT DISTINCT source_id, raw, CASE WHEN ends_with(raw, '.md') THEN raw ELSE raw || '.md' END AS with_md, string_split(raw, '/')[-1] AS last,
+   CASE WHEN ends_with(raw, '.md') THEN left(raw, length(raw) - 3) ELSE raw END AS prefix, CASE WHEN contains(source_id, '/') THEN regexp_replace(source_id, '/[^/]*$', '') ELSE '' END AS home FROM asked),
+ ls AS (SELECT id, regexp_replace(string_split(id, '/')[-1], '\\.md$', '') AS stem, CASE WHEN contains(id, '/') THEN regexp_replace(id, '/[^/]*$', '') ELSE '' END AS dir FROM cur),
+ lp AS (SELECT source_id, raw, CASE WHEN with_md IN (SELECT id FROM cur) THEN with_md ELSE coalesce(
+   CASE WHEN contains(raw, '/') THEN (SELECT min(id) FROM ls WHERE stem = last AND starts_with(id, prefix)) END,
+   (SELECT min(id) FROM ls WHERE stem = last AND dir = home), (SELECT min(id) FROM ls WHERE stem = last)) END AS path FROM lw)"""
+
+
+@query("j9_link_paths", CUR + ", asked AS (SELECT source_id, target_id AS raw FROM edges)" + _LINK_PATHS + " SELECT source_id, raw, path FROM lp")
 def _(spark, d):
     return names.link_paths(_edges(spark, d).select("source_id", F.col("target_id").alias("raw")), _current(spark, d))
 
@@ -452,11 +456,31 @@ def _(spark, d):
     return rewrite.rename_tag_whole(_current(spark, d), "shipment", "cargo").select("id", F.md5("content").alias("content"), F.md5("frontmatter").alias("frontmatter"), "n")
 
 
-@query("m4_move_note")
+def _resolved_links(now: DataFrame) -> DataFrame:
+    """``source_id, target_id`` of the links in note texts; a placeholder where nothing has the path."""
+    raw = vault.links_of(now).select("source_id", F.col("target").alias("raw"))
+    return names.link_paths(raw, now).select("source_id", F.coalesce("path", F.concat(F.lit("_stub/"), "raw", F.lit(".md"))).alias("target_id"))
+
+
+_INDEX_LINKS = """, il AS (SELECT id AS source_id, content, regexp_replace(regexp_replace(regexp_replace(content, '```.*?```', '', 'gs'), '`[^`\n]*`', '', 'g'), '!\\[\\[[^\\]]+\\]\\]', '', 'g') AS t FROM cur WHERE contains(content, '[[')),
+ ir AS (SELECT source_id, content, regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1) AS l FROM il),
+ ix AS (SELECT source_id, content, i - 1 AS pos, trim(string_split(l[i], '|')[1]) AS raw FROM ir, range(1, len(l) + 1) r(i)),
+ iy AS (SELECT *, regexp_extract(raw, '^([^#^]*)', 1) AS target, nullif(regexp_extract(raw, '^[^#^]*#?(\\^?.*)$', 1), '') AS subpath FROM ix)"""
+
+
+@query("m4_move_note", CUR + _INDEX_LINKS + ", asked AS (SELECT source_id, target AS raw FROM iy)" + _LINK_PATHS + """,
+ best AS (SELECT target AS t FROM iy WHERE target <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ src AS (SELECT DISTINCT source_id FROM lp, best WHERE coalesce(path, '_stub/' || raw || '.md') IN (t || '.md', '_stub/' || t || '.md') AND source_id NOT IN (t || '.md', 'Moved/New place.md')),
+ pat AS (SELECT '(!?\\[\\[)[ \t]*' || regexp_escape(t) || '(?:\\.md)?[ \t]*((?:[#^][^\\]|\n]+)?(?:\\|[^\\]\n]*)?\\]\\])' AS whole, '(!?\\[\\[)[ \t]*' || regexp_escape(string_split(t, '/')[-1]) || '[ \t]*((?:[#^][^\\]|\n]+)?(?:\\|[^\\]\n]*)?\\]\\])' AS bare, contains(t, '/') AS deep FROM best)
+ SELECT id, md5(regexp_replace(CASE WHEN deep THEN regexp_replace(content, whole, '\\1Moved/New place\\2', 'g') ELSE content END, bare, '\\1New place\\2', 'g')) AS content,
+   len(regexp_extract_all(content, bare)) + CASE WHEN deep THEN len(regexp_extract_all(content, whole)) ELSE 0 END AS n
+ FROM cur, pat WHERE id IN (SELECT source_id FROM src) AND (regexp_matches(content, bare) OR deep AND regexp_matches(content, whole))""")
 def _(spark, d):
     now = _current(spark, d)
-    most = vault.links_of(now).groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(1).collect()
-    return rewrite.move_note(now, f"{most[0].target}.md" if most else "x.md", "Moved/New place.md").select("id", F.md5("content").alias("content"), "n")
+    links_now = cut_lineage(vault.links_of(now).select("source_id", "target"))
+    most = links_now.where("target != ''").groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(1).collect()
+    got = rewrite.move_note(now, f"{most[0].target}.md" if most else "x.md", "Moved/New place.md", _resolved_links(now))
+    return got.select("id", F.md5("content").alias("content"), F.col("n").cast("long").alias("n"))
 
 
 # ---- incremental and streaming ------------------------------------------------------------------------------------

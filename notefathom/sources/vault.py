@@ -262,6 +262,6 @@ def list_bookmarks(files: DataFrame, types: list[str] | None = None) -> DataFram
 
 
 def list_vaults(vaults: DataFrame, notes: DataFrame) -> DataFrame:
-    """Vaults with their number of notes."""
+    """Vaults with the number of ids in ``notes``, the current view with its stubs."""
     n = notes.groupBy("vault_id").agg(F.count("*").alias("notes"))
     return vaults.join(n, "vault_id", "left").select("vault_id", "title", "root", F.coalesce("notes", F.lit(0)).alias("notes"))

@@ -41,14 +41,13 @@ class Debounce(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kind, at, due = self.last.get() if self.last.exists() else (None, -1, None)
         out = []
-        for pdf in rows:
-            for e in pdf.sort_values("ts_ms", kind="stable").itertuples():
-                if e.ts_ms < at:
-                    continue
-                if due is not None and e.ts_ms >= due:
-                    out.append((key[0], classified(kind), due))
-                kind, at = e.kind, e.ts_ms
-                due = at + delay(kind)
+        # a trigger's events of one path may come in several batches; they are short and are put in order together
+        new = pd.concat(list(rows), ignore_index=True)
+        for e in new[new.ts_ms >= at].sort_values("ts_ms", kind="stable").itertuples():
+            if due is not None and e.ts_ms >= due:
+                out.append((key[0], classified(kind), due))
+            kind, at = e.kind, e.ts_ms
+            due = at + delay(kind)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if kind is not None:

@@ -88,5 +88,26 @@ def test_text_columns(spark):
 
 def test_embedding():
     v = M.hashed_embedding("the kettle and the kettle river")
-    assert abs(sum(x * x for x in v) - 1) < 1e-12 and M.hashed_embedding("") == [0.0] * 64
+    assert abs(sum(x * x for x in v) - 1) < 1e-12 and M.hashed_embedding("") == M.hashed_embedding("Used for THE") == [1.0] + [0.0] * 63
+    assert M.fnv1a("") == 0x811C9DC5 and M.fnv1a("a") == 0xE40C292C and M.fnv1a("foobar") == 0xBF9CF968
     assert M.mean_pool([[1.0, 0.0], [0.0, 1.0], [9.0, 9.0]], [1, 1, 0]) == pytest.approx([2**-0.5, 2**-0.5])
+
+
+TASK_TEXT = "- [ ] a\n-\n\t* [x] b 📅 2024-01-02 \r\n\t  1. [-] c\n- plain\n  - [/] d\nprose\n  + [ ] e\n```\n- [ ] no\n```\n١. [ ] no\n- [ ]\n-[ ] no"
+
+
+def test_tasks():
+    got = [(t["line"], t["state"], t["text"], t["indent"], t["parent_line"], t["due"]) for t in M.find_tasks(TASK_TEXT)]
+    assert got == [
+        (1, "open", "a", 0, None, None), (3, "done", "b 📅 2024-01-02", 1, None, "2024-01-02"), (4, "cancelled", "c", 2, 3, None),
+        (6, "open", "d", 1, None, None), (8, "open", "e", 0, None, None), (13, "open", "", 0, None, None),
+    ]
+
+
+def test_a_lone_carriage_return_ends_no_line():
+    assert [h["line"] for h in M.find_headings("a\r# no\n# yes\r\n# too")] == [2, 3]
+
+
+def test_excerpt_counts_units(spark):
+    r = spark.range(1).select(X.excerpt(F.lit("🌱" * 150)).alias("long"), X.excerpt(F.lit("🌱" * 100)).alias("short")).first()
+    assert r.long == "🌱" * 100 + "..." and r.short == "🌱" * 100

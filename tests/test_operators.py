@@ -140,8 +140,62 @@ def test_resolve(spark):
 
 
 def test_fuzzy_lines(spark):
-    got = names.fuzzy_find(vault(spark, {"a.md": "nothing\nthe brigth kettle here\nBRIGHT KETTLE", "b.md": None}), "bright kettle").orderBy("line").collect()
-    assert [(r.line, r.score) for r in got] == [(2, pytest.approx(1 - 2 / 13, abs=1e-6)), (3, 1.0)]
+    n = vault(spark, {"a.md": "nothing\nthe brigth kettle here\nBRIGHT KETTLE, bright kettle", "b.md": None, "c.md": "x\nthe brigth   kettle here\nbright", "d.md": "bright.kettle\n"})
+    got = sorted((r.id, r.line, r.text, r.score) for r in names.fuzzy_find(n, "bright kettle").collect())
+    like = round(1 - 2 / 13, 6)
+    # a note with exact hits gives these only; short stretches count too
+    assert got == [("a.md", 3, "BRIGHT KETTLE", 1.0), ("a.md", 3, "bright kettle", 1.0), ("c.md", 2, "brigth kettle", like), ("d.md", 1, "bright.kettle", round(1 - 1 / 13, 6))]
+    assert names.fuzzy_find(n, "").count() == 0
+    two = names.fuzzy_find(n, "here\nBRIGHT").collect()
+    assert {(r.id, r.line, r.text) for r in two} == {("a.md", 2, "here\nBRIGHT"), ("c.md", 2, "here\nbright")}
+
+
+def test_score_name(spark):
+    want = [("Kelly criterion", "kelly criterion", 1.0), ("Kelly criterion", "kel", 0.9), ("a/Kelly", "kelly", 0.85), ("a+Kelly", "kelly", 0.8), ("of the kettle", "kettle of", 0.7), ("", "a", 0.0), ("x", "  ", 0.0)]
+    # blanks count in the length of the query, and likeness can beat a loose stretch
+    want += [("kXXetXXtlXe", "ket tle", round(0.4 + 0.2 * 7 / 11, 3)), ("kubernetes", "kubernets", round(0.4 + 0.2 * 9 / 10, 3)), ("abcdefgh", "abcdefhg", round(0.75 * 0.6, 3))]
+    for name, query, score in want:
+        assert spark.range(1).select(names.score_name(F.lit(name), query)).first()[0] == pytest.approx(score), (name, query)
+
+
+def test_link_paths(spark):
+    n = vault(spark, dict.fromkeys(["a/B.md", "c/B.md", "c/X.md", "B c.md"], ""))
+    asked = [("c/X.md", "B", "c/B.md"), ("q.md", "B", "a/B.md"), ("q.md", "x/B.md", None), ("q.md", "c/B.md", "c/B.md"), ("q.md", "zz/B", "a/B.md"), ("c/X.md", "a/B.md.md", None), ("q.md", "no", None)]
+    got = {(r.source_id, r.raw): r.path for r in names.link_paths(spark.createDataFrame([a[:2] for a in asked], "source_id string, raw string"), n).collect()}
+    assert got == {(s, r): p for s, r, p in asked}
+
+
+def test_broken_links_of_every_kind(spark):
+    text = "[[B#H#^b1]] [[B#H#^no]] [[B#^B1]]\n[[B#H#S]] [[B#H#Z]] [[Z]] [[Z]] [[#S]] [[f.pdf]] [[q.pdf]] `[[Z]]` ![[Z]] [[x/B.md]]"
+    n = vault(spark, {"A.md": text, "B.md": "# H\n## S\nblock ^b1"})
+    got = sorted((r.line, r.link, r.reason) for r in links.broken_links(n, attachments=spark.createDataFrame([("in/f.pdf",)], "path string")).collect())
+    assert got == sorted([
+        (1, "[[B#H#^no]]", "block_not_found"), (1, "[[B#^B1]]", "block_not_found"), (2, "[[B#H#Z]]", "heading_not_found"), (2, "[[Z]]", "note_not_found"), (2, "[[Z]]", "note_not_found"),
+        (2, "[[#S]]", "heading_not_found"), (2, "[[q.pdf]]", "note_not_found"), (2, "[[x/B.md]]", "note_not_found"),
+    ])
+
+
+def test_list_vaults_counts_ids(spark):
+    from notefathom.sources.vault import list_vaults
+
+    rows = [(1, "v", "a", 1, None), (2, "v", "a", 2, None), (3, "v", "b", 1, None), (4, "v", "b", 2, 3), (5, "w", "c", 1, None)]
+    n = spark.createDataFrame(rows, "row_id long, vault_id string, id string, loaded_at int, removed_at int")
+    v = spark.createDataFrame([("v", "V", "/v"), ("w", "W", "/w"), ("z", "Z", "/z")], "vault_id string, title string, root string")
+    assert {r.vault_id: r.notes for r in list_vaults(v, notes.current(n, stubs=True)).collect()} == {"v": 1, "w": 1, "z": 0}
+
+
+def test_the_current_view_reads_and_moves_only_what_is_used(spark):
+    from notefathom.plans.registry import QUERIES
+
+    used = {"g12_orphans": "title", "j8_live_edges": "", "j16_to_index": "mtime", "a3_folder_overview": "", "f4_list_notes": "title"}
+    for name, own in used.items():
+        df = QUERIES[name](spark, "/root/testdata/sf0.01")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        reads = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*nodes.parquet", plan)
+        assert len(reads) == 1, name
+        assert {re.sub(r"#.*", "", c) for c in reads[0].split(",")} <= {"row_id", "id", "frontmatter", "loaded_at", "removed_at", "mtime", own}, name
+        assert "content#" not in plan and (name == "f4_list_notes" or not re.search(r"partial_max_by\(frontmatter", plan)), name
 
 
 # ---- graph ----
@@ -257,8 +311,13 @@ def test_links(spark):
 
 def test_rewrites(spark):
     n = vault(spark, {"A.md": "see [[Old/B|b]] [[B#x]] [[Bb]] `[[B]]` #area #area/x `#area`\ncat cats\n```\ncat\n```", "Old/B.md": "# H\ntext", "N.md": None, "L.md": "[[B#H|x]] [[Old/B#h]]"}, {"A.md": '{"tags": ["Area", "area/q", "b"], "tag": "#area"}'})
-    moved = {r.id: r.content for r in rewrite.move_note(n, "Old/B.md", "New/C.md").collect()}
-    assert moved["A.md"].startswith("see [[New/C|b]] [[C#x]] [[Bb]] `[[B]]`")
+    linked = edges(spark, [("A.md", "Old/B.md"), ("A.md", "Old/B.md"), ("Old/B.md", "Old/B.md"), ("L.md", "_stub/Old/B.md"), ("N.md", "Old/B.md")])
+    moved = {r.id: (r.content, r.n) for r in rewrite.move_note(n, "Old/B.md", "New/C.md", linked).collect()}
+    assert moved["A.md"][0].startswith("see [[New/C|b]] [[C#x]] [[Bb]] `[[C]]`") and moved["A.md"][1] == 3 and moved["L.md"] == ("[[C#H|x]] [[New/C#h]]", 2) and len(moved) == 2
+    # a note that does not link to it keeps its links, as do unchanged stems
+    assert {r.id: (r.content[:30], r.n) for r in rewrite.move_note(n, "Old/B.md", "New/B.md", linked.where("source_id = 'A.md'")).collect()} == {"A.md": ("see [[New/B|b]] [[B#x]] [[Bb]]", 1)}
+    m = vault(spark, {"A.md": "[[x/B.md]] ![[ x/B |a]] [[$1^b]] [[x/BB]]"})
+    assert rewrite.move_note(m, "x/B.md", "y/$1.md", edges(spark, [("A.md", "x/B.md")])).first().content == "[[y/$1]] ![[y/$1|a]] [[$1^b]] [[x/BB]]"
     tags = rewrite.rename_tag(n, "area", "zone").collect()
     assert tags[0].n == 2 and "#zone #zone/x `#area`" in tags[0].content
     assert rewrite.rename_tag(n, "area", "zone", nested=False).first().n == 1
@@ -271,6 +330,16 @@ def test_rewrites(spark):
         rewrite.rename_heading(n, "Old/B.md", "nope", "x")
 
 
+def test_tag_ends_and_names(spark):
+    n = vault(spark, {"A.md": "#caf #café x#caf ##caf #caf-x #caf_ #caf/y\t#CAF. (#caf)"})
+    got = rewrite.rename_tag(n, " ##caf", "tea").first()
+    assert (got.content, got.n) == ("#tea #café x#caf ##caf #caf-x #caf_ #tea/y\t#tea. (#caf)", 3)
+    assert rewrite.rename_tag(n, "caf", "tea", nested=False).first().n == 2
+    for bad in ("", "#", "12", "a b", "/a", "a/", "a//b", "a!"):
+        with pytest.raises(ValueError):
+            rewrite.rename_tag(n, "caf", bad)
+
+
 def test_rename_tag_has_both_sides(spark):
     fm = {
         "A.md": '{"n": 1.10, "Tags": ["Area", "x,area/q", 2.0, "areas", "my-area"], "tag": "#area b", "other": "area"}',
