@@ -95,22 +95,17 @@ def outline(content: str | None) -> list[dict]:
 
 
 def anchor_there(entries: list[dict], subpath: str) -> bool:
-    """Whether an outline has the block, the heading, or the headings one under the other."""
+    """Whether an outline has the block, the heading, or the headings one under the other; a ``#`` in a subpath always joins."""
     want = subpath.strip()
     if any(not e["level"] and e["name"] == want for e in entries):
         return True
     heads = [(e["level"], e["name"]) for e in entries if e["level"]]
-    if heading_key(want) in {n for _, n in heads}:
-        return True
-    parts = [heading_key(p) for p in want.split("#")]
-    parts = [p for p in parts if p]
-    if len(parts) < 2:
-        return bool(parts) and any(n == parts[0] for _, n in heads)
-    ends = [next((j for j in range(i + 1, len(heads)) if heads[j][0] <= level), len(heads)) for i, (level, _) in enumerate(heads)]
+    parts = [p for p in map(heading_key, want.split("#")) if p]
+    ends = [next((j for j in range(i + 1, len(heads)) if heads[j][0] <= level), len(heads)) for i, (level, _) in enumerate(heads)] if len(parts) > 1 else heads
     within = [(-1, len(heads))]
-    for part in parts:
-        within = [(i, ends[i]) for i, (_, name) in enumerate(heads) if name == part and any(a < i < b for a, b in within)]
-    return bool(within)
+    for n, part in enumerate(parts):
+        within = [(i, ends[i] if n + 1 < len(parts) else i) for i, (_, name) in enumerate(heads) if name == part and any(a < i < b for a, b in within)]
+    return bool(parts and within)
 
 
 _OUTLINE_TYPE = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("name", T.StringType())]))
@@ -122,9 +117,10 @@ def outline_column(contents: pa.Array) -> pa.Array:
     return pa.array([outline(c) for c in contents.to_pylist()], type=_OUTLINE)
 
 
-@F.arrow_udf(T.BooleanType())
-def anchor_there_column(entries: pa.Array, subpaths: pa.Array) -> pa.Array:
-    return pa.array([anchor_there(e or [], s) for e, s in zip(entries.to_pylist(), subpaths.to_pylist())], type=pa.bool_())
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def anchors_there(entries: pa.Array, subpaths: pa.Array) -> pa.Array:
+    out = [[anchor_there(e or [], s) for s in asked] for e, asked in zip(entries.to_pylist(), subpaths.to_pylist())]
+    return pa.array(out, type=pa.list_(pa.bool_()))
 
 
 # ---- compressed bitmaps -------------------------------------------------------------------------------------------
@@ -232,6 +228,23 @@ def note_states(nodes: DataFrame, library: DataFrame | None) -> DataFrame:
     )
 
 
+#: Parts into which the references of one key and month are spread where they meet what was found of it.
+SALTS = 16
+
+
+def by_key(refs: DataFrame, found: DataFrame, also: list[str] = ()) -> DataFrame:
+    """``refs`` with the other columns of ``found``, by key, month and ``also``.  What was found has a row per key and month, so it is
+    repeated for every part, and a key with a third of all references goes to ``SALTS`` tasks."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    rest = [c for c in found.columns if c not in ("key", "period", *also)]
+    right = found.select(F.col("key").alias("k"), blank("period").alias("p"), *(F.col(c).alias(f"_{c}") for c in also), *rest, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    left = refs.withColumn("salt", F.pmod(F.xxhash64("ref_key"), F.lit(SALTS)))
+    on = (F.col("key") == F.col("k")) & (blank("period") == F.col("p")) & (F.col("salt") == F.col("part"))
+    for c in also:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return left.join(right, on).drop("k", "p", "salt", "part", *(f"_{c}" for c in also))
+
+
 def orphan_references(edges: DataFrame, sync: DataFrame, nodes: DataFrame, library: DataFrame | None) -> DataFrame:
     """``ref_table, ref_key, ref_field, reason, seen_month``: one row per broken reference."""
     links = edges.where(F.col("target_id").isNotNull()).select(
@@ -249,21 +262,26 @@ def orphan_references(edges: DataFrame, sync: DataFrame, nodes: DataFrame, libra
 
     broken = orphan_keys(refs, states.select("key", "removed", "at"), ranges)
     whole = (
-        refs.join(broken, (refs.ref_table == broken.ref_table) & (refs.key == broken.key) & refs.period.eqNullSafe(broken.period))
-        .where((broken.reason != "late") | (refs.at < broken.first_loaded))
-        .select(refs.ref_table, "ref_key", F.when(refs.ref_table == "edges", "target_id").otherwise("path").alias("ref_field"), "reason", refs.period.alias("seen_month"))
+        by_key(refs, broken, ["ref_table"])
+        .where((F.col("reason") != "late") | (F.col("at") < F.col("first_loaded")))
+        .select("ref_table", "ref_key", F.when(F.col("ref_table") == "edges", "target_id").otherwise("path").alias("ref_field"), "reason", F.col("period").alias("seen_month"))
     )
 
     # Anchors: the same operator over (path, subpath); its parents are the pairs the outline accepts.
     with_sub = refs.where(F.col("subpath").isNotNull() & (F.col("subpath") != ""))
     asked = with_sub.groupBy("key", "subpath").agg(F.count("*").alias("n"))
-    judged = cut_lineage(asked.join(states.where(~F.col("removed")).select("key", "entries"), "key").select("key", "subpath", anchor_there_column("entries", "subpath").alias("there")))
+    # the subpaths asked of a note come together, in parts, so its outline is not copied to each of them
+    listed = asked.groupBy("key", F.pmod(F.xxhash64("subpath"), F.lit(SALTS)).alias("part")).agg(F.collect_list("subpath").alias("subpaths"))
+    judged = cut_lineage(
+        listed.join(states.where(~F.col("removed")).select("key", "entries"), "key")
+        .select("key", F.explode(F.arrays_zip("subpaths", anchors_there("entries", "subpaths").alias("there"))).alias("x")).select("key", F.col("x.subpaths").alias("subpath"), "x.there")
+    )
     pair = F.concat_ws("\u0000", "key", "subpath").alias("key")
     sub_refs = with_sub.join(judged.select("key", "subpath"), ["key", "subpath"], "left_semi").select("ref_table", "ref_key", pair, "period", "at")
     accepted = judged.where("there").select(pair, F.lit(False).alias("removed"), F.lit(None).cast("timestamp_ntz").alias("at"))
     lost = orphan_keys(sub_refs.withColumn("at", F.lit(None).cast("timestamp_ntz")), accepted, ranges).where("reason = 'missing'").select("key", "period")
     anchors = (
-        sub_refs.alias("r").join(lost.alias("l"), (F.col("r.key") == F.col("l.key")) & F.col("r.period").eqNullSafe(F.col("l.period")), "left_semi")
+        by_key(sub_refs, lost)
         .select("ref_table", "ref_key", F.lit("target_subpath").alias("ref_field"), F.lit("no_anchor").alias("reason"), F.col("period").alias("seen_month"))
     )
     return whole.unionByName(anchors)

@@ -23,6 +23,10 @@ def test_outline():
     there = lambda s: R.anchor_there(o, s)
     assert there("A#b") and there("a#C") and there("D#B") and there(" b ")
     assert not there("A#D") and not there("C#B") and not there("x")
+    # a "#" in a subpath always joins, so a heading that holds one itself is reached by none
+    assert not R.anchor_there(R.outline("## One # two\n# One"), "One # two") and R.anchor_there(R.outline("# One\n## Two"), "#One # two#")
+    deep = R.outline("# A\n## B\n### C\n## D\n# B\n## C")
+    assert R.anchor_there(deep, "A#B#C") and R.anchor_there(deep, "A#C") and not R.anchor_there(deep, "A#D#C") and not R.anchor_there(deep, "#")
 
 
 def test_bitmaps_against_sets():
