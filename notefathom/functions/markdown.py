@@ -16,7 +16,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 import yaml
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,6 +335,15 @@ def sections(text: str) -> list[dict]:
     return heads
 
 
+_SECTION_TYPE = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("end", T.IntegerType())]))
+section_list = array_udf(sections, _SECTION_TYPE, pa.list_(pa.struct([("line", pa.int32()), ("level", pa.int32()), ("text", pa.string()), ("end", pa.int32())])))
+
+
+def section_rows(notes: DataFrame) -> DataFrame:
+    """``id, line, level, text, end`` of every section of the notes, the outline of each."""
+    return notes.where(F.col("content").contains("#")).select("id", F.explode(section_list("content")).alias("s")).select("id", "s.*")
+
+
 def read_part(text: str, heading: str | None = None, start: int | None = None, end: int | None = None, block: str | None = None) -> str:
     """A section by (nested, ``A > B``) heading, lines by number, or the block with an id."""
     lines = _BREAKS.split(text)

@@ -38,8 +38,8 @@ def neighbours(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.where("a != b").select("b", "a"))
 
 
-def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 1000, cut_every: int = 5) -> DataFrame:
-    """Rank over the vertices with any edge, as an undirected graph; others score 0.
+def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 1000, cut_every: int = 5, rounds: int | None = None) -> DataFrame:
+    """Rank over the vertices with any edge, as an undirected graph; others score 0.  ``rounds``: so many, converged or not.
 
     Messages are summed map-side before the shuffle, so a hub's column is never collected; partitioning by vertex is kept from round
     to round, and every ``cut_every`` rounds the ranks are written out.
@@ -51,7 +51,7 @@ def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance:
         return notes.select("id", F.lit(0.0).alias("score"))
     links = cut_lineage(both.join(out, "x").select("x", "y", (1.0 / F.col("degree")).alias("w")).repartition("x"))
     ranks, last = out.select("x", F.lit(1.0 / n).alias("r")), None
-    for turn in range(most):
+    for turn in range(most if rounds is None else rounds):
         sent = links.join(ranks, "x").groupBy("y").agg(F.sum(F.col("w") * F.col("r")).alias("got"))
         step = ranks.join(sent.withColumnRenamed("y", "x"), "x", "left").select("x", F.col("r").alias("old"), ((1 - alpha) / n + alpha * F.coalesce("got", F.lit(0.0))).alias("r"))
         if turn % cut_every == cut_every - 1:
@@ -59,12 +59,13 @@ def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance:
             if last is not None:
                 discard(last)
             last = step
-            if step.agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("d")).first().d < n * tolerance:
+            if rounds is None and step.agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("d")).first().d < n * tolerance:
                 ranks = step.select("x", "r")
                 break
         ranks = step.select("x", "r")
     else:
-        raise ArithmeticError("PageRank did not converge")
+        if rounds is None:
+            raise ArithmeticError("PageRank did not converge")
     return notes.select("id").join(ranks.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
 
 
@@ -186,16 +187,20 @@ def bridging(scores: DataFrame, n: int) -> DataFrame:
     return scores.select("id", F.least(F.greatest(F.col("score") / (n * (n - 1) / 2), F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
-def rank_notes(notes: DataFrame, edges: DataFrame, metric: str = "influence", limit: int = 20, least_links: int = 2) -> DataFrame:
-    """Best notes by influence (PageRank, with a least number of linking notes) or bridging."""
+def rank_notes(notes: DataFrame, edges: DataFrame, metric: str = "both", limit: int = 20, least_links: int = 2, rounds: int | None = None) -> DataFrame:
+    """``metric, id, title, score``: the best notes by influence (PageRank, with a least number of linking notes), by bridging, or a list of
+    each.  Scores that agree to 12 digits are ties, which the id breaks."""
+    if metric not in ("influence", "bridging", "both"):
+        raise ValueError(f"unknown metric {metric!r}")
     directed = cut_lineage(build(notes, edges))
-    pairs = undirected(directed)
-    if metric == "influence":
+    pairs, lists = undirected(directed), {}
+    if metric != "bridging":
         linked = directed.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least_links)
-        scores = pagerank(notes, pairs).join(linked.select("id"), "id", "left_semi")
-    else:
-        scores = bridging(betweenness(notes, pairs), notes.count())
-    return scores.join(notes.select("id", "title"), "id").orderBy(F.desc("score"), "id").limit(limit)
+        lists["influence"] = pagerank(notes, pairs, rounds=rounds).join(linked.select("id"), "id", "left_semi")
+    if metric != "influence":
+        lists["bridging"] = bridging(betweenness(notes, pairs), notes.count())
+    best = [rows.join(notes.select("id", "title"), "id").orderBy(F.desc(F.round("score", 12)), "id").limit(limit).select(F.lit(name).alias("metric"), "id", "title", "score") for name, rows in lists.items()]
+    return best[0] if len(best) == 1 else best[0].unionByName(best[1])
 
 
 def connections(pairs: DataFrame, seed: str, depth: int) -> DataFrame:

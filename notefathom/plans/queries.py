@@ -28,6 +28,38 @@ TOP = CUR + """, live AS (SELECT e.* FROM edges e WHERE e.source_id IN (SELECT i
  s AS (SELECT id FROM top WHERE r = 1), t AS (SELECT id FROM top WHERE r = 2)"""
 
 
+#: Lines of the current notes, and whether each is in a fenced block: a fold over the lines that may open or close one.
+LINES = CUR.replace("WITH", "WITH RECURSIVE", 1) + """, ln AS MATERIALIZED (SELECT id, i AS n, ls[i] AS line FROM (SELECT id, string_split_regex(content, '\\r?\\n') AS ls FROM cur WHERE content IS NOT NULL), range(1, len(ls) + 1) r(i)),
+ fm AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM (SELECT id, n, regexp_extract(line, '^[ \\t]{0,3}(`{3,}|~{3,})(.*)$', 1) AS mark, regexp_extract(line, '^[ \\t]{0,3}(`{3,}|~{3,})(.*)$', 2) AS rest FROM ln) WHERE mark <> ''),
+ st AS (SELECT id, k, n, CASE WHEN mark[1] = '`' AND contains(rest, '`') THEN '' ELSE mark END AS fence FROM fm WHERE k = 1
+  UNION ALL SELECT f.id, f.k, f.n, CASE WHEN s.fence = '' THEN CASE WHEN f.mark[1] = '`' AND contains(f.rest, '`') THEN '' ELSE f.mark END
+    WHEN f.mark[1] = s.fence[1] AND length(f.mark) >= length(s.fence) AND trim(f.rest) = '' THEN '' ELSE s.fence END FROM st s JOIN fm f ON f.id = s.id AND f.k = s.k + 1),
+ fl AS MATERIALIZED (SELECT l.id, l.n, l.line, coalesce(a.fence, '') <> '' OR coalesce(b.fence, '') <> '' AS inert FROM ln l ASOF LEFT JOIN st a ON l.id = a.id AND l.n > a.n LEFT JOIN st b ON b.id = l.id AND b.n = l.n)"""
+_HEADS = """, hd AS (SELECT id, n AS line, length(regexp_extract(line, '^ {0,3}(#{1,6})\\s', 1)) AS level, regexp_extract(line, '^ {0,3}#{1,6}\\s+(.*?)\\s*#*\\s*$', 1) AS text FROM fl WHERE NOT inert AND regexp_matches(line, '^ {0,3}#{1,6}\\s+')),
+ bk AS (SELECT id, n AS line, regexp_extract(line, '(?:^|\\s)\\^([A-Za-z0-9-]+)\\s*$', 1) AS block FROM fl WHERE NOT inert AND regexp_matches(line, '(?:^|\\s)\\^([A-Za-z0-9-]+)\\s*$'))"""
+
+
+def _pagerank_sql(rounds: int) -> str:
+    out = ", dg AS MATERIALIZED (SELECT x, count(*) AS d FROM adj GROUP BY 1), pr0 AS (SELECT x, 1.0::DOUBLE / (SELECT count(*) FROM dg) AS r FROM dg)"
+    for k in range(1, rounds + 1):
+        out += f""", pr{k} AS MATERIALIZED (SELECT dg.x, 0.15::DOUBLE / (SELECT count(*) FROM dg) + 0.85::DOUBLE * coalesce(m.g, 0) AS r FROM dg LEFT JOIN
+ (SELECT adj.y, sum(p.r / g.d) AS g FROM adj JOIN pr{k - 1} p ON p.x = adj.x JOIN dg g ON g.x = adj.x GROUP BY 1) m ON m.y = dg.x)"""
+    return out + f", pr AS (SELECT c.id, coalesce(p.r, 0) AS score FROM cur c LEFT JOIN pr{rounds} p ON p.x = c.id)"
+
+
+def _betweenness_sql(levels: int) -> str:
+    out = ", an AS MATERIALIZED (SELECT x, y FROM adj WHERE x <> y), b0 AS MATERIALIZED (SELECT DISTINCT x AS s, x AS v, 1.0::DOUBLE AS g FROM an)"
+    for k in range(1, levels + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM b{j} o WHERE o.s = f.s AND o.v = an.y)" for j in range(max(0, k - 2), k))
+        out += f", b{k} AS MATERIALIZED (SELECT f.s, an.y AS v, sum(f.g) AS g FROM b{k - 1} f JOIN an ON an.x = f.v WHERE {seen} GROUP BY 1, 2)"
+    out += f", e{levels} AS MATERIALIZED (SELECT s, v, g, 0.0::DOUBLE AS d FROM b{levels})"
+    for k in range(levels - 1, -1, -1):
+        out += f""", e{k} AS MATERIALIZED (SELECT u.s, u.v, u.g, coalesce(t.d, 0) AS d FROM b{k} u LEFT JOIN (SELECT w.s, an.y AS v, sum(p.g / w.g * (1 + w.d)) AS d
+ FROM e{k + 1} w JOIN an ON an.x = w.v JOIN b{k} p ON p.s = w.s AND p.v = an.y GROUP BY 1, 2) t ON t.s = u.s AND t.v = u.v)"""
+    every = " UNION ALL ".join(f"SELECT s, v, d FROM e{k}" for k in range(1, levels + 1))
+    return out + f", bt AS (SELECT c.id, coalesce((SELECT sum(d) FROM ({every}) z WHERE z.v = c.id AND z.s <> z.v), 0) / (((SELECT count(*) FROM cur) - 1)::DOUBLE * ((SELECT count(*) FROM cur) - 2)) AS score FROM cur c)"
+
+
 def query(name: str, sql: str | None = None):
     def put(fn):
         QUERIES[name] = fn
@@ -229,8 +261,9 @@ _BM25 = ("WITH d AS (SELECT doc_id, " + TOK.format("source") + " AS a, " + TOK.f
  SELECT doc_id, round({score}, 6) AS score FROM c, g WHERE {every}""")
 
 
-def _bm25_sql(terms: list[str]) -> str:
-    hits = ", ".join(f"5.0 * len(list_filter(a, lambda t: t = '{t}')) + len(list_filter(b, lambda t: t = '{t}')) AS f{i}" for i, t in enumerate(terms))
+def _bm25_sql(terms: list[str], stems: bool = False) -> str:
+    same = (lambda t: f"t IN ({', '.join(repr(w) for w in t.split())})") if stems else (lambda t: f"t = '{t}'")
+    hits = ", ".join(f"5.0 * len(list_filter(a, lambda t: {same(t)})) + len(list_filter(b, lambda t: {same(t)})) AS f{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(ln((total - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(terms)))
     every = " AND ".join(f"f{i} > 0" for i in range(len(terms)))
@@ -242,7 +275,7 @@ def _(spark, d):
     return search.bm25(table(spark, d, "documents"), "Bridge kettle", "doc_id", "source", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("q1_bm25_stemmed")
+@query("q1_bm25_stemmed", _bm25_sql(["bridge bridges bridged bridging", "kettle kettles kettled kettling"], stems=True))
 def _(spark, d):
     docs = table(spark, d, "documents")
     return search.bm25(docs, " ".join(M.porter(t) for t in ("bridges", "kettles")), "doc_id", "source", "text", tokens=lambda c: M.stemmed_tokens(c)).select("doc_id", F.round("score", 6).alias("score"))
@@ -290,13 +323,45 @@ def _(spark, d):
     return search.best_chunk(hits).select("node_id", "chunk_index", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(20)
 
 
-@query("x1_resolve_name", CUR + """, h AS (SELECT id, title, CASE WHEN id IN ('kettle', 'kettle.md') THEN 0 WHEN title = 'kettle' THEN 1 WHEN regexp_replace(string_split(id, '/')[-1], '\\.md$', '') = 'kettle' THEN 2 WHEN lower(title) = 'kettle' THEN 3 WHEN contains(lower(title), 'kettle') THEN 5 END AS tier FROM cur)
- SELECT id, title, tier FROM h WHERE tier = (SELECT min(tier) FROM h)""")
+_STRICT = "CASE json_type(frontmatter, '$.aliases') WHEN 'ARRAY' THEN json_extract_string(frontmatter, '$.aliases[*]') WHEN 'VARCHAR' THEN [json_extract_string(frontmatter, '$.aliases')] ELSE [] END"
+_RESOLVE = CUR + """, al AS (SELECT id, title, CASE WHEN json_valid(frontmatter) THEN """ + _STRICT + """ ELSE [] END AS a FROM cur),
+ h AS (SELECT id, title, CASE WHEN id IN ('{n}', '{m}') THEN 0 WHEN title = '{n}' THEN 1 WHEN string_split(id, '/')[-1] IN ('{n}', '{m}') THEN 2 WHEN lower(title) = lower('{n}') THEN 3
+   WHEN len(list_filter(a, lambda x: lower(x) = lower('{n}'))) > 0 THEN 4 WHEN contains(lower(title), lower('{n}')) THEN 5 END AS tier FROM al)
+ SELECT id, title, tier FROM h WHERE tier = (SELECT min(tier) FROM h)"""
+
+
+@query("x1_resolve_name", _RESOLVE.format(n="kettle", m="kettle.md"))
 def _(spark, d):
     return names.resolve(_current(spark, d), "kettle")
 
 
-@query("x3_find_by_name")
+@query("x2_resolve_alias", "WITH f AS (SELECT min(lower(a)) AS name FROM (SELECT unnest(json_extract_string(frontmatter, '$.aliases[*]')) AS a FROM nodes WHERE json_valid(frontmatter) AND json_type(frontmatter, '$.aliases') = 'ARRAY') WHERE regexp_matches(a, '^[A-Za-z]{8,}$')), " + CUR[5:] + ", al AS (SELECT id, title, CASE WHEN json_valid(frontmatter) THEN " + _STRICT + """ ELSE [] END AS a FROM cur),
+ h AS (SELECT id, title, CASE WHEN id IN (name, name || '.md') THEN 0 WHEN title = name THEN 1 WHEN string_split(id, '/')[-1] IN (name, name || '.md') THEN 2 WHEN lower(title) = name THEN 3
+   WHEN len(list_filter(a, lambda x: lower(x) = name)) > 0 THEN 4 WHEN contains(lower(title), name) THEN 5 END AS tier FROM al, f)
+ SELECT id, title, tier FROM h WHERE tier = (SELECT min(tier) FROM h)""")
+def _(spark, d):
+    every = table(spark, d, "nodes").select(F.explode(F.try_variant_get(X.valid_json("frontmatter"), "$.aliases", "array<string>")).alias("a"))
+    name = every.where(F.col("a").rlike("^[A-Za-z]{8,}$")).agg(F.min(F.lower("a")).alias("a")).first().a
+    return names.resolve(_current(spark, d), name or "kettle")
+
+
+_SCORE = """CASE WHEN coalesce(c, '') = '' THEN 0.0 WHEN c = '{q}' THEN 1.0 WHEN starts_with(c, '{q}') THEN 0.9 WHEN contains(c, '{q}') THEN CASE WHEN regexp_matches(substr(c, strpos(c, '{q}') - 1, 1), '[\\s_/.-]') THEN 0.85 ELSE 0.8 END
+ WHEN {words} THEN 0.7 ELSE greatest(CASE WHEN regexp_matches(c, '{span}') THEN 0.4 + 0.2 * {n} / length(regexp_extract(c, '{span}', 1)) ELSE 0.0 END,
+ CASE WHEN 1 - levenshtein(c, '{q}') / greatest(length(c), {n})::DOUBLE >= 0.6 THEN 0.6 * (1 - levenshtein(c, '{q}') / greatest(length(c), {n})::DOUBLE) ELSE 0.0 END) END"""
+
+
+def _score_sql(q: str) -> str:
+    letters = q.replace(" ", "")
+    span = f"^[^{letters[0]}]*({letters[0]}" + "".join(f"[^{c}]*{c}" for c in letters[1:]) + ")"
+    return _SCORE.format(q=q, n=len(q), span=span, words=" AND ".join(f"contains(c, '{w}')" for w in q.split()))
+
+
+@query("x3_find_by_name", CUR + """, al AS (SELECT id, CASE json_type(frontmatter, '$.aliases') WHEN 'ARRAY' THEN json_extract_string(frontmatter, '$.aliases[*]') ELSE string_split(json_extract_string(frontmatter, '$.aliases'), ',') END AS a FROM cur WHERE json_valid(frontmatter)),
+ nm AS (SELECT id, regexp_replace(string_split(id, '/')[-1], '\\.md$', '') AS name, 0 AS turn, 'name' AS matched_on, NULL AS alias FROM cur UNION ALL SELECT id, title, -1, 'title', NULL FROM cur
+   UNION ALL SELECT id, trim(a[i]), -2 - i, 'alias', trim(a[i]) FROM al, range(1, 200) r(i) WHERE i <= len(a) AND trim(a[i]) <> ''),
+ sc AS (SELECT *, lower(name) AS c FROM nm), sr AS (SELECT *, round(""" + _score_sql("kettle of") + """, 3) AS score FROM sc),
+ best AS (SELECT id, max(score) AS score, arg_max(matched_on, (score, turn)) AS matched_on, arg_max({'a': alias}, (score, turn)).a AS alias FROM sr GROUP BY id)
+ SELECT b.id, c.title, b.score, b.matched_on, b.alias FROM best b JOIN cur c USING (id) WHERE score > 0 ORDER BY score DESC, length(id), id LIMIT 100""")
 def _(spark, d):
     return names.find_by_name(_current(spark, d), "kettle of", limit=100)
 
@@ -306,9 +371,15 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(names.similarity(F.col("p_name"), F.lit("green almond")), 6).alias("score"))
 
 
-@query("x5_fuzzy_lines")
+@query("x5_fuzzy_lines", CUR + """, l AS (SELECT id, i AS line, ls[i] AS text FROM (SELECT id, string_split(content, chr(10)) AS ls, contains(lower(content), 'the kettles') AS hit FROM cur WHERE content IS NOT NULL) z, range(1, len(ls) + 1) r(i)),
+ hit AS (SELECT id FROM cur WHERE contains(lower(content), 'the kettles')),
+ ex AS (SELECT id, line, unnest(regexp_extract_all(text, '(?i)the kettles')) AS text, 1.0 AS score FROM l WHERE id IN (SELECT id FROM hit)),
+ w AS (SELECT id, line, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM l WHERE id NOT IN (SELECT id FROM hit)),
+ p AS (SELECT id, line, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS text FROM w, range(1, len(ws) + 1) a(i), range(1, 5) b(n) WHERE i + n - 1 <= len(ws)),
+ f AS (SELECT id, line, max(s) AS score, arg_max(text, (s, -i, -n)) AS text FROM (SELECT *, 1 - levenshtein(lower(text), 'the kettles') / greatest(length(text), 11)::DOUBLE AS s FROM p WHERE length(text) BETWEEN 7 AND 16) GROUP BY 1, 2)
+ SELECT id, line, text, score FROM ex UNION ALL SELECT id, line, text, round(score, 6) FROM f WHERE score >= 0.7""")
 def _(spark, d):
-    return names.fuzzy_find(_current(spark, d), "the kettles")
+    return names.fuzzy_find(_current(spark, d), "the kettles").withColumn("line", F.col("line").cast("long"))
 
 
 # ---- graph --------------------------------------------------------------------------------------------------------
@@ -330,21 +401,42 @@ def _(spark, d):
     return _pairs(spark, d)[2]
 
 
+_ROUNDS, _LEVELS = 20, 12
+
+
 @query("g3_pagerank")
 def _(spark, d):
     n, _, pairs = _pairs(spark, d)
     return graph.pagerank(n, pairs).select("id", F.round("score", 9).alias("score"))
 
 
-@query("g4_betweenness")
+@query("g3_pagerank_rounds", TOP + _pagerank_sql(_ROUNDS) + " SELECT id, round(score, 9) AS score FROM pr")
+def _(spark, d):
+    n, _, pairs = _pairs(spark, d)
+    return graph.pagerank(n, pairs, rounds=_ROUNDS).select("id", F.round("score", 9).alias("score"))
+
+
+@query("g4_betweenness", TOP + _betweenness_sql(_LEVELS) + " SELECT id, round(score, 9) AS score FROM bt")
 def _(spark, d):
     n, _, pairs = _pairs(spark, d)
     return graph.betweenness(n, pairs).select("id", F.round("score", 9).alias("score"))
 
 
-@query("g6_rank_notes")
+_BRIDGING = "least(greatest(score / ((SELECT count(*) FROM cur)::DOUBLE * ((SELECT count(*) FROM cur) - 1) / 2), 0), 1)"
+
+
+@query("g5_bridging", TOP + _betweenness_sql(_LEVELS) + f" SELECT id, round({_BRIDGING}, 15) AS score FROM bt")
+def _(spark, d):
+    n, _, pairs = _pairs(spark, d)
+    return graph.bridging(graph.betweenness(n, pairs), n.count()).select("id", F.round("score", 15).alias("score"))
+
+
+@query("g6_rank_notes", TOP + _pagerank_sql(_ROUNDS) + _betweenness_sql(_LEVELS) + f""", lk AS (SELECT target_id AS id FROM (SELECT DISTINCT source_id, target_id FROM live) GROUP BY 1 HAVING count(*) >= 2),
+ inf AS (SELECT 'influence' AS metric, pr.id, c.title, pr.score FROM pr JOIN cur c USING (id) WHERE id IN (SELECT id FROM lk) ORDER BY round(pr.score, 12) DESC, pr.id LIMIT 20),
+ bri AS (SELECT 'bridging' AS metric, bt.id, c.title, {_BRIDGING.replace("score", "bt.score")} AS score FROM bt JOIN cur c USING (id) ORDER BY round({_BRIDGING.replace("score", "bt.score")}, 12) DESC, bt.id LIMIT 20)
+ SELECT metric, id, title, round(score, 9) AS score FROM inf UNION ALL SELECT metric, id, title, round(score, 9) FROM bri""")
 def _(spark, d):
-    return graph.rank_notes(_current(spark, d), _edges(spark, d)).select("id", "title", F.round("score", 9).alias("score"))
+    return graph.rank_notes(_current(spark, d), _edges(spark, d), rounds=_ROUNDS).select("metric", "id", "title", F.round("score", 9).alias("score"))
 
 
 @query("g7_connections", TOP + """, one AS (SELECT DISTINCT y AS id FROM adj WHERE x IN (SELECT id FROM s) AND y NOT IN (SELECT id FROM s)),
@@ -392,11 +484,6 @@ def _(spark, d):
     return links.orphaned(_current(spark, d), _edges(spark, d))
 
 
-@query("g13_broken_links")
-def _(spark, d):
-    return links.broken_links(_current(spark, d))
-
-
 @query("g14_stub_notes", CUR + """ SELECT '_stub/' || regexp_replace(target_id, '^_stub/', '') AS id, count(*) AS inbound, regexp_replace(regexp_replace('_stub/' || regexp_replace(target_id, '^_stub/', ''), '^_stub/', ''), '\\.md$', '') AS title
  FROM edges WHERE target_id NOT IN (SELECT id FROM cur) GROUP BY 1, 3""")
 def _(spark, d):
@@ -410,10 +497,35 @@ def _(spark, d):
 
 # ---- extraction ---------------------------------------------------------------------------------------------------
 
+def _resolved_links(now: DataFrame) -> DataFrame:
+    """``source_id, target_id`` of the links in note texts; a placeholder where nothing has the path."""
+    raw = vault.links_of(now).select("source_id", F.col("target").alias("raw"))
+    return names.link_paths(raw, now).select("source_id", F.coalesce("path", F.concat(F.lit("_stub/"), "raw", F.lit(".md"))).alias("target_id"))
+
+
+_INDEX_LINKS = """, il AS (SELECT id AS source_id, content, regexp_replace(regexp_replace(regexp_replace(content, '```.*?```', '', 'gs'), '`[^`\n]*`', '', 'g'), '!\\[\\[[^\\]]+\\]\\]', '', 'g') AS t FROM cur WHERE contains(content, '[[')),
+ ir AS (SELECT source_id, content, regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1) AS l FROM il),
+ ix AS (SELECT source_id, content, i - 1 AS pos, trim(string_split(l[i], '|')[1]) AS raw FROM ir, range(1, len(l) + 1) r(i)),
+ iy AS (SELECT *, regexp_extract(raw, '^([^#^]*)', 1) AS target, nullif(regexp_extract(raw, '^[^#^]*#?(\\^?.*)$', 1), '') AS subpath FROM ix)"""
+
+
+@query("e3_index_links", CUR + _INDEX_LINKS + """, pg AS (SELECT *, list_filter(string_split_regex(content, '\\n\\s*\\n'), lambda p: contains(p, '[[' || raw))[1] AS p FROM iy)
+ SELECT source_id, pos, raw, target, subpath, coalesce(trim(regexp_replace(regexp_replace(p, '\\[\\[(?:[^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\1', 'g'), '\\s+', ' ', 'g')), raw) AS context FROM pg""")
+def _(spark, d):
+    return vault.links_of(_current(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+
 
-@query("e3_index_links")
+@query("g13_broken_links", LINES + _HEADS + """, lk AS (SELECT id, n AS line, row_number() OVER () AS k, unnest(regexp_extract_all(line, '!?\\[\\[[^\\[\\]]+\\]\\]')) AS link FROM fl WHERE NOT inert AND contains(line, '[[')),
+ li AS (SELECT row_number() OVER () AS k, id AS source_id, line, link, string_split(substr(link, 3, length(link) - 4), '|')[1] AS inner_text FROM lk WHERE NOT starts_with(link, '!')),
+ lt AS (SELECT *, trim(regexp_extract(inner_text, '^([^#^]*)', 1)) AS raw, regexp_replace(regexp_extract(inner_text, '^[^#^]*([#^].*)$', 1), '^#', '') AS sub FROM li),
+ asked AS (SELECT DISTINCT source_id, raw FROM lt WHERE raw <> '')""" + _LINK_PATHS + """,
+ ap AS (SELECT t.*, CASE WHEN t.raw = '' THEN t.source_id ELSE lp.path END AS path, list_filter(list_transform(string_split(sub, '#'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM lt t LEFT JOIN lp ON lp.source_id = t.source_id AND lp.raw = t.raw),
+ hk AS (SELECT DISTINCT id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM hd),
+ hp AS (SELECT ap.k, count(*) AS gone FROM ap, range(1, len(parts) + 1) r(i) WHERE NOT starts_with(parts[-1], '^') AND NOT EXISTS (SELECT 1 FROM hk WHERE hk.id = ap.path AND hk.key = lower(trim(regexp_replace(parts[i], '\\s+', ' ', 'g')))) GROUP BY 1)
+ SELECT source_id, line, link, CASE WHEN path IS NULL THEN 'note_not_found' WHEN starts_with(parts[-1], '^') THEN 'block_not_found' ELSE 'heading_not_found' END AS reason FROM ap LEFT JOIN hp USING (k)
+ WHERE path IS NULL OR len(parts) > 0 AND (starts_with(parts[-1], '^') AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.id = ap.path AND bk.block = substr(parts[-1], 2)) OR hp.gone > 0)""")
 def _(spark, d):
-    return vault.links_of(_current(spark, d))
+    return links.broken_links(_current(spark, d)).withColumn("line", F.col("line").cast("long"))
 
 
 @query("e6_inline_tags", CUR + " SELECT DISTINCT id, unnest(regexp_extract_all(content, '(?:^|[^A-Za-z0-9_])#([a-zA-Z][A-Za-z0-9_\\-/]*)', 1)) AS tag FROM cur")
@@ -433,14 +545,39 @@ def _(spark, d):
     return incremental.chunk_rows(_current(spark, d))
 
 
-@query("e10_headings")
+@query("e10_headings", LINES + _HEADS + " SELECT id, line, level, text FROM hd")
+def _(spark, d):
+    return _current(spark, d).select("id", F.explode(M.headings("content")).alias("h")).select("id", F.col("h.line").cast("long").alias("line"), F.col("h.level").cast("long").alias("level"), "h.text")
+
+
+@query("e11_block_ids", LINES + _HEADS + " SELECT id, line, block FROM bk")
+def _(spark, d):
+    return _current(spark, d).where(F.col("content").contains("^")).select("id", F.explode(M.block_ids("content")).alias("b")).select("id", F.col("b.line").cast("long").alias("line"), "b.block")
+
+
+@query("w5_sections", LINES + _HEADS + """, nl AS (SELECT id, max(n) AS n FROM ln GROUP BY 1)
+ SELECT h.id, h.line, h.text, coalesce((SELECT min(g.line) - 1 FROM hd g WHERE g.id = h.id AND g.line > h.line AND g.level <= h.level), nl.n) AS "end" FROM hd h JOIN nl ON nl.id = h.id""")
 def _(spark, d):
-    return _current(spark, d).select("id", F.explode(M.headings("content")).alias("h")).select("id", "h.*")
+    return M.section_rows(_current(spark, d)).select("id", F.col("line").cast("long").alias("line"), "text", F.col("end").cast("long").alias("end"))
 
 
-@query("e12_list_tasks")
+_TASKS = LINES + """, it AS (SELECT id, n, 1 + 0 * n AS one, regexp_extract(line, '^([ \\t]*)', 1) AS ws, line, regexp_matches(line, '^[ \\t]*(?:[-*+]|[0-9]+[.)])[ \\t]+\\[.\\](?:[ \\t]|$)') AS task FROM fl WHERE NOT inert AND regexp_matches(line, '^[ \\t]*(?:[-*+]|[0-9]+[.)])(?:[ \\t]|$)')),
+ br AS (SELECT id, n FROM fl WHERE NOT inert AND regexp_matches(line, '^\\S') AND NOT regexp_matches(line, '^[ \\t]*(?:[-*+]|[0-9]+[.)])(?:[ \\t]|$)')),
+ iw AS MATERIALIZED (SELECT i.*, length(ws) + 3 * (length(ws) - length(replace(ws, chr(9), ''))) AS width, coalesce(b.n, 0) AS since FROM it i ASOF LEFT JOIN br b ON b.id = i.id AND i.n > b.n),
+ ip AS MATERIALIZED (SELECT i.*, (SELECT max(p.n) FROM iw p WHERE p.id = i.id AND p.n < i.n AND p.n > i.since AND p.width < i.width) AS above FROM iw i),
+ dp AS (SELECT id, n, 0 AS depth, NULL::BIGINT AS inside, task FROM ip WHERE above IS NULL UNION ALL SELECT i.id, i.n, d.depth + 1, CASE WHEN d.task THEN d.n ELSE d.inside END, i.task FROM dp d JOIN ip i ON i.id = d.id AND i.above = d.n),
+ tk AS (SELECT i.id, i.n AS line, regexp_extract(i.line, '\\[(.)\\]', 1) AS status, rtrim(regexp_extract(i.line, '^[ \\t]*(?:[-*+]|[0-9]+[.)])[ \\t]+\\[.\\](?:[ \\t]+(.*))?$', 1)) AS text, d.depth AS indent, d.inside AS parent_line FROM ip i JOIN dp d ON d.id = i.id AND d.n = i.n WHERE i.task),
+ tt AS (SELECT *, CASE status WHEN 'x' THEN 'done' WHEN 'X' THEN 'done' WHEN '-' THEN 'cancelled' ELSE 'open' END AS state, nullif(regexp_extract(text, '📅\\s*([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS due FROM tk)"""
+
+
+def _task_rows(spark, d):
+    rows = _current(spark, d).where(F.col("content").contains("[")).select("id", F.explode(M.tasks("content")).alias("t")).select("id", "t.*")
+    return rows.select("id", "status", "state", "text", "due", *(F.col(c).cast("long").alias(c) for c in ("line", "indent", "parent_line")))
+
+
+@query("e12_list_tasks", _TASKS + " SELECT id, status, state, text, due, line, indent, parent_line FROM tt WHERE state = 'open'")
 def _(spark, d):
-    return _current(spark, d).where(F.col("content").contains("[")).select("id", F.explode(M.tasks("content")).alias("t")).select("id", "t.*").where("state = 'open'")
+    return _task_rows(spark, d).where("state = 'open'")
 
 
 # ---- rewrites -----------------------------------------------------------------------------------------------------
@@ -456,18 +593,6 @@ def _(spark, d):
     return rewrite.rename_tag_whole(_current(spark, d), "shipment", "cargo").select("id", F.md5("content").alias("content"), F.md5("frontmatter").alias("frontmatter"), "n")
 
 
-def _resolved_links(now: DataFrame) -> DataFrame:
-    """``source_id, target_id`` of the links in note texts; a placeholder where nothing has the path."""
-    raw = vault.links_of(now).select("source_id", F.col("target").alias("raw"))
-    return names.link_paths(raw, now).select("source_id", F.coalesce("path", F.concat(F.lit("_stub/"), "raw", F.lit(".md"))).alias("target_id"))
-
-
-_INDEX_LINKS = """, il AS (SELECT id AS source_id, content, regexp_replace(regexp_replace(regexp_replace(content, '```.*?```', '', 'gs'), '`[^`\n]*`', '', 'g'), '!\\[\\[[^\\]]+\\]\\]', '', 'g') AS t FROM cur WHERE contains(content, '[[')),
- ir AS (SELECT source_id, content, regexp_extract_all(t, '\\[\\[([^\\]]+)\\]\\]', 1) AS l FROM il),
- ix AS (SELECT source_id, content, i - 1 AS pos, trim(string_split(l[i], '|')[1]) AS raw FROM ir, range(1, len(l) + 1) r(i)),
- iy AS (SELECT *, regexp_extract(raw, '^([^#^]*)', 1) AS target, nullif(regexp_extract(raw, '^[^#^]*#?(\\^?.*)$', 1), '') AS subpath FROM ix)"""
-
-
 @query("m4_move_note", CUR + _INDEX_LINKS + ", asked AS (SELECT source_id, target AS raw FROM iy)" + _LINK_PATHS + """,
  best AS (SELECT target AS t FROM iy WHERE target <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
  src AS (SELECT DISTINCT source_id FROM lp, best WHERE coalesce(path, '_stub/' || raw || '.md') IN (t || '.md', '_stub/' || t || '.md') AND source_id NOT IN (t || '.md', 'Moved/New place.md')),
