@@ -6,21 +6,18 @@ aggregating messages before they are shuffled.
 
 from __future__ import annotations
 
-import re
-import uuid
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, discard, shared_folder
+from ..session import cut_lineage, discard
 from .notes import live_edges
 
-#: Undirected edges up to which a worker holds the whole graph for betweenness (32 bytes each); above, it runs on joins.
+#: Undirected edges up to which a worker holds the whole graph for betweenness (8 bytes each way); above, it runs on joins.
 HELD_EDGES = 4_000_000
+#: Rows of (source, vertex) that one block of sources is meant to make there.
+BLOCK_ROWS = 2_000_000_000
 
 
 def build(notes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,7 +46,7 @@ def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance:
     n = out.count()
     if not n:
         return notes.select("id", F.lit(0.0).alias("score"))
-    links = cut_lineage(both.join(out, "x").select("x", "y", (1.0 / F.col("degree")).alias("w")).repartition("x"))
+    links = cut_lineage(both.join(out, "x").select("x", "y", (1.0 / F.col("degree")).alias("w")))
     ranks, last = out.select("x", F.lit(1.0 / n).alias("r")), None
     for turn in range(most if rounds is None else rounds):
         sent = links.join(ranks, "x").groupBy("y").agg(F.sum(F.col("w") * F.col("r")).alias("got"))
@@ -69,17 +66,11 @@ def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance:
     return notes.select("id").join(ranks.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
 
 
-@lru_cache(1)
-def _held(path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacency arrays of the graph in a shared folder, read once per worker process."""
-    got = pads.dataset(path, format="parquet").to_table(columns=["x", "y"])
-    x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
-    return np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]), y[np.argsort(x, kind="stable")]
-
+def _brandes(held, n: int):
+    """Dependencies of sources given by number, on adjacency arrays that every worker holds."""
 
-def _brandes(path: str, n: int):
     def run(batches):
-        start, ends = _held(path, n)
+        start, ends = held.value
         total = np.zeros(n)
         for batch in batches:
             for s in batch.column(0).to_pylist():
@@ -110,7 +101,7 @@ def _brandes(path: str, n: int):
     return run
 
 
-def _brandes_joined(vertices: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+def _brandes_joined(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Dependencies of a block of sources by joins: one breadth-first round per level, then back."""
     seen = cut_lineage(sources.select(F.col("v").alias("s"), "v", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     frontier, depth = seen, 0
@@ -141,12 +132,12 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     return parts.join(F.broadcast(before), "part").select(key, (F.col("before") + F.col("at")).alias(name))
 
 
-def betweenness(notes: DataFrame, pairs: DataFrame, block: int = 256) -> DataFrame:
+def betweenness(notes: DataFrame, pairs: DataFrame, pivots: int | None = None, seed: int = 42, rows: int = BLOCK_ROWS) -> DataFrame:
     """Brandes' sums, scaled by 1 / ((n - 1)(n - 2)).
 
-    Sources are spread over the cluster.  A graph of checked size is read by every worker from the shared folder, as integers; a
-    larger one, or one in a folder workers cannot open as files, is walked by joins, a block of sources at a time.  The driver
-    sees counts only.
+    Exact sums cost vertices times edges, whatever the plan.  A graph of checked size goes to every worker as integers, and the sources are spread
+    over them.  A larger one is walked by joins keyed by (source, vertex), as many sources at once as make about ``rows`` such rows.
+    ``pivots`` takes that many sources, drawn by hash, and scales their sums up: an estimate, for graphs on which exact sums are out of reach.
     """
     n = notes.count()
     simple = cut_lineage(pairs.where("a != b"))
@@ -154,29 +145,30 @@ def betweenness(notes: DataFrame, pairs: DataFrame, block: int = 256) -> DataFra
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if not m:
         return notes.select("id", F.lit(0.0).alias("score"))
-    touched = simple.select(F.col("a").alias("id")).union(simple.select("b")).distinct()
+    index = cut_lineage(numbered(simple.select(F.col("a").alias("id")).union(simple.select("b")).distinct(), "id", "v"))
+    size = index.count()
+    sources = index.select("v")
+    if pivots is not None and pivots < size:
+        sources, scale = sources.orderBy(F.xxhash64("v", F.lit(seed))).limit(pivots), scale * size / pivots
+    end = lambda c: index.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
+    links = cut_lineage(neighbours(simple).join(end("x"), "x").join(end("y"), "y").select(F.col("vx").alias("x"), F.col("vy").alias("y")))
     spark = notes.sparkSession
-    folder = shared_folder(spark)
-    if m <= HELD_EDGES and (folder.startswith("/") or folder.startswith("file:")):
-        index = cut_lineage(numbered(touched, "id", "v"))
-        size = index.count()
-        both = neighbours(simple)
-        coded = both.join(index.select(F.col("id").alias("x"), F.col("v").alias("vx")), "x").join(index.select(F.col("id").alias("y"), F.col("v").alias("vy")), "y")
-        path = f"{folder}/graph-{uuid.uuid4().hex}"
-        coded.select(F.col("vx").alias("x"), F.col("vy").alias("y")).write.parquet(path)
-        parts = max(spark.sparkContext.defaultParallelism, size // 4096)
-        local = re.sub("^file:/*", "/", path)
-        sums = spark.range(0, size, 1, parts).mapInArrow(_brandes(local, size), "v long, delta double").groupBy("v").agg(F.sum("delta").alias("delta"))
-        scores = sums.join(index, "v").select("id", F.col("delta").alias("sum"))
+    if m <= HELD_EDGES:
+        got = links.select(F.col("x").cast("int"), F.col("y").cast("int")).toArrow()  # 2 * HELD_EDGES rows of 8 bytes at most
+        x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
+        held = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size))]), y[np.argsort(x, kind="stable")]))
+        spread = sources.repartition(max(spark.sparkContext.defaultParallelism, size // 4096), "v")
+        sums = spread.mapInArrow(_brandes(held, size), "v long, delta double").groupBy("v").agg(F.sum("delta").alias("delta"))
     else:
-        links = cut_lineage(simple.select(F.col("a").alias("x"), F.col("b").alias("y")).union(simple.select("b", "a")))
-        blocks = max(1, touched.count() // block)
-        every = cut_lineage(touched.select(F.col("id").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")))
-        scores = None
+        blocks = max(1, -(-sources.count() * size // rows))
+        every = cut_lineage(sources.withColumn("block", F.pmod("v", F.lit(blocks))))
+        sums = None
         for k in range(blocks):
-            part = _brandes_joined(every, links, every.where(F.col("block") == k))
-            scores = cut_lineage((part if scores is None else scores.unionByName(part)).groupBy("v").agg(F.sum("delta").alias("delta")))
-        scores = scores.select(F.col("v").alias("id"), F.col("delta").alias("sum"))
+            part = _brandes_joined(links, every.where(F.col("block") == k))
+            last, sums = sums, cut_lineage((part if sums is None else sums.unionByName(part)).groupBy("v").agg(F.sum("delta").alias("delta")))
+            if last is not None:
+                discard(last)
+    scores = sums.join(index, "v").select("id", F.col("delta").alias("sum"))
     return notes.select("id").join(scores, "id", "left").select("id", (F.coalesce("sum", F.lit(0.0)) * scale).alias("score"))
 
 

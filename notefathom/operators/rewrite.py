@@ -40,7 +40,7 @@ def _plan(notes: DataFrame, fn, where) -> DataFrame:
 
 def _spans_of_prose(text: str, include_frontmatter: bool, include_code: bool) -> list[tuple[int, int]]:
     """Stretches in which text may be replaced."""
-    lines, at, out = re.split(r"(\r\n|\n|\r)", text), 0, []
+    lines, at, out = re.split(r"(\r?\n)", text), 0, []
     body = lines[::2]
     head = M.frontmatter_end(body)
     fenced = [False] * head + M.fence_lines(body[head:])
@@ -355,7 +355,7 @@ def update_properties(text: str, put: dict | None = None, remove: list[str] = ()
 
 def set_task_status(text: str, line: int, status: str, expected: str | None = None) -> str:
     """The mark of the task on a line."""
-    lines = re.split(r"(\r\n|\n|\r)", text)
+    lines = re.split(r"(\r?\n)", text)
     m = M._TASK.match(lines[2 * (line - 1)]) if 0 < line <= (len(lines) + 1) // 2 else None
     if not m:
         raise LookupError(f"line {line} is no task")
@@ -368,7 +368,7 @@ def set_task_status(text: str, line: int, status: str, expected: str | None = No
 
 def ensure_block_id(text: str, line: int, block: str) -> tuple[str, str]:
     """The block id on a line, added where there is none."""
-    lines = re.split(r"(\r\n|\n|\r)", text)
+    lines = re.split(r"(\r?\n)", text)
     raw = lines[2 * (line - 1)]
     if m := M._BLOCK_ID.search(raw):
         return text, m[1]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -37,31 +38,73 @@ def simplified(query: str) -> str | None:
 def bm25(docs: DataFrame, query: str, key: str = "id", title: str = "title", body: str = "content", title_weight: float = 5.0, tokens=X.tokens) -> DataFrame:
     """Q1: ``key, score`` of documents with all terms; column weights multiply the term frequency, lengths count both columns.
 
-    Only the counts of the query's terms are kept per document, so no posting list is shuffled: one pass takes the
-    collection statistics to a single row, a second scores.  ``tokens`` may be any text-to-array column function (a stemmer, say).
+    For one search over texts without an index.  Only the counts of the query's terms are kept per document, written once, so texts are cut
+    into terms once and no posting list is shuffled; ``TextIndex`` serves many searches.  ``tokens`` may be any text-to-array column function (a stemmer, say).
     """
     terms = query_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     both = docs.select(key, tokens(title).alias("a"), tokens(body).alias("b"))
     hits = lambda arr, t: F.size(F.filter(arr, lambda w: w == t))
-    counted = both.select(key, (F.size("a") + F.size("b")).alias("len"), *(F.struct(hits(F.col("a"), t).alias("a"), hits(F.col("b"), t).alias("b")).alias(f"t{i}") for i, t in enumerate(terms)))
+    counted = cut_lineage(both.select(key, (F.size("a") + F.size("b")).alias("len"), *(F.struct(hits(F.col("a"), t).alias("a"), hits(F.col("b"), t).alias("b")).alias(f"t{i}") for i, t in enumerate(terms))))
     any_of = lambda i: (F.col(f"t{i}.a") + F.col(f"t{i}.b")) > 0
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(any_of(i)).alias(f"d{i}") for i in range(len(terms)))).first()
     if not stats.n or not stats.mean:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.greatest(F.log((F.lit(float(stats.n)) - stats[f"d{i}"] + 0.5) / (F.lit(float(stats[f"d{i}"])) + 0.5)), F.lit(1e-6))
-        tf = F.col(f"t{i}.a") * title_weight + F.col(f"t{i}.b")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / stats.mean))
+        score = score + _gain(stats.n, stats[f"d{i}"], F.col(f"t{i}.a") * title_weight + F.col(f"t{i}.b"), F.col("len"), stats.mean)
     return counted.where(X.all_of([any_of(i) for i in range(len(terms))])).select(key, score.alias("score"))
 
 
-def inverted_index(docs: DataFrame, key: str = "id", title: str = "title", body: str = "content") -> DataFrame:
-    """``term, key, tf_title, tf_body``; counts combine before the shuffle."""
-    words = docs.select(key, F.explode(F.concat(F.transform(X.tokens(title), lambda t: F.struct(t.alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(X.tokens(body), lambda t: F.struct(t.alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("w"))
-    return words.groupBy("w.term", key).agg(F.sum("w.a").alias("tf_title"), F.sum("w.b").alias("tf_body"))
+def _gain(n: int, df: int, tf: Column, length: Column, mean: float) -> Column:
+    """What a term adds to a document's score."""
+    idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def inverted_index(docs: DataFrame, key: str = "id", title: str = "title", body: str = "content", tokens=X.tokens) -> DataFrame:
+    """``term, key, len, tf_title, tf_body``; counts combine before the shuffle, which is by term and document, so no term is hot."""
+    listed = docs.select(key, tokens(title).alias("a"), tokens(body).alias("b")).withColumn("len", F.size("a") + F.size("b"))
+    pair = lambda arr, a, b: F.transform(arr, lambda t: F.struct(t.alias("term"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+    words = listed.select(key, "len", F.explode(F.concat(pair("a", 1, 0), pair("b", 0, 1))).alias("w"))
+    return words.groupBy("w.term", key, "len").agg(F.sum("w.a").cast("int").alias("tf_title"), F.sum("w.b").cast("int").alias("tf_body"))
+
+
+class TextIndex:
+    """Q1 on stored postings: built once, written to ``path`` by term bucket and sorted by term, so a search reads its terms' pages only.
+
+    A bucket takes several files, so that the postings of a term that most documents have are not written by one task.
+    """
+
+    def __init__(self, path: str, key: str, schema, buckets: int, documents: int, mean: float):
+        self.path, self.key, self.schema, self.buckets, self.documents, self.mean = path, key, schema, buckets, documents, mean
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, key: str = "id", title: str = "title", body: str = "content", buckets: int = 64, tokens=X.tokens) -> TextIndex:
+        postings = inverted_index(docs, key, title, body, tokens).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        postings.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        stored = docs.sparkSession.read.schema(postings.schema).parquet(path)
+        own = stored.groupBy(key).agg(F.first("len").alias("len")).agg(F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+        n = docs.count()
+        return cls(path, key, postings.schema, buckets, n, own.words / n if n else 0.0)
+
+    def search(self, query: str, spark, title_weight: float = 5.0) -> DataFrame:
+        """``key, score`` of the documents with all terms."""
+        terms = query_terms(query)
+        found = spark.read.schema(self.schema).parquet(self.path)
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
+        found = found.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        counts = {r.term: r.n for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        if not terms or len(counts) < len(terms):
+            return found.select(self.key, F.lit(0.0).alias("score")).limit(0)
+        gain: Column = F.lit(0.0)
+        for t in terms:
+            gain = F.when(F.col("term") == t, _gain(self.documents, counts[t], F.col("tf_title") * title_weight + F.col("tf_body"), F.col("len"), self.mean)).otherwise(gain)
+        # terms in the query's order, so that sums do not hang on the order of rows
+        got = found.groupBy(self.key).agg(*(F.sum(F.when(F.col("term") == t, gain)).alias(f"g{i}") for i, t in enumerate(terms)))
+        every = [F.col(f"g{i}") for i in range(len(terms))]
+        return got.where(X.all_of([g.isNotNull() for g in every])).select(self.key, sum(every[1:], every[0]).alias("score"))
 
 
 def snippet(content: Column | str, terms: list[str], words: int = 40) -> Column:
@@ -86,48 +129,71 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", met
     return top(vectors.where(v.isNotNull() & (F.size(v) == len(query))).select(key, score.alias("score")), "score", key, k)
 
 
-#: Queries of one block of a batch search.
-QUERY_BLOCK = 512
+#: Queries that are broadcast (512 bytes each at 64 dimensions); more meet the vectors in a grid of blocks.
+QUERY_BLOCK = 4096
+#: Vectors of one block of that grid.
+VECTOR_BLOCK = 65_536
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """``query_id, key, score``: exact neighbours of many queries, itself left out, in blocks of queries.
+def _nearest(ids: np.ndarray, q: np.ndarray, base: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, vectors and distances of the best ``k`` of each query, ties with the last kept; itself left out."""
+    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0))
+    d[ids[:, None] == base[None, :]] = np.inf
+    most = min(k, d.shape[1])
+    cut = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+    qi, vi = np.nonzero((d <= cut + 1e-12) & np.isfinite(d))
+    return ids[qi], base[vi], d[qi, vi]
 
-    Each Arrow batch of vectors meets one block in a matrix product and sends on its best ``k`` a query; a partial aggregate would keep
-    no more.
-    """
-    spark = vectors.sparkSession
-    rows = queries.select(key, "embedding").where("embedding is not null").orderBy(key).toLocalIterator(prefetchPartitions=True)
-    out, block = None, []
 
-    def search(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
+def _matrix(column) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
 
-        def run(batches):
-            ids, q = held.value
-            norm = (q * q).sum(1)
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """``query_id, key, score``: exact neighbours of many queries, itself left out; the vectors are scanned once.
+
+    Few queries are broadcast and every Arrow batch of vectors meets all of them in a matrix product.  More are cut into blocks, as are the vectors, and
+    each pair of blocks is a task of its own; what crosses the shuffle is each side once per block of the other.  Either way a
+    task sends on its best ``k`` a query only.  Compared are all pairs of a query and a vector, which the answer needs.
+    """
+    spark, names = vectors.sparkSession, ["query_id", key, "score"]
+    schema = f"query_id long, {key} long, score double"
+    width = queries.agg(F.max(F.size("embedding")).alias("n")).first().n or 0  # vectors of another size are no neighbours
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") == max(1, width))
+    asked = queries.where(usable).select(F.col(key).cast("long"), "embedding")
+    held = vectors.where(usable).select(F.col(key).cast("long"), "embedding")
+    n = asked.count()
+    if n <= QUERY_BLOCK:
+        got = asked.orderBy(key).toArrow()
+        if not n:
+            return held.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+        sent = spark.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1))))
+
+        def scan(batches):
+            ids, q = sent.value
             for batch in batches:
-                base = batch.column(0).to_numpy(zero_copy_only=False)
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(v):
-                    continue
-                d = np.sqrt(np.maximum(norm[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0))
-                d[ids[:, None] == base[None, :]] = np.inf
-                most = min(k, d.shape[1])
-                # every tie with the k-th is kept, so the later order by key is exact
-                cut = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
-                qi, vi = np.nonzero((d <= cut + 1e-12) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(base[vi]), pa.array(1 - d[qi, vi])], ["query_id", key, "score"])
-
-        return vectors.where("embedding is not null").select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"query_id long, {key} long, score double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        found = search(block) if block else vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long"), F.lit(0.0).alias("score")).limit(0)
-        out = found if out is None else out.unionByName(found)
+                if batch.num_rows:
+                    a, b, d = _nearest(ids, q, batch.column(0).to_numpy(), _matrix(batch.column(1)), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(1 - d)], names)
+
+        out = held.mapInArrow(scan, schema)
+    else:
+        rows, cols = -(-n // QUERY_BLOCK), max(1, -(-held.count() // VECTOR_BLOCK))
+        own = lambda size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
+        each = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left) or not len(right):
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+            a, b, d = _nearest(left.column(key).to_numpy(), _matrix(left.column("embedding")), right.column("base").to_numpy(), _matrix(right.column("vector")), k)
+            return pa.table([pa.array(a), pa.array(b), pa.array(1 - d)], names)
+
+        left = asked.withColumn("row", own(rows)).withColumn("col", each(cols)).groupBy("row", "col")
+        # names of its own: both sides may come from one table
+        right = held.select(F.col(key).alias("base"), F.col("embedding").alias("vector"), own(cols).alias("vcol"), each(rows).alias("vrow")).groupBy("vrow", "vcol")
+        out = left.cogroup(right).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

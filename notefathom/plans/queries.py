@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import text as X
 from ..operators import graph, incremental, links, meta, names, notes, rewrite, search
-from ..session import cut_lineage, table
+from ..session import cut_lineage, delete_at_exit, shared_folder, table
 from ..sources import vault
 from ..streaming import debounce
 from .jsonlogic import compile_filter
@@ -275,6 +276,24 @@ def _(spark, d):
     return search.bm25(table(spark, d, "documents"), "Bridge kettle", "doc_id", "source", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
+_INDEXES: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def _index(spark, d) -> search.TextIndex:
+    """The stored index of the documents, built by the first query of the session that needs it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        delete_at_exit(spark, path)
+        _INDEXES[at] = search.TextIndex.build(table(spark, d, "documents"), path, "doc_id", "source", "text", 16)
+    return _INDEXES[at]
+
+
+@query("q1_bm25_indexed", _bm25_sql(["bridge", "kettle"]))
+def _(spark, d):
+    return _index(spark, d).search("Bridge kettle", spark).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("q1_bm25_stemmed", _bm25_sql(["bridge bridges bridged bridging", "kettle kettles kettled kettling"], stems=True))
 def _(spark, d):
     docs = table(spark, d, "documents")
@@ -309,9 +328,9 @@ def _(spark, d):
  "txt AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (" + _bm25_sql(["bridge", "kettle"]).replace("round(", "(").replace(", 6) AS score", ") AS score") + ") ORDER BY score DESC, doc_id LIMIT 40) "
  "SELECT doc_id, round(sum(part), 9) AS score FROM (SELECT doc_id, 1.0 / (60 + r) AS part, r AS seen FROM near UNION ALL SELECT doc_id, 1.0 / (60 + r), 1000000 + r FROM txt) GROUP BY 1 ORDER BY sum(part) DESC, min(seen) LIMIT 20")
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    v = table(spark, d, "embeddings")
     near = v.withColumnRenamed("vec_id", "doc_id")
-    text = search.top(search.bm25(docs, "bridge kettle", "doc_id", "source", "text"), "score", "doc_id", 40)
+    text = search.top(_index(spark, d).search("bridge kettle", spark), "score", "doc_id", 40)
     return search.fuse([search.knn(near, _vector(v), 40, "doc_id"), text], "doc_id", 20).select("doc_id", F.round("score", 9).alias("score"))
 
 

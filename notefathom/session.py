@@ -53,7 +53,7 @@ def cut_lineage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    delete_at_exit(spark, path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
@@ -61,6 +61,11 @@ def cut_lineage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 #: Folders written by this process.
 _CUTS: list[str] = []
 

@@ -65,17 +65,34 @@ def test_bm25_by_hand(spark):
     assert {(r.term, r.id): (r.tf_title, r.tf_body) for r in search.inverted_index(n).where("term = 'cat'").collect()} == {("cat", "a.md"): (0, 2), ("cat", "cat.md"): (1, 0)}
 
 
-def test_knn_batch_equals_brute_force(spark):
+@pytest.mark.parametrize("blocks", [None, (3, 17)])
+def test_knn_batch_equals_brute_force(spark, blocks, monkeypatch):
+    if blocks:
+        monkeypatch.setattr(search, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(search, "VECTOR_BLOCK", blocks[1])
     rng = random.Random(4)
-    vecs = [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(80)] + [(99, None)]
+    vecs = [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(80)] + [(99, None), (98, [1.0]), (97, [])]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3)
     got = defaultdict(list)
     for r in search.knn_batch(df, df.where("vec_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     for q in range(0, 80, 10):
-        want = sorted((i for i, v in vecs if v and i != q), key=lambda i: (round(math.dist(vecs[i][1], vecs[q][1]), 9), i))[:5]
+        want = sorted((i for i, v in vecs[:80] if i != q), key=lambda i: (round(math.dist(vecs[i][1], vecs[q][1]), 9), i))[:5]
         assert got[q] == want
-    assert search.knn_batch(df, df.limit(0), 5).count() == 0
+    assert search.knn_batch(df, df.limit(0), 5).count() == 0 and search.knn_batch(df.limit(0), df.limit(9), 5).count() == 0
+
+
+def test_stored_index_equals_the_scan(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {f"n{i}.md": " ".join(rng.choice(["cat", "dog", "bird", "the", "eel"]) for _ in range(rng.randrange(30))) for i in range(60)} | {"e.md": "", "x.md": None}
+    n = vault(spark, texts)
+    index = search.TextIndex.build(n, str(tmp_path / "ix"), buckets=4)
+    for query in ("cat", "Cat dog", "the eel bird", "zebra", "cat zebra", "!", "n1"):
+        want = {r.id: pytest.approx(r.score) for r in search.bm25(n, query).collect()}
+        assert {r.id: r.score for r in index.search(query, spark).collect()} == want, query
+    plan = spark.read.parquet(index.path).where("bucket = 1 and term = 'cat'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,cat)" in plan
+    assert search.TextIndex.build(n.limit(0), str(tmp_path / "no")).search("cat", spark).count() == 0
 
 
 def test_fusion(spark):
@@ -247,11 +264,29 @@ def test_betweenness(spark, held, monkeypatch):
     if not held:
         monkeypatch.setattr(graph, "HELD_EDGES", 0)
     und = graph.undirected(graph.build(n, e))
-    got = {r.id: r.score for r in graph.betweenness(n, und, block=24).collect()}
+    got = {r.id: r.score for r in graph.betweenness(n, und, rows=200).collect()}
     want = brandes(ids, pairs)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_betweenness_from_pivots(spark):
+    ids, pairs, n, e = random_graph(spark, 11)
+    und, want = graph.undirected(graph.build(n, e)), brandes(ids, pairs)
+    every = {r.id: r.score for r in graph.betweenness(n, und, pivots=1000).collect()}
+    assert all(every[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    some = {r.id: r.score for r in graph.betweenness(n, und, pivots=14).collect()}
+    assert sum(abs(some[k] - want[k]) for k in want) < 0.5 * sum(want.values()) and max(some, key=some.get) in sorted(want, key=want.get)[-4:]
+
+
+def test_rank_notes_of_both_kinds(spark):
+    _, _, n, e = random_graph(spark)
+    both = graph.rank_notes(n, e, limit=5).collect()
+    assert [r.metric for r in both].count("influence") == [r.metric for r in both].count("bridging") == 5
+    assert [tuple(r) for r in both[:5]] == [tuple(r) for r in graph.rank_notes(n, e, "influence", 5).collect()]
+    with pytest.raises(ValueError):
+        graph.rank_notes(n, e, "fame")
+
+
 def test_bridging_of_a_path(spark):
     n, e = vault(spark, dict.fromkeys("abc", "")), edges(spark, [("a", "b"), ("b", "c")])
     got = {r.id: r.score for r in graph.bridging(graph.betweenness(n, graph.undirected(graph.build(n, e))), 3).collect()}
