@@ -631,6 +631,7 @@ def initial(c: str, key: str) -> str:
     return _letters(key, _LATIN if c in _LATIN else _CYRILLIC)[c]
 
 
+@lru_cache(200_000)
 def word_surrogate(low: str, key: str, turn: int) -> str:
     """The replacement of a word in lower case: same script and first letter's image, a final vowel kept; longer with every fourth turn."""
     take, first = _digest(key, "word", low, str(turn)), _base(low[0])
@@ -648,6 +649,7 @@ def _cased(made: str, like: str) -> str:
     return made.upper() if like.isupper() and len(like) > 1 else made[0].upper() + made[1:] if like[0].isupper() else made
 
 
+@lru_cache(200_000)
 def permuted(x: int, size: int, *keys: str) -> int:
     """A keyed permutation of ``range(size)``: a Feistel network over two halves, walked until it is back in range."""
     if size < 2:
