@@ -157,6 +157,20 @@ def mask_code(text: str, fenced_only: bool = False) -> str:
     return _INLINE.sub(lambda m: m[0] if "\n\n" in m[0] else re.sub(r"[^\r\n]", " ", m[0]), masked)
 
 
+def _text_udf(fn):
+    """An Arrow function of one text column to text; null gives null."""
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else fn(t) for t in texts.to_pylist()], pa.string())
+
+    return run
+
+
+masked_text = _text_udf(mask_code)
+masked_fences = _text_udf(lambda t: mask_code(t, fenced_only=True))
+
+
 def strip_code(content: Column | str) -> Column:
     """fences and code spans taken out, by the simpler rule."""
     return F.regexp_replace(F.regexp_replace(X.col(content), r"(?s)```.*?```", ""), r"`[^`\n]*`", "")
@@ -204,6 +218,7 @@ def array_udf(fn, kind: T.DataType, arrow: pa.DataType):
     return run
 
 
+inert_flags = array_udf(inert_lines, T.ArrayType(T.BooleanType()), pa.list_(pa.bool_()))
 maintenance_links = array_udf(find_links, _LINK_TYPE, _LINK_ARROW)
 
 _ATX = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$")

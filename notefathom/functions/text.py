@@ -58,8 +58,17 @@ def in_folder(path: Column | str, folder: str | None) -> Column:
 
 
 def excerpt(x: Column | str, n: int = 200) -> Column:
-    """The first ``n`` units, with ``...`` where text was left out."""
-    return F.when(utf16_length(x) > n, F.concat(utf16_prefix(x, n), F.lit("..."))).otherwise(col(x))
+    """The trimmed text's first ``n`` units, with ``...`` where text was left out."""
+    x = js_trim(x)
+    return F.when(utf16_length(x) > n, F.concat(utf16_prefix(x, n), F.lit("..."))).otherwise(x)
+
+
+def clip(x: Column | str, at: Column | int, n: int = 400) -> Column:
+    """a window of ``n`` characters that begins a quarter of it before the 0-based ``at``, with ``…`` where text was left out."""
+    x, at = col(x), F.lit(at) if isinstance(at, int) else at
+    start = F.greatest(F.least(at - n // 4, F.length(x) - n), F.lit(0))
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(x, start + 1, F.lit(n)), F.when(start + n < F.length(x), "…").otherwise(""))
+    return F.when(F.length(x) <= n, x).otherwise(cut)
 
 
 def note_excerpt(content: Column | str, n: int = 200) -> Column:
@@ -119,6 +128,74 @@ def locale_key(x: Column | str) -> Column:
     return F.struct(F.regexp_replace(spread, r"(\p{L})", "\u0004$1"), lower_first)
 
 
+def utf16_key(x: Column | str) -> Column:
+    """Sort key of UTF-16 order, in which astral characters come before U+E000."""
+    return F.encode(col(x), "UTF-16BE")
+
+
+def posix_normalize(path: Column | str) -> Column:
+    """A path without empty, ``.`` and resolvable ``..`` parts; one fold over the parts."""
+    p = col(path)
+    absolute = p.startswith("/")
+    up = lambda s: (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1)) != "..")
+    step = lambda s, x: (
+        F.when((x == "") | (x == "."), s)
+        .when(x != "..", F.concat(s, F.array(x)))
+        .when(up(s), F.slice(s, F.lit(1), F.size(s) - 1))
+        .when(absolute, s)
+        .otherwise(F.concat(s, F.array(x)))
+    )
+    out = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
+    tail = F.when(p.endswith("/"), "/").otherwise("")
+    return F.when(p == "", ".").when(absolute, F.when(out == "", "/").otherwise(F.concat(F.lit("/"), out, tail))).when(out == "", F.concat(F.lit("."), tail)).otherwise(F.concat(out, tail))
+
+
+def parse_int(x: Column | str) -> Column:
+    """Leading digits after blanks and a sign; null where there are none or they are over 64 bits."""
+    found = F.regexp_extract(js_trim(x), r"^\+?(-?[0-9]+)", 1)
+    plain = js_trim(x).rlike(r"^\+?-?[0-9]") & ~js_trim(x).startswith("+-")
+    return F.when(plain, found.try_cast("long"))
+
+
+def js_number(x: Column | str) -> Column:
+    """The number a text stands for: an empty one is 0, anything else that is none is NaN, and so is null."""
+    t = js_trim(x)
+    good = t.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$")
+    return F.when(t == "", 0.0).when(good, t.try_cast("double")).otherwise(F.lit(float("nan")))
+
+
+def number_to_string(x: Column | str) -> Column:
+    """A double as ECMAScript writes it: shortest digits, plain from 1e-6 up to 1e21, ``-0`` as ``0``."""
+    v = col(x).cast("double")
+    # the fewest digits that give the number back; Java's own text has more for some
+    exact = [F.format_string(f"%.{p}e", F.abs(v)) for p in range(17)]
+    written = F.coalesce(*(F.when(x.cast("double") == F.abs(v), x) for x in exact))
+    mantissa, power = F.split(written, "e")[0], F.split(written, "e")[1].cast("int")
+    whole, part = F.split(mantissa, r"\.")[0], F.coalesce(F.try_element_at(F.split(mantissa, r"\."), F.lit(2)), F.lit(""))
+    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    # n: where the point stands, counted from the first digit that is not 0
+    n = F.length(whole) + power - (F.length(F.concat(whole, part)) - F.length(digits))
+    digits = F.regexp_replace(digits, "0+$", "")
+    k = F.length(digits)
+    e = F.abs(n - 1).cast("string")
+    science = F.concat(F.substring(digits, 1, 1), F.when(k > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), k))).otherwise(""), F.when(n > 0, "e+").otherwise("e-"), e)
+    body = (
+        F.when((k <= n) & (n <= 21), F.rpad(digits, n, "0"))
+        .when((n > 0) & (n <= 21), F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, k)))
+        .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits))
+        .otherwise(science)
+    )
+    sign = F.when(v < 0, "-").otherwise("")
+    return F.when(F.isnan(v), "NaN").when(v == 0, "0").when(F.abs(v) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, body))
+
+
+def js_object_order(keys: Column) -> Column:
+    """Keys as an object lists them: array indexes first, ascending, then the others as they came."""
+    index = lambda k: k.rlike(r"^(?:0|[1-9][0-9]{0,9})$") & (k.try_cast("long") < 4294967295)
+    first = F.transform(F.array_sort(F.transform(F.filter(keys, index), lambda k: k.cast("long"))), lambda n: n.cast("string"))
+    return F.concat(first, F.filter(keys, lambda k: ~index(k)))
+
+
 def iso_from_ms(ms: Column | str) -> Column:
     return F.date_format(F.timestamp_millis(col(ms).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

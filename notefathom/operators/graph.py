@@ -249,6 +249,16 @@ def simple_paths(pairs: DataFrame, start: str, end: str, most: int = 3) -> DataF
     return found.distinct()
 
 
+def path_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path, hop, source_id, target_id, context`` of each step of each path: the context of the latest link forward, else of the latest back."""
+    hops = paths.where(F.size("path") > 1).select(F.array_join("path", " > ").alias("trail"), F.posexplode(F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda a, i: F.struct(a.alias("a"), F.get("path", i + 1).alias("b")))).alias("hop", "h"))
+    hops = hops.select(F.col("trail").alias("path"), "hop", F.col("h.a").alias("source_id"), F.col("h.b").alias("target_id"))
+    known = latest_context(edges).select("source_id", "target_id", F.struct("context").alias("c"))
+    back = known.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id"), F.col("c").alias("r"))
+    got = hops.join(known, ["source_id", "target_id"], "left").join(back, ["source_id", "target_id"], "left")
+    return got.select("path", "hop", "source_id", "target_id", F.coalesce("c", "r")["context"].alias("context"))
+
+
 def common_neighbours(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """G10/U3/J14."""
     both = neighbours(pairs)

@@ -104,6 +104,25 @@ def compatibility(old: dict, new: dict, notes: int, chunks: int) -> set[str]:
     return out
 
 
+def without_embeddings(chunks: DataFrame, sync: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(chunks, sync)`` with every vector dropped and nothing marked as indexed, so the next pass makes them all again.  The text index is
+    rebuilt by ``search.TextIndex.build``, which writes over the old one."""
+    kind = dict(chunks.dtypes).get("embedding", "array<double>")
+    return chunks.withColumn("embedding", F.lit(None).cast(kind)), sync.limit(0)
+
+
+def run_stats(notes: DataFrame, sync: DataFrame, edges: DataFrame, chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: notes indexed and skipped, edges, chunks made and skipped, placeholders."""
+    disk = notes.select(F.col("id").alias("path"), F.unix_millis(F.col("mtime").cast("timestamp")).alias("mtime"))
+    one = lambda rows, name: rows.agg(F.count("*").alias(name))
+    fresh = to_index(sync, disk)
+    from .links import stub_notes
+
+    parts = one(fresh, "nodes_indexed").crossJoin(one(disk, "seen")).crossJoin(one(edges, "edges_indexed")).crossJoin(one(stub_notes(edges, notes), "stub_nodes_created"))
+    parts = parts.crossJoin(one(changed_chunks(chunks, stored), "chunks_ok")).crossJoin(one(chunks, "chunks"))  # single rows
+    return parts.select("nodes_indexed", (F.col("seen") - F.col("nodes_indexed")).alias("nodes_skipped"), "edges_indexed", "chunks_ok", (F.col("chunks") - F.col("chunks_ok")).alias("chunks_skipped"), "stub_nodes_created")
+
+
 def dead_letters(chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """``(good, failed)``: chunks over the budget go to the dead letters with a reason."""
     long = F.length("content") > limit

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown as M
 from ..functions import text as X
 
 _EMPTY = "array<string>"
@@ -37,6 +38,20 @@ def record_tags(frontmatter: Column | str) -> Column:
     return X.distinct_ci(clean)
 
 
+def info_tags(frontmatter: Column | str, content: Column | str) -> Column:
+    """Third reading: ``tags`` and ``tag``, where list elements that are texts stay whole and a text is split at commas and blanks, then the tags of
+    the content; case tells spellings apart."""
+    v, parts = X.valid_json(frontmatter), []
+    for k in ("tags", "tag"):
+        listed = F.try_variant_get(v, f"$.{k}", "array<variant>")
+        texts = F.transform(F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+        one = F.try_variant_get(v, f"$.{k}", "variant")
+        split = F.when(F.schema_of_variant(one) == "STRING", F.split(F.try_variant_get(one, "$", "string"), r"(?U)[,\s\uFEFF]+"))
+        parts.append(F.coalesce(texts, split, F.array().cast(_EMPTY)))
+    clean = F.filter(F.transform(F.concat(*parts), lambda x: F.regexp_replace(X.js_trim(x), "^#", "")), lambda x: x != "")
+    return F.array_distinct(F.concat(clean, F.coalesce(M.inline_tags(content), F.array().cast(_EMPTY))))
+
+
 def count_tags(notes: DataFrame, parents: bool = True, prefix: str | None = None) -> DataFrame:
     """A1: notes per tag, case ignored; a parent counts once a note; the spelling of the least note id is shown."""
     tags = notes.select("id", F.posexplode(note_tags("frontmatter")).alias("at", "tag"))
@@ -55,6 +70,14 @@ def list_tags(notes: DataFrame, sort: str = "count", limit: int = 100, **how) ->
     return rows.orderBy(F.desc("count"), "tag").limit(limit) if sort == "count" else rows.orderBy("tag").limit(limit)
 
 
+def tag_list(notes: DataFrame, sort: str = "count", limit: int = 100, **how) -> DataFrame:
+    """A1 as it is asked: ``tag, count, total, truncated``."""
+    rows = count_tags(notes, **how)
+    page = rows.orderBy(F.desc("count"), "tag") if sort == "count" else rows.orderBy("tag")
+    total = rows.agg(F.count("*").alias("total"))  # a single row
+    return page.limit(limit).crossJoin(total).withColumn("truncated", F.col("total") > limit)
+
+
 def property_values(notes: DataFrame, key: str, folder: str | None = None) -> DataFrame:
     """A2: distinct JSON-typed values of a key, lists taken apart, with counts."""
     v = F.try_variant_get(X.valid_json("frontmatter"), f"$['{key}']", "variant")
@@ -63,6 +86,30 @@ def property_values(notes: DataFrame, key: str, folder: str | None = None) -> Da
     return rows.where(F.col("value").isNotNull() & (F.col("value") != "null")).groupBy("value").agg(F.count("*").alias("count"))
 
 
+def property_report(notes: DataFrame, key: str, folder: str | None = None, limit: int = 50) -> DataFrame:
+    """A2 as it is asked: ``value, count, notes_with_key, total``; most frequent first, then by the value's JSON text."""
+    rows = property_values(notes, key, folder)
+    has = F.try_variant_get(X.valid_json("frontmatter"), f"$['{key}']", "variant").isNotNull()
+    totals = notes.where(X.in_folder("id", folder)).agg(F.count_if(has).alias("notes_with_key")).crossJoin(rows.agg(F.count("*").alias("total")))  # two single rows
+    return rows.orderBy(F.desc("count"), "value").limit(limit).crossJoin(totals)
+
+
+def vault_overview(notes: DataFrame, attachments: DataFrame, tags: int = 15, latest: int = 10) -> DataFrame:
+    """A3 as it is asked: ``section, name, n`` of notes, attachments, folders, top tags and the latest notes (n: milliseconds)."""
+    part = lambda rows, section, name, n: rows.select(F.lit(section).alias("section"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+    every = F.lit(None)
+    out = part(notes.agg(F.count("*").alias("n")), "notes", every, F.col("n"))
+    out = out.union(part(attachments.agg(F.count("*").alias("n")), "attachments", every, F.col("n")))
+    out = out.union(part(overview(notes), "folder", F.col("folder"), F.col("notes")))
+    out = out.union(part(list_tags(notes, limit=tags), "tag", F.col("tag"), F.col("count")))
+    return out.union(part(recent(notes, latest), "recent", F.col("id"), F.unix_millis(F.col("mtime").cast("timestamp"))))
+
+
+def latest_failures(failed: DataFrame, most: int = 50, shown: int = 10) -> DataFrame:
+    """The last failures, at most ``shown`` of the last ``most``; ``failed`` has a time ``at``."""
+    return failed.orderBy(F.desc("at"), "note_id").limit(most).limit(shown)
+
+
 def overview(notes: DataFrame) -> DataFrame:
     """A3: notes per top folder; ``(root)`` for those in none."""
     return notes.groupBy(X.top_folder("id").alias("folder")).agg(F.count("*").alias("notes"))

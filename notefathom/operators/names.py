@@ -171,6 +171,11 @@ def first_spelling(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(F.lower(value).alias("key")).agg(F.min_by(value, order).alias(value))
 
 
+def ranked_by(rows: DataFrame, keys: list) -> DataFrame:
+    """A short list with its places from 1 in an order."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+
+
 def ranked(rows: DataFrame, score: str, key: str) -> DataFrame:
     """Rank from 0 of a short result list."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)

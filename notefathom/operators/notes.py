@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown as M
 from ..functions import text as X
+from .meta import info_tags
 
 
 def latest(nodes: DataFrame) -> DataFrame:
@@ -99,3 +101,58 @@ def query_notes(records: DataFrame, condition: Column, sort: Column | str = "pat
     """records that meet a compiled filter; missing sort values come last in either order, the path breaks ties."""
     key = X.col(sort)
     return page(records.where(F.coalesce(condition, F.lit(False))), [key.desc_nulls_last() if descending else key.asc_nulls_last(), "path"], 0, limit)
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of an id, a chunk's or a setting's; the condition reaches the scan."""
+    return rows.where(F.col(key) == value)
+
+
+def edges_of(edges: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
+    """Edges by either end or both; the conditions reach the scan."""
+    keep = [F.col(c) == v for c, v in (("source_id", source), ("target_id", target)) if v is not None]
+    return edges.where(X.all_of(keep)).select("id", "source_id", "target_id", "context")
+
+
+def with_total(page: DataFrame, every: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page with ``total`` rows there are, and whether some come after it; the count is a single row."""
+    total = every.agg(F.count("*").alias("total"))
+    return page.crossJoin(total).withColumn("truncated", F.col("total") > offset + limit)
+
+
+def query_table(notes: DataFrame, condition: Column, fields: list[str] = (), sort: str = "path", descending: bool = False, limit: int = 50) -> DataFrame:
+    """F1 as it is asked: ``path, title, <fields>, total, truncated``; ``sort`` is path, title, mtime or ``frontmatter.<key>``, missing ones last
+    either way; a limit of 1 to 500."""
+    if not 1 <= limit <= 500:
+        raise ValueError("the limit is from 1 to 500")
+    if sort not in ("path", "title", "mtime") and not sort.startswith("frontmatter."):
+        raise ValueError(f"cannot sort by {sort!r}")
+    value = lambda k: F.try_variant_get(X.valid_json("frontmatter"), f"$['{k}']", "string")
+    rows = notes.where(F.coalesce(condition, F.lit(False)))
+    if sort.startswith("frontmatter."):
+        k = sort.removeprefix("frontmatter.")
+        typed = F.try_variant_get(X.valid_json("frontmatter"), f"$['{k}']", "double")
+        keys = [F.when(value(k).isNull(), 1).otherwise(0).asc(), *((c.desc_nulls_last() if descending else c.asc_nulls_last()) for c in (typed, value(k)))]
+    else:
+        c = F.col("id" if sort == "path" else sort)
+        keys = [c.desc_nulls_last() if descending else c.asc_nulls_last()]
+    page = rows.orderBy(*keys, "id").limit(limit).select(F.col("id").alias("path"), "title", *(value(f).alias(f) for f in fields))
+    return with_total(page, rows, limit)
+
+
+def read_note(notes: DataFrame, edges: DataFrame, note: str) -> DataFrame:
+    """A12/G11/M15, full mode: ``direction, other, title, context`` of every link of a note, in and out, parallel ones each."""
+    out = edges.where(F.col("source_id") == note).select(F.lit("outgoing").alias("direction"), F.col("target_id").alias("other"), "context")
+    into = edges.where(F.col("target_id") == note).select(F.lit("incoming").alias("direction"), F.col("source_id").alias("other"), "context")
+    titles = notes.select(F.col("id").alias("other"), "title")
+    return out.unionByName(into).join(titles, "other", "left").select("direction", "other", F.coalesce("title", "other").alias("title"), "context")
+
+
+def note_counts(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per note its outgoing, incoming and unresolved links, headings, tasks and tags."""
+    ids = notes.select(F.col("id").alias("target_id"), F.lit(True).alias("there"))
+    out = edges.join(ids, "target_id", "left").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("outgoing"), F.count_if(F.col("there").isNull()).alias("unresolved"))
+    into = edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("incoming"))
+    own = notes.select("id", F.size(M.headings("content")).cast("long").alias("headings"), F.size(M.tasks("content")).cast("long").alias("tasks"), F.size(info_tags("frontmatter", "content")).cast("long").alias("tags"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return own.join(out, "id", "left").join(into, "id", "left").select("id", zero("outgoing"), zero("incoming"), zero("unresolved"), "headings", "tasks", "tags")

@@ -323,6 +323,13 @@ def edit(text: str, mode: str, content: str = "", *, search: str | None = None,
     raise ValueError(f"unknown mode {mode}")
 
 
+def edit_batch(text: str, edits: list[dict]) -> str:
+    """M5, several edits of one note: each sees the text the one before left; if one fails, none is made."""
+    for how in edits:
+        text = edit(text, **how)
+    return text
+
+
 def update_properties(text: str, put: dict | None = None, remove: list[str] = ()) -> str:
     """M7: frontmatter keys set or removed in place; other lines stay as they are."""
     lines = text.split("\n")

@@ -216,6 +216,49 @@ def fuse(lists: list[DataFrame], key: str, k: int, constant: int = 60) -> DataFr
     return both.groupBy(key).agg(F.sum("part").alias("score"), F.min("seen").alias("seen")).orderBy(F.desc("score"), "seen").limit(k).select(key, "score")
 
 
+def chunk_hits(vectors: DataFrame, chunks: DataFrame, query: list[float], k: int = 10) -> DataFrame:
+    """Q3: the nearest chunks themselves: ``chunk_id, node_id, heading, start_line, end_line, excerpt, score``."""
+    near = knn(vectors, query, k, "chunk_id")
+    rows = chunks.select(F.col("id").alias("chunk_id"), "node_id", "heading", "start_line", "end_line", X.excerpt("content").alias("excerpt"))
+    return near.join(rows, "chunk_id").select("chunk_id", "node_id", "heading", "start_line", "end_line", "excerpt", "score").orderBy(F.desc("score"), "chunk_id")
+
+
+def semantic_notes(vectors: DataFrame, chunks: DataFrame, query: list[float], k: int = 20, note_vectors: DataFrame | None = None) -> DataFrame:
+    """The best notes by their best chunk, from four times as many chunks; with no chunks at all, by the notes' own vectors."""
+    if note_vectors is not None and not vectors.limit(1).count():
+        return knn(note_vectors, query, k, "node_id").select("node_id", F.lit(None).cast("int").alias("chunk_index"), "score")
+    hits = knn(vectors, query, 4 * k, "chunk_id").join(chunks.select(F.col("id").alias("chunk_id"), "node_id", "chunk_index"), "chunk_id")
+    return best_chunk(hits).select("node_id", "chunk_index", "score").orderBy(F.desc("score"), "node_id").limit(k)
+
+
+def search_notes(docs: DataFrame, scores: DataFrame, query: str, key: str = "id", title: str = "title", body: str = "content") -> DataFrame:
+    """Scored documents with title and snippet, best first."""
+    rows = docs.select(key, F.col(title).alias("title"), snippet(body, query_terms(query)).alias("snippet"))
+    return scores.join(rows, key).select(key, "title", "score", "snippet").orderBy(F.desc("score"), key)
+
+
+def with_chunks(fused: DataFrame, hits: DataFrame, key: str = "node_id") -> DataFrame:
+    """Q4, ``unique=chunks``: the fields of each note's best chunk beside its fused score."""
+    best = best_chunk(hits, key).select(key, "chunk_id", "heading", "start_line", "end_line", "excerpt")
+    return fused.join(best, key, "left").orderBy(F.desc("score"), key)
+
+
+def grep_page(notes: DataFrame, pattern: str, regex: bool = False, case_sensitive: bool = False, context: int = 1, per_file: int = 5, files: int = 20, width: int = 400) -> DataFrame:
+    """F5 as it is asked: ``id, line, text, before, after, more``: the first ``per_file`` hits of the first ``files`` notes that have any, long
+    lines clipped around the hit; ``more`` tells of hits left out.  The notes are cut before their lines are taken apart."""
+    needle = ("" if case_sensitive else "(?i)") + (safe_pattern(pattern) if regex else re.escape(pattern).replace("\\ ", " "))
+    lines = F.split("content", r"\r?\n")
+    some = notes.where(F.exists(lines, lambda x: x.rlike(needle))).orderBy("id").limit(files).select("id", lines.alias("lines"))
+    hit = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.regexp_instr(x, F.lit(needle)).alias("first"))), lambda h: F.get("lines", h["at"]).rlike(needle))
+    rows = some.select("id", "lines", hit.alias("hits")).select("id", "lines", (F.size("hits") > per_file).alias("more"), F.explode(F.slice("hits", 1, per_file)).alias("h"))
+    clipped = lambda a, n: F.transform(F.slice("lines", a, n), lambda x: X.clip(x, 0, width))
+    start = F.greatest(F.col("h.at") - context, F.lit(0))
+    return rows.select(
+        "id", (F.col("h.at") + 1).alias("line"), X.clip(F.get("lines", F.col("h.at")), F.greatest(F.col("h.first") - 1, F.lit(0)), width).alias("text"),
+        clipped(start + 1, F.col("h.at") - start).alias("before"), clipped(F.col("h.at") + 2, F.lit(context)).alias("after"), "more",
+    )
+
+
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 20, key: str = "id") -> DataFrame:
     """Q4 over both searches, each asked for twice as many."""
     text = top(bm25(docs, query, key), "score", key, 2 * k)

@@ -301,7 +301,7 @@ def _(spark, d):
 
 
 @query("q5_excerpts", CUR + """, p AS (SELECT id, list_filter(string_split_regex(content, '\\n\\n+'), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')) AS ps FROM cur)
- SELECT id, coalesce(length(trim(ps[1])), 0) AS n FROM p""")
+ SELECT id, coalesce(length(trim(ps[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))), 0) AS n FROM p""")
 def _(spark, d):
     return _current(spark, d).select("id", F.length(X.note_excerpt("content", 1 << 20)).cast("long").alias("n"))
 

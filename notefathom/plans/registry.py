@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import nested, packed, references
-from . import queries
+from . import cases, queries, tools  # noqa: F401  cases and tools register their queries in those of queries
 
 QUERIES = {
     "p1_found": packed.p1_found,
