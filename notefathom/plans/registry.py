@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import nested, packed, references
-from . import cases, queries, tools  # noqa: F401  cases and tools register their queries in those of queries
+from . import cases, problems_sql, queries, tools  # noqa: F401  cases and tools register their queries in those of queries
 
 QUERIES = {
     "p1_found": packed.p1_found,
@@ -16,7 +16,7 @@ QUERIES = {
     "p4_bridge": nested.p4_bridge,
     **queries.QUERIES,
 }
-ORACLE: dict[str, str] = dict(queries.ORACLE)
+ORACLE: dict[str, str] = queries.ORACLE | {"p2_found": problems_sql.FOUND, "p2_report": problems_sql.REPORT, "p4_found": problems_sql.OBJECTS}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
