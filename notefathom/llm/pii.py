@@ -66,6 +66,8 @@ _HOST = re.compile(r"(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])")
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT|punto|point|Punkt)\s?[\])}>]\s?|\s(?:dot|DOT|punto|point|Punkt)\s)"
 _HOST_SPOKEN = re.compile(rf"(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-9])")
 _DOT_SPOKEN = re.compile(_DOT)
+# a spoken dot in the mailbox, and what stands before it
+_LOCAL_DOT = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9][A-Za-z0-9._%+\-]*)(?:\s?[\[({<]\s?(?:dot|DOT|punto|point|Punkt)\s?[\])}>]\s?|\s(?:dot|DOT|punto|point|Punkt)\s)$")
 _AT = re.compile(r"@|[\[({<]\s?(?:at|AT|@|arroba)\s?[\])}>]\s?| (?:at|AT|arroba) ")
 # Words that are no host and no mailbox.
 _NOT_HOST = frozenset("the a an this that our your his her their my its which what any some each every no one two three four five six seven eight nine ten eleven twelve noon midnight".split())
@@ -85,7 +87,10 @@ def _mails(t: str):
             if first not in _NOT_HOST and local[0].lower() not in _NOT_HOST and (len(mark) != 2 or " " in spoken[0] or spoken[0] == spoken[0].lower()):
                 host = spoken
         if host:
-            yield local.start(), host.end()
+            start = local.start()
+            while mark != "@" and (more := _LOCAL_DOT.search(t, _back(t, start, 4), start)) and more[1].lower() not in _NOT_HOST:
+                start = more.start()
+            yield start, host.end()
 
 
 # ---- identity numbers ---------------------------------------------------------------------------------------------
@@ -729,8 +734,8 @@ def _pieces(entity: str, kind: str) -> list[tuple[int, int, str]]:
     t, out = plain(entity), []
     last, marks = len(t), []
     if kind == "email" and (m := _AT.search(t)):
-        spoken = [x.span() for x in _DOT_SPOKEN.finditer(t, m.end())]
-        last, marks = spoken[-1][1] if spoken else last, [m.span(), *spoken]
+        spoken = [x.span() for x in _DOT_SPOKEN.finditer(t)]
+        last, marks = spoken[-1][1] if spoken and spoken[-1][0] >= m.end() else last, [m.span(), *spoken]
     for m in _TOKEN.finditer(t):
         a, b, w = m.start(), m.end(), m[0].lower()
         if a >= last or any(x <= a and b <= y for x, y in marks):

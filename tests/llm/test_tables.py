@@ -172,6 +172,7 @@ def names():
 @pytest.mark.parametrize(("text", "cases"), [
     ("mail <a.b+c@mail.site.example>, ok", [("a.b+c@mail.site.example", "email")]),
     ("x [at] y [dot] example [dot] net", [("x [at] y [dot] example [dot] net", "email")]),
+    ("à heis(dot)ada(at)cae(dot)test, or al dot bo [dot] kay at bee dot org", [("heis(dot)ada(at)cae(dot)test", "email"), ("al dot bo [dot] kay at bee dot org", "email")]),
     ("kit＠site.test and kay at bee dot org", [("kit＠site.test", "email"), ("kay at bee dot org", "email")]),
     ("pinned lib@1.2.3, ping @who.else, not at nine at the dot com audit", []),
     ("Call tel:+1-212-555-0100 now", [("+1-212-555-0100", "phone")]),
@@ -267,6 +268,7 @@ def test_one_entity_one_surrogate():
     home = s("Flat 3, 14 Old Mill Rd, Townham AB1 2CD", "address")
     assert re.match(r"Flat [1-9], [1-9]\d [A-Z][a-z]+ [A-Z][a-z]+ Rd, [A-Z]", home) and s("Musterstraße 12a", "address").split()[0].endswith("straße")
     mail = s("ada.byron7@mail.site.example", "email")
+    assert s("ada dot byron7 at mail dot site dot example", "email") == mail.replace("@", " at ").replace(".", " dot ")
     assert mail.split("@")[0].split(".")[0] == name[0].lower() and mail.endswith(".example") and "site" not in mail
 
 
