@@ -2,7 +2,7 @@
 
 Each object gets a Merkle identity: its canonical text is built bottom-up, with nested objects replaced by their own
 identities, and hashed.  Identical objects are stored once (``subtree_objects``); each occurrence is kept as a bridge row
-(``subtree_bridge``) with parent, key and ordinal, from which the records can be put together again.
+(``subtree_bridge``) with parent, key and ordinal.  With the rows of the roots beside them, ``rebuilt`` puts the records together again.
 
 Defined results: null, empty, cut-off or otherwise invalid JSON and roots without objects give no rows; a string whose
 text is a JSON object or list counts as that value; repeated keys of one object keep the last value.
@@ -17,9 +17,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import jsontext
-from ..session import table
+from ..session import cut_lineage, table
 
 _MAYBE = re.compile(r"\s*[\[{]")
 
@@ -45,8 +46,9 @@ def _scalar(v) -> str:
     return json.dumps(v, ensure_ascii=True)
 
 
-def flatten(root) -> list[tuple]:
-    """``(path, parent_path, key, ordinal, hash, parent_hash, canonical)`` of each object below ``root``, in document order.
+def flatten(root, whole: bool = False) -> list[tuple]:
+    """``(path, parent_path, key, ordinal, hash, parent_hash, canonical)`` of each object below ``root``, in document order; with ``whole`` also of
+    the root itself, which has no parent.
 
     Walks with an explicit stack, so depth is not bounded by the interpreter.
     """
@@ -72,7 +74,7 @@ def flatten(root) -> list[tuple]:
             x = _inside(x)
             if isinstance(x, (dict, list)):
                 stack.append((x, p, owner, k, n, here))
-    top = ""
+    top = text = ""
     below: dict[int, dict[int, str]] = {}
     for n in range(len(order) - 1, -1, -1):
         v, holder, mine = order[n]
@@ -97,27 +99,33 @@ def flatten(root) -> list[tuple]:
             name = text
         if holder >= 0:
             below.setdefault(holder, {})[n] = name
-    return [(p, pp, k, o, h, found[up][4] if up >= 0 else top, c) for p, pp, k, o, h, up, c in found]
+    out = [(p, pp, k, o, h, found[up][4] if up >= 0 else top, c) for p, pp, k, o, h, up, c in found]
+    if whole:
+        out.append(("$", None, "", 0, top or hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32], None, text))
+    return out
 
 
-def _bridge(batches):
-    for batch in batches:
-        rows = []
-        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if (root := jsontext.read(text)) is not jsontext.INVALID:
-                rows += [(rid, *x) for x in flatten(root)]
-        cols = list(zip(*rows)) if rows else [[]] * len(_BRIDGE)
-        cols = [[jsontext.clean(v) if isinstance(v, str) else v for v in c] for c in cols]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _BRIDGE)], schema=_BRIDGE)
+def _bridge(whole: bool):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (root := jsontext.read(text)) is not jsontext.INVALID:
+                    rows += [(rid, *x) for x in flatten(root, whole)]
+            cols = list(zip(*rows)) if rows else [[]] * len(_BRIDGE)
+            cols = [[jsontext.clean(v) if isinstance(v, str) else v for v in c] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _BRIDGE)], schema=_BRIDGE)
 
+    return run
 
-def _texts(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("frontmatter").contains("{")).select(F.col("row_id").cast("long"), F.col("frontmatter").cast("string"))
 
+def _texts(nodes: DataFrame, mark: str = "{") -> DataFrame:
+    return nodes.where(F.col("frontmatter").contains(mark)).select(F.col("row_id").cast("long"), F.col("frontmatter").cast("string"))
 
-def subtree_bridge(nodes: DataFrame) -> DataFrame:
-    """One row per occurrence of an object: where it is, its parent, its identity and canonical text."""
-    return _texts(nodes).mapInArrow(_bridge, _BRIDGE_DDL)
+
+def subtree_bridge(nodes: DataFrame, roots: bool = False) -> DataFrame:
+    """One row per occurrence of an object: where it is, its parent, its identity and canonical text; ``roots`` adds a row with path ``$`` per record."""
+    return _texts(nodes, "" if roots else "{").mapInArrow(_bridge(roots), _BRIDGE_DDL)
 
 
 def subtree_objects(bridge: DataFrame) -> DataFrame:
@@ -125,6 +133,37 @@ def subtree_objects(bridge: DataFrame) -> DataFrame:
     return bridge.groupBy("obj_hash").agg(F.first("canonical").alias("canonical"), F.count("*").alias("occurrences"))
 
 
+_IDENTITY = re.compile(r'"(?:[^"\\]|\\.)*"|#([0-9a-f]{32})')
+
+
+@F.arrow_udf(T.StringType())
+def _expanded(roots: pa.Array, objects: pa.Array) -> pa.Array:
+    out = []
+    for text, known in zip(roots.to_pylist(), objects.to_pylist()):
+        texts = {o["obj_hash"]: o["canonical"] for o in known or []}
+        parts, todo = [], [text]
+        while todo:  # a stack of texts left to read, so depth is not bounded
+            piece, at = todo.pop(), 0
+            for m in _IDENTITY.finditer(piece):
+                if m[1]:
+                    parts.append(piece[at : m.start()])
+                    todo += [piece[m.end() :], texts[m[1]]]
+                    break
+            else:
+                parts.append(piece)
+        out.append("".join(parts))
+    return pa.array(out, pa.string())
+
+
+def rebuilt(bridge: DataFrame, objects: DataFrame) -> DataFrame:
+    """``row_id, record``: the canonical JSON of each record, from a bridge with roots (its canonical texts are not read) and the distinct objects.
+
+    ``row_id`` must be unique; what comes together per record is the objects of that record."""
+    each = bridge.select("row_id", "obj_path", "obj_hash").join(objects.select("obj_hash", "canonical"), "obj_hash")
+    per = each.groupBy("row_id").agg(F.collect_set(F.when(F.col("obj_path") != "$", F.struct("obj_hash", "canonical"))).alias("known"), F.max(F.when(F.col("obj_path") == "$", F.col("canonical"))).alias("root"))
+    return per.select("row_id", _expanded("root", "known").alias("record"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each object inside the frontmatter of ``nodes`` with its parent's path, through the identity bridge."""
     return subtree_bridge(table(spark, folder, "nodes")).select("row_id", "obj_path", "parent_path")
@@ -138,3 +177,9 @@ def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
 def p4_bridge(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of those objects with parent identity, key and ordinal."""
     return subtree_bridge(table(spark, folder, "nodes")).drop("canonical")
+
+
+def p4_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frontmatter that is an object or list, in canonical form, put together from the stored objects and the bridge."""
+    bridge = cut_lineage(subtree_bridge(table(spark, folder, "nodes"), roots=True))
+    return rebuilt(bridge, subtree_objects(bridge))

@@ -14,6 +14,7 @@ QUERIES = {
     "p4_found": nested.p4_found,
     "p4_objects": nested.p4_objects,
     "p4_bridge": nested.p4_bridge,
+    "p4_rebuilt": nested.p4_rebuilt,
     **queries.QUERIES,
 }
 ORACLE: dict[str, str] = queries.ORACLE | {"p2_found": problems_sql.FOUND, "p2_report": problems_sql.REPORT, "p4_found": problems_sql.OBJECTS}

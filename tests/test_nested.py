@@ -68,3 +68,29 @@ def test_table(spark):
     assert (5, "$[0].a", "$[0]") in got and not any(r[0] in (2, 3, 4, 6) for r in got)
     objects = {r.canonical: r.occurrences for r in nested.subtree_objects(bridge).collect()}
     assert objects["{}"] == 4
+
+
+def plain(v):
+    """JSON texts in strings taken as what they are."""
+    if isinstance(v, str):
+        try:
+            w = json.loads(v)
+        except ValueError:
+            return v
+        return plain(w) if isinstance(w, (dict, list)) else v
+    if isinstance(v, dict):
+        return {k: plain(x) for k, x in v.items()}
+    return [plain(x) for x in v] if isinstance(v, list) else v
+
+
+def test_records_are_rebuilt_from_objects_and_bridge(spark):
+    trees = [
+        {"a": {"b": [{"c": 1}, {"c": 1}, [{}]]}, "s": '{"x": [{"y": "#0123456789abcdef0123456789abcdef"}]}'}, {}, [{"q": {}}, 1.5, None, "t"], {"k": 'x"y\\', "n": [True, False]}, {"only": "scalars"}, [], {"a": {"b": [{"c": 1}]}},
+    ]
+    rows = [(i, json.dumps(t)) for i, t in enumerate(trees)] + [(90, "{cut"), (91, None), (92, "5")]
+    bridge = nested.subtree_bridge(spark.createDataFrame(rows, "row_id long, frontmatter string"), roots=True).cache()
+    got = {r.row_id: json.loads(r.record) for r in nested.rebuilt(bridge.drop("canonical"), nested.subtree_objects(bridge)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(trees)}
+    deep = json.loads('{"a":' * 300 + "1" + "}" * 300)
+    bridge = nested.subtree_bridge(spark.createDataFrame([(1, json.dumps(deep))], "row_id long, frontmatter string"), roots=True)
+    assert json.loads(nested.rebuilt(bridge, nested.subtree_objects(bridge)).first().record) == deep
