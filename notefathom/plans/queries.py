@@ -602,14 +602,34 @@ def _(spark, d):
 # ---- rewrites -----------------------------------------------------------------------------------------------------
 
 
-@query("m1_search_and_replace")
+@query("m1_search_and_replace", LINES + """, rl AS (SELECT id, n, CASE WHEN inert THEN line ELSE regexp_replace(line, '(\\w+) kettle', 'kettle of \\1', 'g') END AS line, CASE WHEN inert THEN 0 ELSE len(regexp_extract_all(line, '(\\w+) kettle')) END AS k FROM fl)
+ SELECT id, md5(string_agg(line, chr(10) ORDER BY n)) AS content, sum(k)::BIGINT AS n FROM rl GROUP BY id HAVING sum(k) > 0""")
 def _(spark, d):
-    return rewrite.search_and_replace(_current(spark, d), r"(\w+) kettle", "kettle of $1", regex=True).select("id", F.md5("content").alias("content"), "n")
+    got = rewrite.search_and_replace(_current(spark, d), r"(\w+) kettle", "kettle of $1", regex=True)
+    return got.select("id", F.md5(F.regexp_replace("content", "\r\n", "\n")).alias("content"), F.col("n").cast("long").alias("n"))
 
 
-@query("m2_rename_tag")
+_TAG_IN_TEXT = "(?:^|[\\s])#([A-Za-z][A-Za-z0-9_-]*)"
+
+
+@query("m2_rename_tag", CUR + f""", ti AS (SELECT lower(unnest(regexp_extract_all(content, '{_TAG_IN_TEXT}', 1))) AS t FROM cur),
+ tf AS (SELECT lower(regexp_extract(trim(unnest(CASE WHEN json_type(frontmatter, '$.tags') = 'ARRAY' THEN json_extract_string(frontmatter, '$.tags[*]') ELSE [json_extract_string(frontmatter, '$.tags')] END)), '^#?([A-Za-z][A-Za-z0-9_-]*)', 1)) AS t FROM cur WHERE json_valid(frontmatter)),
+ best AS (SELECT i.t FROM (SELECT t, count(*) AS n FROM ti GROUP BY 1) i JOIN (SELECT t, count(*) AS n FROM tf GROUP BY 1) f USING (t) WHERE length(t) > 4 ORDER BY least(i.n, f.n) DESC, t LIMIT 1),
+ pt AS (SELECT '(^|[\\s])#(?i:' || t || ')($|[^\\p{{L}}\\p{{N}}_-])' AS a, '(["\\s,\\[])(#?)(?i:' || t || ')([^\\p{{L}}\\p{{N}}_-])' AS b FROM best),
+ sg AS (SELECT *, regexp_extract(frontmatter, '"tags": (\\[[^\\]]*\\]|"(?:[^"\\\\]|\\\\.)*")', 1) AS x, regexp_extract(frontmatter, '"tag": (\\[[^\\]]*\\]|"(?:[^"\\\\]|\\\\.)*")', 1) AS y, coalesce(json_valid(frontmatter), false) AS good FROM cur, pt),
+ rn AS (SELECT *, regexp_replace(content, a, '\\1#cargo\\2', 'g') AS c, coalesce(len(regexp_extract_all(content, a)), 0) AS m, CASE WHEN good THEN len(regexp_extract_all(x, b)) + len(regexp_extract_all(y, b)) ELSE 0 END AS k,
+   replace(replace(frontmatter, '"tags": ' || x, '"tags": ' || regexp_replace(x, b, '\\1\\2cargo\\3', 'g')), '"tag": ' || y, '"tag": ' || regexp_replace(y, b, '\\1\\2cargo\\3', 'g')) AS f FROM sg)
+ SELECT id, md5(c) AS content, md5(CASE WHEN good THEN f ELSE frontmatter END) AS frontmatter, m + k AS n FROM rn WHERE m + k > 0""")
 def _(spark, d):
-    return rewrite.rename_tag_whole(_current(spark, d), "shipment", "cargo").select("id", F.md5("content").alias("content"), F.md5("frontmatter").alias("frontmatter"), "n")
+    now = _current(spark, d)
+    inline = now.select(F.explode(F.regexp_extract_all("content", F.lit(_TAG_IN_TEXT), F.lit(1))).alias("t")).groupBy(F.lower("t").alias("t")).agg(F.count("*").alias("i"))
+    tag = F.lower(F.regexp_extract(F.trim("t"), "^#?([A-Za-z][A-Za-z0-9_-]*)", 1))
+    v = X.valid_json("frontmatter")
+    listed = F.coalesce(F.try_variant_get(v, "$.tags", "array<string>"), F.array(F.try_variant_get(v, "$.tags", "string")))
+    front = now.select(F.explode(listed).alias("t")).groupBy(tag.alias("t")).agg(F.count("*").alias("f"))
+    best = inline.join(front, "t").where("length(t) > 4").orderBy(F.desc(F.least("i", "f")), "t").select("t").first()
+    got = rewrite.rename_tag_whole(now, best.t if best else "shipment", "cargo")
+    return got.select("id", F.md5("content").alias("content"), F.md5("frontmatter").alias("frontmatter"), F.col("n").cast("long").alias("n"))
 
 
 @query("m4_move_note", CUR + _INDEX_LINKS + ", asked AS (SELECT source_id, target AS raw FROM iy)" + _LINK_PATHS + """,
