@@ -54,6 +54,32 @@ def index_pass(old_notes: DataFrame, old_sync: DataFrame, disk: DataFrame) -> tu
     return notes, sync, stats.select("indexed", (F.col("seen") - F.col("indexed")).alias("skipped"), "deleted")
 
 
+def single_pass(notes: DataFrame, edges: DataFrame, sync: DataFrame, file: DataFrame, removed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(notes, edges, sync)`` after one file of ``file(path, mtime, raw)`` was written or removed.
+
+    Links are resolved against the paths in ``sync`` and the file's own; those that lead nowhere go to a placeholder, and links that waited for this
+    file's placeholder go to the file.  Edges are ``source_id, target_id, context``."""
+    from ..sources.vault import links_of
+    from .names import link_paths
+
+    gone = file.select(F.col("path").alias("id"))
+    kept_notes = notes.join(gone, "id", "left_anti")
+    kept_edges = edges.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").select("source_id", "target_id", "context")
+    kept_sync = sync.join(file.select("path"), "path", "left_anti")
+    stub = F.concat(F.lit("_stub/"), "target_id")
+    own = gone.select(F.col("id").alias("own"))
+    if removed:
+        pointed = kept_edges.join(own, F.col("target_id") == F.col("own"), "left").select("source_id", F.when(F.col("own").isNotNull(), stub).otherwise(F.col("target_id")).alias("target_id"), "context")
+        return kept_notes, pointed, kept_sync
+    fresh = parse(file)
+    raw = links_of(fresh).select("source_id", F.col("target").alias("raw"), "context").where("raw != ''")
+    known = sync.select(F.col("path").alias("id")).union(gone).distinct()
+    made = raw.join(link_paths(raw, known), ["source_id", "raw"], "left").select("source_id", F.coalesce("path", F.concat(F.lit("_stub/"), F.regexp_replace("raw", r"\.md$", ""), F.lit(".md"))).alias("target_id"), "context")
+    waited = own.withColumn("stub", F.concat(F.lit("_stub/"), "own"))
+    pointed = kept_edges.join(waited, F.col("target_id") == F.col("stub"), "left").select("source_id", F.coalesce("own", "target_id").alias("target_id"), "context")
+    return kept_notes.unionByName(fresh, allowMissingColumns=True), pointed.unionByName(made), kept_sync.unionByName(file.select("path", "mtime"), allowMissingColumns=True)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """``id, title, content, frontmatter`` of ``files(path, raw)``; the title is the frontmatter's, or the file's name."""
     from ..functions import text as X

@@ -171,6 +171,12 @@ def first_spelling(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(F.lower(value).alias("key")).agg(F.min_by(value, order).alias(value))
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in an order; an aggregate, so nothing is sorted."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*keys, "x.*")
+
+
 def ranked_by(rows: DataFrame, keys: list) -> DataFrame:
     """A short list with its places from 1 in an order."""
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))

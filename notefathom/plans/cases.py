@@ -72,6 +72,11 @@ columns("e6_inline_tag_cases", lambda x: F.array_join(M.inline_tags(x), "|"), [(
 columns("e9_chunk_text", lambda x: M.chunk_text(F.nullif(F.split(x, r"\|")[0], F.lit("")), F.split(x, r"\|")[1]), [("Head|body text", "Head\n\nbody text"), ("|only", "only")])
 columns("e9_note_text", lambda x: M.note_text(F.lit("T"), F.array(F.lit("a"), F.lit("b")), x), [("# H\n\nfirst para\n\nsecond", "T\na b\nfirst para"), ("# H", "T\na b")])
 
+texts("e9_fallback_text", M.fallback_text, [
+    (("Title", '{"tags": ["a", 5, "b"], "status": " open ", "n": 3, "ok": true, "_x": 1, "l": [1], "z": null}', "![[p.png|9]] [[q#h]] [[ ]]"), "Title\na, b\nstatus: open\nn: 3\nok: true\nLinks: p.png, q"),
+    (("", "{}", ""), ""), (("ab", None, None), ""), (("abc", "{bad", "[[a]][[b]][[c]][[d]][[e]][[f]]"), "abc\nLinks: a, b, c, d, e"),
+])
+
 _PART = "# A\none\n## B\ntwo ^id1\n# C\n- item\n  more ^id2\n\npara\n\n^id3\n## B\nlast"
 texts("e13_read_part", lambda how: M.read_part(_PART, **how), [
     (({"heading": "A > B"},), "## B\ntwo ^id1"), (({"heading": "a"},), "# A\none\n## B\ntwo ^id1"), (({"heading": "B"},), "error"), (({"heading": "none"},), "error"), (({"start": 2, "end": 3},), "one\n## B"),
@@ -211,6 +216,22 @@ def _wanted(spark, _):
 
 query("i1_wanted", "SELECT * FROM (VALUES ('a.md'), ('x/b.md')) t(path)")(_wanted)
 
+def _single_pass(removed: bool):
+    def run(spark, _):
+        notes = spark.createDataFrame([("A.md", "A", "x", "{}"), ("B.md", "B", "old", "{}")], "id string, title string, content string, frontmatter string")
+        edges = spark.createDataFrame([("A.md", "_stub/C.md", "c"), ("B.md", "A.md", "b"), ("A.md", "B.md", "d")], "source_id string, target_id string, context string")
+        sync = spark.createDataFrame([("A.md", 1), ("B.md", 1), ("x/D.md", 1)], "path string, mtime long")
+        file = spark.createDataFrame([("B.md" if removed else "C.md", 2, "see [[A]] and [[D]]\n\n[[nowhere]]")], "path string, mtime long, raw string")
+        n, e, s = incremental.single_pass(notes, edges, sync, file, removed)
+        return n.select(F.lit("note").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b")).union(e.select(F.lit("edge"), "source_id", "target_id")).union(s.select(F.lit("sync"), "path", F.col("mtime").cast("string")))
+
+    return run
+
+
+query("i6_single_write", """SELECT * FROM (VALUES ('note', 'A.md', ''), ('note', 'B.md', ''), ('note', 'C.md', ''), ('edge', 'A.md', 'C.md'), ('edge', 'B.md', 'A.md'), ('edge', 'A.md', 'B.md'), ('edge', 'C.md', 'A.md'), ('edge', 'C.md', 'x/D.md'), ('edge', 'C.md', '_stub/nowhere.md'),
+ ('sync', 'A.md', '1'), ('sync', 'B.md', '1'), ('sync', 'x/D.md', '1'), ('sync', 'C.md', '2')) t(kind, a, b)""")(_single_pass(False))
+query("i6_single_remove", "SELECT * FROM (VALUES ('note', 'A.md', ''), ('edge', 'A.md', '_stub/C.md'), ('edge', 'A.md', '_stub/B.md'), ('sync', 'A.md', '1'), ('sync', 'x/D.md', '1')) t(kind, a, b)")(_single_pass(True))
+
 # ---- scalar functions ---------------------------------------------------------------------------------------------
 
 columns("fn_number_to_string", lambda x: X.number_to_string(x.cast("double")), [

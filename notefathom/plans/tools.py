@@ -156,6 +156,11 @@ def _(spark, d):
     return names.first_spelling(rows, "tag", "tag")
 
 
+@query("w9_first_rows", "SELECT source_id, id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS r FROM edges) WHERE r = 1")
+def _(spark, d):
+    return names.first_rows(_edges(spark, d).select("source_id", "id", "target_id"), ["source_id"], ["id"])
+
+
 @query("o6_locale_order", "SELECT p_partkey, row_number() OVER (ORDER BY replace(lower(p_name), ' ', chr(1)), p_partkey) AS place FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 200)")
 def _(spark, d):
     first = table(spark, d, "part").orderBy("p_partkey").limit(200)

@@ -66,6 +66,11 @@ def attachments(spark: SparkSession, root: str, folder: str | None = None, exten
     return rows.where(F.col("extension").isin([e.lower().lstrip(".") for e in extensions])) if extensions else rows
 
 
+def attachment_count(spark: SparkSession, root: str) -> int:
+    """Visible files that do not end in ``.md``, case told apart."""
+    return _files(spark, root).where(_visible(F.col("rel")) & ~F.col("rel").endswith(".md")).count()
+
+
 def file_info(root: str, path: str) -> dict:
     """S14."""
     p = safe_path(root, path)

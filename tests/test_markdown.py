@@ -111,3 +111,12 @@ def test_a_lone_carriage_return_ends_no_line():
 def test_excerpt_counts_units(spark):
     r = spark.range(1).select(X.excerpt(F.lit("🌱" * 150)).alias("long"), X.excerpt(F.lit("🌱" * 100)).alias("short")).first()
     assert r.long == "🌱" * 100 + "..." and r.short == "🌱" * 100
+
+
+def test_functions_in_sql(spark):
+    from notefathom.functions.register import register
+
+    assert "scan_tasks" in register(spark)
+    spark.createDataFrame([("# H ^b\n- [x] done [[A#h|al]]",)], "content string").createOrReplaceTempView("some_notes")
+    r = spark.sql("select scan_tasks(content)[0].state as s, scan_headings(content)[0].text as h, extract_links(content)[0].target as t, size(chunk_markdown(content)) as n, porter_tokens('running cats') as p from some_notes").first()
+    assert (r.s, r.h, r.t, r.p) == ("done", "H ^b", "A", ["run", "cat"])
