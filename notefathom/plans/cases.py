@@ -210,7 +210,7 @@ texts("i3_classified", debounce.classified, [(("removed",), "unlink"), (("create
 
 
 def _wanted(spark, _):
-    paths = ["a.md", "x/b.md", "x/b.txt", ".obsidian/c.md", "node_modules/d.md", "e/attachments/f.md", ".trash/g.md", "h.MD"]
+    paths = ["a.md", "x/b.md", "x/b.txt", ".settings/c.md", "node_modules/d.md", "e/attachments/f.md", ".trash/g.md", "h.MD"]
     return debounce.wanted(spark.createDataFrame([(p,) for p in paths], "path string"))
 
 
