@@ -85,7 +85,7 @@ class TextIndex:
         postings = inverted_index(docs, key, title, body, tokens).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         postings.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
         stored = docs.sparkSession.read.schema(postings.schema).parquet(path)
-        own = stored.groupBy(key).agg(F.first("len").alias("len")).agg(F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+        own = stored.agg(F.coalesce(F.sum(F.col("tf_title") + F.col("tf_body")), F.lit(0)).alias("words")).first()
         n = docs.count()
         return cls(path, key, postings.schema, buckets, n, own.words / n if n else 0.0)
 

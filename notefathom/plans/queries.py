@@ -279,8 +279,14 @@ def _(spark, d):
 _INDEXES: dict[tuple[str, str], search.TextIndex] = {}
 
 
+def _text_hits(spark, d, words: str) -> DataFrame:
+    """By the stored index of the documents where the session has one, else in one pass over the texts; the scores are the same."""
+    index = _INDEXES.get((spark.sparkContext.applicationId, d))
+    return index.search(words, spark) if index else search.bm25(table(spark, d, "documents"), words, "doc_id", "source", "text")
+
+
 def _index(spark, d) -> search.TextIndex:
-    """The stored index of the documents, built by the first query of the session that needs it."""
+    """The stored index of the documents, built by the first query of the session that asks for it."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _INDEXES:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
@@ -330,7 +336,7 @@ def _(spark, d):
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     near = v.withColumnRenamed("vec_id", "doc_id")
-    text = search.top(_index(spark, d).search("bridge kettle", spark), "score", "doc_id", 40)
+    text = search.top(_text_hits(spark, d, "bridge kettle"), "score", "doc_id", 40)
     return search.fuse([search.knn(near, _vector(v), 40, "doc_id"), text], "doc_id", 20).select("doc_id", F.round("score", 9).alias("score"))
 
 
