@@ -18,6 +18,8 @@ from .notes import live_edges
 HELD_EDGES = 4_000_000
 #: Rows of (source, vertex) that one block of sources is meant to make there.
 BLOCK_ROWS = 2_000_000_000
+#: Rows whose sums a worker takes at a time, so that they stay in its cache, and links from which a vertex has its sum taken alone.
+PART_ROWS, HUB_LINKS = 2048, 64
 
 
 def build(notes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,41 +68,120 @@ def pagerank(notes: DataFrame, pairs: DataFrame, alpha: float = 0.85, tolerance:
     return notes.select("id").join(ranks.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
 
 
+def _held(x: np.ndarray, y: np.ndarray, sources: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """``start, ends, sources, names``: adjacency arrays of the vertices numbered anew by falling degree, each one's neighbours ascending, and the
+    sources so that those with the same best-linked neighbours come together: their distances differ little, so their levels are the same rows."""
+    names = np.argsort(-np.bincount(x, minlength=n), kind="stable")
+    place = np.empty(n, np.int32)
+    place[names] = np.arange(n, dtype=np.int32)
+    x, y = place[x], place[y]
+    order = np.lexsort((y, x))
+    start, ends = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]), y[order]
+    first = start[:-1][place[sources]]
+    return start, ends, place[sources][np.lexsort((ends[np.minimum(first + 1, len(ends) - 1)], ends[first]))], names
+
+
+def _neighbours_of(start, ends, rows, todo):
+    """The vertices of ``todo`` next to ``rows``, ascending."""
+    sizes = start[rows + 1] - start[rows]
+    near = ends[np.repeat(start[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    near = near[todo[near]]
+    if len(near) < len(todo) // 8:
+        return np.unique(near)
+    met = np.zeros(len(todo), bool)
+    met[near] = True
+    return np.flatnonzero(met)
+
+
+def _sums(start, ends, values, rows, out):
+    """Put the sum of its neighbours' ``values`` into ``out`` for each of the ascending ``rows``; yields the parts that are done.
+
+    Degrees fall along the rows, so the k-th neighbours of a part are those of its first rows: they are added as one block."""
+    first, sizes = start[rows], start[rows + 1] - start[rows]
+    spare = np.empty((min(PART_ROWS, len(rows)), values.shape[1]), values.dtype)
+    for lo in range(0, len(rows), PART_ROWS):
+        part = slice(lo, min(lo + PART_ROWS, len(rows)))
+        hubs = lo + int(np.searchsorted(-sizes[part], -HUB_LINKS))
+        for i in range(lo, hubs):
+            np.add.reduce(np.take(values, ends[first[i] : first[i] + sizes[i]], axis=0), axis=0, out=out[i])
+        if hubs < part.stop:
+            at, size, to = first[hubs : part.stop], sizes[hubs : part.stop], out[hubs : part.stop]
+            np.take(values, ends[at], axis=0, out=to, mode="clip")
+            for k, c in enumerate(np.searchsorted(-size, -np.arange(1, size[0])).tolist(), 1):
+                to[:c] += np.take(values, ends[at[:c] + k], axis=0, out=spare[:c], mode="clip")
+        yield part
+
+
+def _levels(start, ends, sources, values):
+    """Breadth-first levels of a block of sources, a column each: the rows that are on the level of some source, and the number of shortest paths
+    where they are, 0 elsewhere.  None if a number is too large for ``values`` to count exactly."""
+    n, b, at = len(start) - 1, len(sources), np.arange(len(sources))
+    unseen, todo = np.ones((n, b), bool), np.ones(n, bool)
+    unseen[sources, at] = False
+    rows = np.sort(sources)
+    paths = np.zeros((b, b), values.dtype)
+    paths[np.searchsorted(rows, sources), at] = 1
+    levels = []
+    while len(rows):
+        levels.append((rows, paths))
+        values[rows] = paths
+        to = _neighbours_of(start, ends, rows, todo)
+        out, some, most = np.empty((len(to), b), values.dtype), np.empty(len(to), bool), 0.0
+        for part in _sums(start, ends, values, to, out):
+            r, got = to[part], out[part]
+            left = unseen[r]
+            got *= left
+            fresh, most = got != 0, max(most, got.max())
+            left &= ~fresh
+            unseen[r], todo[r], some[part] = left, left.any(axis=1), fresh.any(axis=1)
+        values[rows] = 0
+        if values.dtype == np.float32 and most >= 1 << 24:
+            return None
+        rows, paths = (to, out) if some.all() else (to[some], np.compress(some, out, axis=0))
+    return levels
+
+
 def _brandes(held, n: int):
-    """Dependencies of sources given by number, on adjacency arrays that every worker holds."""
+    """Dependencies of blocks of sources given by number, on adjacency arrays that every worker holds.
+
+    The sources of a block are columns of one matrix, so each link is followed once for all of them on a level.  Paths are counted in 32-bit floats,
+    which are exact below 2^24, and again in 64-bit ones where there are more."""
+    width = block_width(n)
 
     def run(batches):
-        start, ends = held.value
+        start, ends, sources, names = held.value
         total = np.zeros(n)
+        room = {}
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                depth = np.full(n, -1, np.int32)
-                sigma = np.zeros(n)
-                depth[s], sigma[s] = 0, 1.0
-                frontier, levels, d = np.array([s]), [], 0
-                while len(frontier):
-                    sizes = start[frontier + 1] - start[frontier]
-                    src = np.repeat(frontier, sizes)
-                    at = np.repeat(start[frontier] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                    dst = ends[at]
-                    fresh = np.unique(dst[depth[dst] < 0])
-                    depth[fresh] = d + 1
-                    on = depth[dst] == d + 1
-                    src, dst = src[on], dst[on]
-                    np.add.at(sigma, dst, sigma[src])
-                    levels.append((src, dst))
-                    frontier, d = fresh, d + 1
-                delta = np.zeros(n)
-                for src, dst in reversed(levels):
-                    np.add.at(delta, src, sigma[src] / sigma[dst] * (1 + delta[dst]))
-                delta[s] = 0
-                total += delta
+            for k in batch.column(0).to_pylist():
+                block = sources[k * width : (k + 1) * width]
+                b = len(block)
+                for kind in (np.float32, np.float64):
+                    if (kind, b) not in room:
+                        room[kind, b] = np.zeros((n, b), kind)
+                levels = _levels(start, ends, block, room[np.float32, b]) or _levels(start, ends, block, room[np.float64, b])
+                values, due = room[np.float64, b], None
+                for (rows, paths), (above, fewer) in zip(levels[:1:-1], levels[-2:0:-1]):
+                    values[rows] = np.minimum(paths, 1.0) / np.maximum(paths, 1.0).astype(float) if due is None else due
+                    due = np.empty((len(above), b))
+                    for part in _sums(start, ends, values, above, due):
+                        got, p = due[part], fewer[part]
+                        got *= p
+                        total[above[part]] += got.sum(axis=1)
+                        got += np.minimum(p, 1)  # now (1 + delta) / sigma, 0 where the row is on another level
+                        got /= np.maximum(p, 1)
+                    values[rows] = 0
         got = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(total[got])], ["v", "delta"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[got]), pa.array(total[got])], ["v", "delta"])
 
     return run
 
 
+def block_width(n: int) -> int:
+    """Sources a worker walks from at once: fewer on a large graph, as its matrices have a row per vertex."""
+    return max(1, min(32, (1 << 22) // n))
+
+
 def _brandes_joined(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Dependencies of a block of sources by joins: one breadth-first round per level, then back."""
     seen = cut_lineage(sources.select(F.col("v").alias("s"), "v", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
@@ -135,8 +216,8 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
 def betweenness(notes: DataFrame, pairs: DataFrame, pivots: int | None = None, seed: int = 42, rows: int = BLOCK_ROWS) -> DataFrame:
     """Brandes' sums, scaled by 1 / ((n - 1)(n - 2)).
 
-    Exact sums cost vertices times edges, whatever the plan.  A graph of checked size goes to every worker as integers, and the sources are spread
-    over them.  A larger one is walked by joins keyed by (source, vertex), as many sources at once as make about ``rows`` such rows.
+    Exact sums cost vertices times edges, whatever the plan.  A graph of checked size goes to every worker as integers, and blocks of sources are
+    spread over them.  A larger one is walked by joins keyed by (source, vertex), as many sources at once as make about ``rows`` such rows.
     ``pivots`` takes that many sources, drawn by hash, and scales their sums up: an estimate, for graphs on which exact sums are out of reach.
     """
     n = notes.count()
@@ -156,8 +237,9 @@ def betweenness(notes: DataFrame, pairs: DataFrame, pivots: int | None = None, s
     if m <= HELD_EDGES:
         got = links.select(F.col("x").cast("int"), F.col("y").cast("int")).toArrow()  # 2 * HELD_EDGES rows of 8 bytes at most
         x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
-        held = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size))]), y[np.argsort(x, kind="stable")]))
-        spread = sources.repartition(max(spark.sparkContext.defaultParallelism, size // 4096), "v")
+        held = spark.sparkContext.broadcast(_held(x, y, sources.toArrow().column("v").to_numpy(), size))
+        blocks = -(-len(held.value[2]) // block_width(size))
+        spread = spark.range(0, blocks, 1, min(blocks, 8 * spark.sparkContext.defaultParallelism))
         sums = spread.mapInArrow(_brandes(held, size), "v long, delta double").groupBy("v").agg(F.sum("delta").alias("delta"))
     else:
         blocks = max(1, -(-sources.count() * size // rows))

@@ -3,7 +3,10 @@ import math
 import random
 import re
 from collections import defaultdict, deque
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +272,26 @@ def test_betweenness(spark, held, monkeypatch):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_betweenness_walks_many_sources_at_once(spark, monkeypatch):
+    # a hub, twins by the dozen with over 2^24 shortest paths between the ends, a chain, and a part that nothing else reaches
+    pairs = [("hub", f"s{i:03}") for i in range(100)] + [(f"s{i:03}", f"s{i * 7 % 100:03}") for i in range(2, 60)] + [("x1", "x2"), ("x2", "x3")]
+    pairs += [(f"t{i:02}{a}", f"t{i + 1:02}{b}") for i in range(27) for a in "ab" for b in "ab"] + [("s005", "t00a"), *((f"c{i}", f"c{i + 1}") for i in range(9)), ("c0", "s050")]
+    pairs = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    ids = sorted({v for p in pairs for v in p})
+    n, e = vault(spark, dict.fromkeys([*ids, "alone"], "")), edges(spark, pairs)
+    got = {r.id: r.score for r in graph.betweenness(n, graph.undirected(graph.build(n, e))).collect()}
+    want = brandes([*ids, "alone"], pairs)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+
+    number = {v: i for i, v in enumerate(ids)}
+    x, y = (np.array([number[p[k]] for p in pairs] + [number[p[1 - k]] for p in pairs]) for k in (0, 1))
+    held = graph._held(x, y, np.arange(len(ids)), len(ids))
+    walked, sums, blocks = [], graph._sums, -(-len(ids) // graph.block_width(len(ids)))
+    monkeypatch.setattr(graph, "_sums", lambda start, ends, values, rows, out: walked.append(int((start[rows + 1] - start[rows]).sum())) or sums(start, ends, values, rows, out))
+    list(graph._brandes(SimpleNamespace(value=held), len(ids))([pa.RecordBatch.from_arrays([pa.array(range(blocks))], ["id"])]))
+    assert 0 < sum(walked) < 2 * len(pairs) * len(ids)  # each source alone would walk all links there and most of them back
+
+
 def test_betweenness_from_pivots(spark):
     ids, pairs, n, e = random_graph(spark, 11)
     und, want = graph.undirected(graph.build(n, e)), brandes(ids, pairs)
