@@ -10,8 +10,8 @@ source differs from its quota by about half a document at either end of its segm
 The seeded order needs running sums.  They are taken in two levels, over hash buckets and within one bucket, so no task ever
 holds a whole source.
 
-A plan of n sources may have up to 2^n patterns.  Where a plan has over ``MOST_PATTERNS``, the largest are routed as they are and the
-documents of the others count for the source of theirs with the greatest share; every document still takes part.
+A plan of n sources may have up to 2^n patterns.  All of them are routed as they are: path by path, and where a plan has over
+``MOST_PATTERNS``, by blocking flows, which send along all paths of one cost together and end at the same least cost.
 
 Defined results: sources are compared trimmed and lower-cased; documents with a null source, or none of the plan's, stay
 out, as do documents without tokens; a source with a share but without tokens reaches 0 and its share goes to
@@ -31,7 +31,7 @@ from .bpe import VOCABULARY, token_count
 
 #: Documents that one hash bucket of a pattern is meant to hold.
 BUCKET_ROWS = 20_000
-#: Membership patterns of a plan whose flow is solved whole; the smallest of more are routed as one per lead source.
+#: Membership patterns of a plan whose flow is sent path by path; the flow of more is sent along all paths of one cost together.
 MOST_PATTERNS = 10_000
 
 
@@ -47,6 +47,7 @@ class Flow:
         self.ends: list = []
         self.room: list[int] = []
         self.step: list[int] = []  # 0: no cost
+        self.reached: set = set()  # once ``run`` has fallen short: what the source still reaches
 
     def edge(self, a, b, capacity: int, step: int = 0) -> int:
         for x, y, room in ((a, b, capacity), (b, a, 0)):
@@ -68,8 +69,8 @@ class Flow:
         k, into = divmod(self.room[e ^ 1], step)
         return k, min(self.room[e], step - into)
 
-    def run(self, source, sink, need: int) -> int:
-        """Send up to ``need`` along cheapest paths; returns what was sent."""
+    def run(self, source, sink, need: int, together: bool = False) -> int:
+        """Send up to ``need`` along cheapest paths, one at a time or all of one cost ``together``; returns what was sent."""
         sent = 0
         while sent < need:
             best, via = {source: 0}, {}
@@ -86,7 +87,11 @@ class Flow:
                             queued.add(to)
                             queue.append(to)
             if sink not in best:
+                self.reached = set(best)
                 break
+            if together:
+                sent += self._cheapest(source, sink, need - sent, best)
+                continue
             path, v = [], sink
             while v != source:
                 v, e = via[v]
@@ -98,6 +103,46 @@ class Flow:
             sent += push
         return sent
 
+    def _cheapest(self, source, sink, need: int, best: dict) -> int:
+        """Send up to ``need`` along paths that cost as much as the cheapest, by the distances ``best`` from the source."""
+        sent = 0
+        while sent < need:
+            level, queue = {source: 0}, [source]
+            open_at: dict = {}
+            for v in queue:
+                open_at[v] = [e for e in self.graph[v] if self.room[e] and best.get(self.ends[e]) == best[v] + self._next(e)[0]]
+                for e in open_at[v]:
+                    if self.ends[e] not in level:
+                        level[self.ends[e]] = level[v] + 1
+                        queue.append(self.ends[e])
+            if sink not in level:
+                break
+            path, v = [], source
+            while sent < need:
+                if v == sink:
+                    push = min([need - sent, *(self._next(e)[1] for e in path)])
+                    for e in path:
+                        self.room[e] -= push
+                        self.room[e ^ 1] += push
+                    sent += push
+                    path, v = [], source
+                    continue
+                while open_at[v]:  # from the last; what no longer leads on at this cost goes for good
+                    e = open_at[v][-1]
+                    to = self.ends[e]
+                    if level.get(to) == level[v] + 1 and self.room[e] and best[to] == best[v] + self._next(e)[0]:
+                        break
+                    open_at[v].pop()
+                if open_at[v]:
+                    path.append(e)
+                    v = to
+                elif path:
+                    v = self.ends[path.pop() ^ 1]
+                    open_at[v].pop()
+                else:
+                    break
+        return sent
+
     def flow(self, e: int) -> int:
         return self.room[e ^ 1]
 
@@ -116,28 +161,41 @@ def route(shares: dict[str, float], repeats: dict[str, int], tokens: dict[tuple[
     shares = {s: w / whole for s, w in shares.items()}
     patterns = {p: n for p, n in tokens.items() if n > 0 and any(s in shares for s in p)}
 
-    def solve(total: int, convex: bool) -> tuple[int, dict]:
+    together = len(patterns) > MOST_PATTERNS
+    node = {x: i for i, x in enumerate([*patterns, *shares])}  # sources by name, patterns as tuples
+
+    def solve(total: int, convex: bool) -> tuple[int, dict, Flow, dict]:
         net, arcs = Flow(), {}
         quotas = _quotas(shares, total)
         for p, n in patterns.items():
             most = max(repeats[s] for s in p if s in shares)
-            net.edge("from", p, n * most, n if convex else 0)
+            net.edge("from", node[p], n * most, n if convex else 0)
             for s in p:
                 if s in shares:
-                    arcs[p, s] = net.edge(p, ("source", s), n * repeats[s])
-        for s, q in quotas.items():
-            net.edge(("source", s), "to", q)
-        sent = net.run("from", "to", sum(quotas.values()))
-        return sum(quotas.values()) - sent, {k: net.flow(e) for k, e in arcs.items()}
-
-    lo, hi = 0, sum(n * max(repeats[s] for s in p if s in shares) for p, n in patterns.items()) + len(shares)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if solve(mid, False)[0] == 0:
-            lo = mid
-        else:
-            hi = mid - 1
-    return {k: f for k, f in solve(lo, True)[1].items() if f}
+                    arcs[p, s] = net.edge(node[p], node[s], n * repeats[s])
+        ends = {s: net.edge(node[s], "to", q) for s, q in quotas.items()}
+        sent = net.run("from", "to", sum(quotas.values()), together)
+        return sum(quotas.values()) - sent, arcs, net, ends
+
+    total = sum(n * max(repeats[s] for s in p if s in shares) for p, n in patterns.items()) + len(shares)
+    while True:
+        short, _, net, ends = solve(total, False)
+        if not short:
+            break
+        # the sources that the flow no longer reaches got all there is for them: the total falls until their quotas fit into that
+        full = [s for s in shares if node[s] not in net.reached]
+        there = sum(net.flow(ends[s]) for s in full)
+        lo, hi = 0, total - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            quotas = _quotas(shares, mid)
+            if sum(quotas[s] for s in full) <= there:
+                lo = mid
+            else:
+                hi = mid - 1
+        total = lo
+    _, arcs, net, _ = solve(total, True)
+    return {k: f for k, e in arcs.items() if (f := net.flow(e))}
 
 
 def _seeded(key, seed: int):
@@ -177,11 +235,7 @@ def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> tuple[DataFram
     by_bucket = cut_lineage(member.groupBy("plan_name", "pattern", "bucket").agg(F.sum("n_tokens").alias("held")))
     tokens: dict[str, dict] = defaultdict(dict)
     whole = by_bucket.groupBy("plan_name", "pattern").agg(F.sum("held").alias("n"))
-    if whole.groupBy("plan_name").count().where(F.col("count") > MOST_PATTERNS).limit(1).count():
-        member = _led(member, whole, plans)
-        by_bucket = cut_lineage(member.groupBy("plan_name", "pattern", "bucket").agg(F.sum("n_tokens").alias("held")))
-        whole = by_bucket.groupBy("plan_name", "pattern").agg(F.sum("held").alias("n"))
-    for r in whole.collect():  # at most MOST_PATTERNS and one per source, of each plan
+    for r in whole.toLocalIterator():  # a number per plan and pattern; the flow of a plan takes all of them at once
         tokens[r.plan_name][tuple(r.pattern)] = r.n
 
     segments = []
@@ -200,7 +254,7 @@ def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> tuple[DataFram
     mixed = (
         member.withColumn("inside", inside)
         .join(starts, ["plan_name", "pattern", "bucket"])
-        .join(F.broadcast(cuts), ["plan_name", "pattern"])
+        .join(F.broadcast(cuts) if len(segments) <= MOST_PATTERNS else cuts, ["plan_name", "pattern"])
         .withColumn("first", F.col("before") + F.col("inside") + F.expr("n_tokens div 2"))
         .withColumn("occurrences", F.greatest(ceil("seg_to - first"), F.lit(0)) - F.greatest(ceil("seg_from - first"), F.lit(0)))
         .where("occurrences > 0")
@@ -219,20 +273,6 @@ def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> tuple[DataFram
     return mixed, shares
 
 
-def _led(member: DataFrame, whole: DataFrame, plans: dict) -> DataFrame:
-    """``member`` with the smallest patterns of a plan that has too many taken as their lead source alone: the one of the greatest share."""
-    kept = cut_lineage(
-        whole.withColumn("place", F.row_number().over(Window.partitionBy("plan_name").orderBy(F.desc("n"), "pattern")))
-        .where(F.col("place") <= MOST_PATTERNS).select("plan_name", "pattern", F.lit(True).alias("kept"))
-    )
-    shares = member.sparkSession.createDataFrame([(n, {r.source: float(r.share) for r in rows}) for n, rows in plans.items()], "plan_name string, weight map<string, double>")
-    lead = F.array_max(F.transform("pattern", lambda s: F.struct(F.col("weight")[s].alias("w"), s.alias("s"))))["s"]
-    return (
-        member.join(kept, ["plan_name", "pattern"], "left").join(F.broadcast(shares), "plan_name")  # a configuration table: one row per plan
-        .withColumn("pattern", F.when(F.col("kept"), F.col("pattern")).otherwise(F.array(lead))).drop("kept", "weight")
-    )
-
-
 def _order(*by: str, within: list[str] | None = None):
     return Window.partitionBy("plan_name", "pattern", *(within or [])).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
 

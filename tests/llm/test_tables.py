@@ -126,6 +126,35 @@ def test_flow_has_no_cheaper_exchange():
                     assert use[q] // n >= (use[p] - 1) // tokens[p]
 
 
+def test_many_patterns_are_routed_whole(monkeypatch):
+    # together or path by path: the same total, and the same least cost
+    def cost(got, tokens):
+        used = {p: sum(f for (q, _), f in got.items() if q == p) for p in tokens}
+        return sum(n * (k * (k - 1) // 2) + k * (used[p] - n * k) for p, n in tokens.items() for k in [used[p] // n])
+
+    rng = random.Random(8)
+    for turn in range(40):
+        names = "abcde"[: rng.randrange(2, 6)]
+        every = [tuple(s for i, s in enumerate(names) if k >> i & 1) for k in range(1, 1 << len(names))]
+        tokens = {p: rng.randrange(1, 60) for p in rng.sample(every, rng.randrange(1, len(every) + 1))}
+        plan, repeats = {s: rng.choice([0.0, 1.0, 2.0, 5.0]) for s in names}, {s: rng.randrange(0, 5) for s in names}
+        single = mixing.route(plan, repeats, tokens)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MOST_PATTERNS", 0)
+            many = mixing.route(plan, repeats, tokens)
+        assert all(sum(f for (_, t), f in single.items() if t == s) == sum(f for (_, t), f in many.items() if t == s) for s in names)
+        assert all(f <= tokens[p] * repeats[s] for (p, s), f in many.items()) and cost(single, tokens) == cost(many, tokens)
+
+
+def test_mixture_meets_quotas_with_small_patterns_beyond_the_most(spark, monkeypatch):
+    # "b" has its tokens only in the smallest pattern, which it shares with "a" of the greater share
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    sizes = spark.createDataFrame([(i, ["a"], 10) for i in range(300)] + [(1000 + i, ["a", "b"], 10) for i in range(100)], "doc_id long, sources array<string>, n_tokens long")
+    plan = spark.createDataFrame([("p", "a", 3.0, 1), ("p", "b", 1.0, 1)], "plan_name string, source string, target_share double, max_repeats int")
+    got = {r.source: r.tokens for r in mixing.mixture(sizes, plan)[1].collect()}
+    assert got == {"a": 3000, "b": 1000}
+
+
 def test_mixture_of_overlapping_sources(spark):
     rng = random.Random(9)
     docs = [(i, rng.choice([["a"], ["b"], ["a", "b"], ["c", "a"], ["c"], ["x", "b"]]), rng.randrange(1, 40)) for i in range(4000)]
