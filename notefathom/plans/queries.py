@@ -452,7 +452,8 @@ _BRIDGING = "least(greatest(score / ((SELECT count(*) FROM cur)::DOUBLE * ((SELE
 
 @query("g5_bridging", TOP + _betweenness_sql(_LEVELS) + f" SELECT id, round({_BRIDGING}, 15) AS score FROM bt")
 def _(spark, d):
-    n, _, pairs = _pairs(spark, d)
+    n = cut_lineage(_current(spark, d).select("id"))  # read five times below
+    pairs = graph.undirected(graph.build(n, _edges(spark, d)))
     return graph.bridging(graph.betweenness(n, pairs), n.count()).select("id", F.round("score", 15).alias("score"))
 
 

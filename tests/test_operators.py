@@ -316,6 +316,14 @@ def test_bridging_of_a_path(spark):
     assert got == {"a": 0.0, "b": pytest.approx(1 / 3), "c": 0.0}
 
 
+def test_bridging_from_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "block_width", lambda n: 3)
+    ids, pairs, n, e = random_graph(spark, 17)
+    got = {r.id: r.score for r in graph.bridging(graph.betweenness(n, graph.undirected(graph.build(n, e))), len(ids)).collect()}
+    want = brandes(ids, pairs)
+    assert got == {k: pytest.approx(v / (len(ids) * (len(ids) - 1) / 2), abs=1e-15) for k, v in want.items()}
+
+
 def test_pagerank(spark):
     star = [("hub", f"s{i}") for i in range(5)]
     n = vault(spark, dict.fromkeys(["hub", "alone", *(f"s{i}" for i in range(5))], ""))
