@@ -266,6 +266,7 @@ def rank_notes(notes: DataFrame, edges: DataFrame, metric: str = "both", limit:
     each.  Scores that agree to 12 digits are ties, which the id breaks."""
     if metric not in ("influence", "bridging", "both"):
         raise ValueError(f"unknown metric {metric!r}")
+    notes = cut_lineage(notes.select("id", "title"))  # read time and again below
     directed = cut_lineage(build(notes, edges))
     pairs, lists = undirected(directed), {}
     if metric != "bridging":

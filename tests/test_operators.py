@@ -310,6 +310,17 @@ def test_rank_notes_of_both_kinds(spark):
         graph.rank_notes(n, e, "fame")
 
 
+def test_rank_notes_from_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "block_width", lambda n: 3)
+    ids, pairs, n, e = random_graph(spark, 23)
+    seen = spark.sparkContext.accumulator(0)
+    asked = F.udf(lambda s: seen.add(1) or s, "string").asNondeterministic()
+    got = graph.rank_notes(n.withColumn("title", asked("title")), e, limit=6).collect()
+    want = brandes(ids, pairs)
+    best = sorted(ids, key=lambda k: (-round(want[k] / (len(ids) * (len(ids) - 1) / 2), 12), k))[:6]
+    assert [r.id for r in got if r.metric == "bridging"] == best and seen.value == len(ids)  # the notes are worked out once
+
+
 def test_bridging_of_a_path(spark):
     n, e = vault(spark, dict.fromkeys("abc", "")), edges(spark, [("a", "b"), ("b", "c")])
     got = {r.id: r.score for r in graph.bridging(graph.betweenness(n, graph.undirected(graph.build(n, e))), 3).collect()}
