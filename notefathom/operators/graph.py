@@ -6,12 +6,16 @@ aggregating messages before they are shuffled.
 
 from __future__ import annotations
 
+import os
+import tempfile
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, discard
+from ..session import cut_lineage, discard, java_class
 from .notes import live_edges
 
 #: Undirected edges up to which a worker holds the whole graph for betweenness (8 bytes each way); above, it runs on joins.
@@ -182,6 +186,71 @@ def block_width(n: int) -> int:
     return max(1, min(32, (1 << 22) // n))
 
 
+def _alike(start: np.ndarray, ends: np.ndarray, sources: np.ndarray, block: int = 64, marks: int = 32, far: int = 8) -> np.ndarray:
+    """The sources so that those of a block have much the same distances: halved again and again along the direction in which their distances to the
+    best-linked vertices differ most.  Only the time hangs on it, so distances from ``far`` on count as one."""
+    n, x = len(start) - 1, np.repeat(np.arange(len(start) - 1, dtype=np.int32), np.diff(start))
+    away = np.full((len(sources), marks), far, np.float32)
+    for mark in range(min(marks, n)):
+        unseen, near = np.ones(n, bool), np.zeros(n, bool)
+        near[mark] = True
+        for d in range(far):
+            away[near[sources], mark] = d
+            unseen &= ~near
+            met = np.zeros(n, bool)
+            met[ends[near[x]]] = True
+            near = met & unseen
+    done, parts = [], [np.arange(len(sources))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= block:
+            done.append(part)
+            continue
+        rows = away[part] - away[part].mean(axis=0)
+        order = np.argsort(rows @ np.linalg.eigh(rows.T @ rows)[1][:, -1], kind="stable")
+        half = -(-(len(part) // 2) // block) * block
+        parts += [part[order[half:]], part[order[:half]]]
+    return sources[np.concatenate(done)]
+
+
+def _walker(spark, held) -> str | None:
+    """The name of an SQL function of two numbers, the sum of the dependencies of the sources from one to the other (``Betweenness.java``)."""
+    walk = java_class(spark, "notefathom.Betweenness", Path(__file__).with_name("Betweenness.java").read_text())
+    if walk is None:
+        return None
+    start, ends, sources, _ = held
+    n, sources = len(start) - 1, _alike(start, ends, sources)
+    file, path = tempfile.mkstemp()
+    try:
+        with os.fdopen(file, "wb") as out:
+            for part in ([n, len(ends), len(sources)], start, ends, sources):
+                np.asarray(part, "<i4").tofile(out)
+        gateway = spark.sparkContext._gateway
+        kinds = gateway.new_array(gateway.jvm.java.lang.Class, 2)
+        kinds[0], kinds[1] = spark.sparkContext._jsc.getClass(), gateway.jvm.java.lang.Class.forName("java.lang.String")
+        args = gateway.new_array(gateway.jvm.java.lang.Object, 2)
+        args[0], args[1] = spark.sparkContext._jsc, path
+        made = walk.getMethod("over", kinds).invoke(None, args)
+    finally:
+        os.unlink(path)
+    spark._jsparkSession.udf().register("notefathom_betweenness", made, gateway.jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+    return "notefathom_betweenness"
+
+
+def _by_vertex(names, n: int):
+    """Rows of the sums that ``_walker`` gives; ``names`` are the vertices by the numbers that those have there."""
+
+    def run(batches):
+        total = np.zeros(n)
+        for batch in batches:
+            for sums in batch.column(0):
+                total += np.frombuffer(sums.as_buffer(), "<f8")
+        got = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names.value[got]), pa.array(total[got])], ["v", "delta"])
+
+    return run
+
+
 def _brandes_joined(links: DataFrame, sources: DataFrame) -> DataFrame:
     """Dependencies of a block of sources by joins: one breadth-first round per level, then back."""
     seen = cut_lineage(sources.select(F.col("v").alias("s"), "v", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
@@ -216,8 +285,8 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
 def betweenness(notes: DataFrame, pairs: DataFrame, pivots: int | None = None, seed: int = 42, rows: int = BLOCK_ROWS) -> DataFrame:
     """Brandes' sums, scaled by 1 / ((n - 1)(n - 2)).
 
-    Exact sums cost vertices times edges, whatever the plan.  A graph of checked size goes to every worker as integers, and blocks of sources are
-    spread over them.  A larger one is walked by joins keyed by (source, vertex), as many sources at once as make about ``rows`` such rows.
+    Exact sums cost vertices times edges, whatever the plan.  A graph of checked size goes to every executor as integers, and blocks of sources
+    are spread over them (in Java; in numpy where Spark's Java compiler is missing).  A larger one is walked by joins keyed by (source, vertex), as many sources at once as make about ``rows`` such rows.
     ``pivots`` takes that many sources, drawn by hash, and scales their sums up: an estimate, for graphs on which exact sums are out of reach.
     """
     n = notes.count()
@@ -237,10 +306,18 @@ def betweenness(notes: DataFrame, pairs: DataFrame, pivots: int | None = None, s
     if m <= HELD_EDGES:
         got = links.select(F.col("x").cast("int"), F.col("y").cast("int")).toArrow()  # 2 * HELD_EDGES rows of 8 bytes at most
         x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
-        held = spark.sparkContext.broadcast(_held(x, y, sources.toArrow().column("v").to_numpy(), size))
-        blocks = -(-len(held.value[2]) // block_width(size))
-        spread = spark.range(0, blocks, 1, min(blocks, 8 * spark.sparkContext.defaultParallelism))
-        sums = spread.mapInArrow(_brandes(held, size), "v long, delta double").groupBy("v").agg(F.sum("delta").alias("delta"))
+        held = _held(x, y, sources.toArrow().column("v").to_numpy(), size)
+        count, tasks = len(held[2]), 8 * spark.sparkContext.defaultParallelism
+        walk = _walker(spark, held)
+        if walk:
+            blocks = -(-count // 64)
+            tasks, at = min(blocks, tasks), lambda k: F.least(F.floor(k * blocks / tasks) * 64, F.lit(count)).cast("int")
+            spread = spark.range(0, tasks, 1, tasks).select(F.call_function(walk, at(F.col("id")), at(F.col("id") + 1)))
+            run = _by_vertex(spark.sparkContext.broadcast(held[3]), size)
+        else:
+            blocks = -(-count // block_width(size))
+            spread, run = spark.range(0, blocks, 1, min(blocks, tasks)), _brandes(spark.sparkContext.broadcast(held), size)
+        sums = spread.mapInArrow(run, "v long, delta double").groupBy("v").agg(F.sum("delta").alias("delta"))
     else:
         blocks = max(1, -(-sources.count() * size // rows))
         every = cut_lineage(sources.withColumn("block", F.pmod("v", F.lit(blocks))))

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,3 +95,27 @@ def drop_cuts(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a test or production folder; a Parquet file or a folder of them."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Applications and the classes that they have.
+_ADDED: set[tuple[str, str]] = set()
+
+
+def java_class(spark: SparkSession, name: str, source: str):
+    """A Java class for the driver and all executors, compiled by the compiler that Spark compiles its plans with.  None if there is none."""
+    state, jvm = spark._jsparkSession.sharedState(), spark._jvm
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _ADDED:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler
+        if not callable(compiler):
+            return None
+        compiler = compiler()
+        compiler.cook(source)
+        path = os.path.join(tempfile.mkdtemp(prefix="notefathom-"), f"{name}.jar")
+        with zipfile.ZipFile(path, "w") as jar:
+            for k, code in compiler.getBytecodes().items():
+                jar.writestr(k.replace(".", "/") + ".class", bytes(code))
+        delete_at_exit(spark, f"file://{os.path.dirname(path)}")
+        spark.sql(f"ADD JAR '{path}'")
+        _ADDED.add(key)
+    return state.jarClassLoader().loadClass(name)

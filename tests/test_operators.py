@@ -292,6 +292,40 @@ def test_betweenness_walks_many_sources_at_once(spark, monkeypatch):
     assert 0 < sum(walked) < 2 * len(pairs) * len(ids)  # each source alone would walk all links there and most of them back
 
 
+def long_graph():
+    """A chain that is longer than a block is wide, a hub with a ring, a ladder with over 2^24 shortest paths, a part that nothing else reaches."""
+    pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(160)] + [("hub", f"r{i:02}") for i in range(80)] + [(f"r{i:02}", f"r{(i * 7 + 1) % 80:02}") for i in range(80)] + [("c000", "r05"), ("x1", "x2"), ("x2", "x3")]
+    pairs += [(f"t{i:02}{a}", f"t{i + 1:02}{b}") for i in range(27) for a in "ab" for b in "ab"] + [("r50", "t00a")]
+    pairs = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    return sorted({v for p in pairs for v in p}), pairs
+
+
+def test_betweenness_takes_a_link_once_for_64_sources(spark, monkeypatch):
+    ids, pairs = long_graph()
+    n, e = vault(spark, dict.fromkeys([*ids, "alone"], "")), edges(spark, pairs)
+    monkeypatch.setattr(graph, "_brandes", None)  # all is walked in Java
+    got = {r.id: r.score for r in graph.betweenness(n, graph.undirected(graph.build(n, e))).collect()}
+    want = brandes([*ids, "alone"], pairs)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+
+
+def test_betweenness_without_the_compiler(spark, monkeypatch):
+    ids, pairs = long_graph()
+    n, e = vault(spark, dict.fromkeys(ids, "")), edges(spark, pairs)
+    monkeypatch.setattr(graph, "java_class", lambda *a: None)
+    got = {r.id: r.score for r in graph.betweenness(n, graph.undirected(graph.build(n, e))).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in brandes(ids, pairs).items()}
+
+
+def test_sources_of_a_block_are_alike():
+    x = np.concatenate([[0] * 100, np.arange(1, 101), [101] * 100, np.arange(102, 202), [0], [101]])  # two stars, their centres linked
+    y = np.concatenate([np.arange(1, 101), [0] * 100, np.arange(102, 202), [101] * 100, [101], [0]])
+    start, ends, sources, names = graph._held(x, y, np.random.default_rng(1).permutation(202), 202)
+    got = graph._alike(start, ends, np.random.default_rng(2).permutation(sources), block=20)
+    assert sorted(got) == list(range(202))
+    assert sum(len({int(names[v]) > 100 for v in got[k : k + 20]}) > 1 for k in range(0, 202, 20)) <= 2
+
+
 def test_betweenness_from_pivots(spark):
     ids, pairs, n, e = random_graph(spark, 11)
     und, want = graph.undirected(graph.build(n, e)), brandes(ids, pairs)
