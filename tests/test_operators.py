@@ -355,6 +355,15 @@ def test_rank_notes_from_several_blocks(spark, monkeypatch):
     assert [r.id for r in got if r.metric == "bridging"] == best and seen.value == len(ids)  # the notes are worked out once
 
 
+def test_rank_notes_of_a_long_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_brandes", None)  # all is walked in Java
+    ids, pairs = long_graph()
+    got = graph.rank_notes(vault(spark, dict.fromkeys(ids, "")), edges(spark, pairs), "bridging", limit=7).collect()
+    want = {k: v / (len(ids) * (len(ids) - 1) / 2) for k, v in brandes(ids, pairs).items()}
+    best = sorted(ids, key=lambda k: (-round(want[k], 12), k))[:7]
+    assert [(r.id, r.score) for r in got] == [(k, pytest.approx(want[k], rel=1e-9)) for k in best]
+
+
 def test_bridging_of_a_path(spark):
     n, e = vault(spark, dict.fromkeys("abc", "")), edges(spark, [("a", "b"), ("b", "c")])
     got = {r.id: r.score for r in graph.bridging(graph.betweenness(n, graph.undirected(graph.build(n, e))), 3).collect()}
