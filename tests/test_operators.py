@@ -378,6 +378,14 @@ def test_bridging_from_several_blocks(spark, monkeypatch):
     assert got == {k: pytest.approx(v / (len(ids) * (len(ids) - 1) / 2), abs=1e-15) for k, v in want.items()}
 
 
+def test_bridging_of_a_long_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_brandes", None)  # all is walked in Java
+    ids, pairs = long_graph()
+    n, e = vault(spark, dict.fromkeys(ids, "")), edges(spark, pairs)
+    got = {r.id: r.score for r in graph.bridging(graph.betweenness(n, graph.undirected(graph.build(n, e))), len(ids)).collect()}
+    assert got == {k: pytest.approx(v / (len(ids) * (len(ids) - 1) / 2), rel=1e-9, abs=1e-15) for k, v in brandes(ids, pairs).items()}
+
+
 def test_pagerank(spark):
     star = [("hub", f"s{i}") for i in range(5)]
     n = vault(spark, dict.fromkeys(["hub", "alone", *(f"s{i}" for i in range(5))], ""))
